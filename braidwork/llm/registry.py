@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("media", "quality", "simhash")
+MODULES = ("bpe", "media", "quality", "simhash")
 
 
 def queries() -> dict:
