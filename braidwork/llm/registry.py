@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "media", "quality", "simhash")
+MODULES = ("bpe", "media", "quality", "secrets", "simhash")
 
 
 def queries() -> dict:
