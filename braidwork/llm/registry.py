@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "media", "pii", "quality", "secrets", "simhash")
+MODULES = ("bpe", "media", "pii", "quality", "secrets", "simhash", "token_counts")
 
 
 def queries() -> dict:
