@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "media", "mixing", "pii", "quality", "secrets", "simhash", "token_counts")
+MODULES = ("bpe", "chat", "media", "mixing", "pii", "quality", "secrets", "simhash", "token_counts")
 
 
 def queries() -> dict:
