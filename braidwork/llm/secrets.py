@@ -102,15 +102,16 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mask: str =
     Only documents that a cheap test can't clear are scanned and joined with their finds; all others pass as they are.
     Every row stays. A null text stays null.
     """
-    numbered = docs.withColumn("_at", F.monotonically_increasing_id())
-    maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
-    some = numbered.where(maybe)
-    found = scan(some, ("_at",), text, scope).where(F.size("spans") > 0).select("_at", "spans")
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs[text].cast("string").alias("_body"), F.monotonically_increasing_id().alias("_at"))
+    maybe = F.coalesce(F.col("_body").rlike(MAYBE), F.lit(False))
+    some = own.where(maybe)
+    found = scan(some, ("_at",), "_body", scope).where(F.size("spans") > 0).select("_at", "spans")
     hit = some.join(found, "_at", "left")
-    hit = hit.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("spans"), mask)))
-    if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return numbered.where(~maybe).select(docs.columns).union(hit.select(docs.columns))
+    changed = F.col("spans").isNotNull()
+    hit = hit.withColumn("_body", F.when(changed, masked(F.col("_body"), F.col("spans"), mask)).otherwise(F.col("_body")))
+    new = {text: F.col("_body"), "n_chars": F.when(changed, F.length("_body")).otherwise(F.col("_doc")["n_chars"])} if "n_chars" in docs.columns else {text: F.col("_body")}
+    fields = [new.get(c, F.col("_doc")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+    return own.where(~maybe).select("_doc.*").union(hit.select(fields))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
