@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, whole_text
 
-ORDER, SHARED = 5, 2
+ORDER, SHARED = 7, 2
+#: Counts up to this are given to the backoff in full, larger ones by so much: an expression of few documents is rare.
+RARE = 2
 SLOTS = 1 << 19
 #: Labelled rows, at most, on which the logistic fit is made; the documented bound on its sample.
 FIT_ROWS = 20_000
@@ -33,8 +35,8 @@ SENT_ROWS = 500_000
 THRESHOLD = 0.3
 BEGIN, END = "\x02", "\x03"
 #: Evidence, in nats, from which a word stands out.
-MARKS = (2.0, 4.0, 6.0)
-_PRIME = np.uint64(0x100000001B3)
+MARKS = (1.5, 3.0, 5.0)
+_PRIME, _ALL = 0x100000001B3, (1 << 64) - 1
 
 
 def part_of(key: Column) -> Column:
@@ -43,7 +45,7 @@ def part_of(key: Column) -> Column:
 
 
 def _slots(hashes: np.ndarray, order: int) -> np.ndarray:
-    x = hashes + np.uint64(order) * np.uint64(0x9E3779B97F4A7C15)
+    x = hashes + np.uint64(order * 0x9E3779B97F4A7C15 & _ALL)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(32))) % np.uint64(SLOTS)).astype(np.int64)
@@ -58,8 +60,8 @@ def _gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     out, power = [codes + np.uint64(1)], _PRIME
     for k in range(1, ORDER):
         shifted = np.concatenate([np.zeros(min(k, len(codes)), np.uint64), codes[:-k] + np.uint64(1)]) if len(codes) else codes
-        out.append(out[-1] + shifted * power)
-        power = power * _PRIME
+        out.append(out[-1] + shifted * np.uint64(power))
+        power = power * _PRIME & _ALL
     return out
 
 
@@ -110,12 +112,12 @@ def train_model(train: DataFrame) -> dict:
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 codes = _codes("".join(texts)).reshape(-1, k)
-                power, whole, context = np.uint64(1), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+                power, whole, context = 1, np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
                 for j in range(k):
-                    whole = whole + (codes[:, k - 1 - j] + np.uint64(1)) * power
+                    whole = whole + (codes[:, k - 1 - j] + np.uint64(1)) * np.uint64(power)
                     if j < k - 1:
-                        context = context + (codes[:, k - 2 - j] + np.uint64(1)) * power
-                    power = power * _PRIME
+                        context = context + (codes[:, k - 2 - j] + np.uint64(1)) * np.uint64(power)
+                    power = power * _PRIME & _ALL
                 yield pa.RecordBatch.from_arrays([pa.array(_slots(whole, k)), pa.array(_slots(context, k + ORDER)), batch.column(1), batch.column(2)], ["slot", "context", "n0", "n1"])
 
         return run
@@ -128,7 +130,7 @@ def train_model(train: DataFrame) -> dict:
         held = np.zeros((SLOTS, 2), np.float32)
         held[sums["slot"].to_numpy()] = np.stack([sums["a"].to_numpy(), sums["b"].to_numpy()], 1)
         model["grams"].append(held)
-        kinds = [F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0), F.count(F.lit(1))]
+        kinds = [F.sum("n0"), F.sum("n1"), F.sum(F.least("n0", F.lit(RARE))), F.sum(F.least("n1", F.lit(RARE))), F.count(F.lit(1))]
         sums = at.groupBy("context").agg(*(c.alias(f"c{i}") for i, c in enumerate(kinds))).toArrow()
         held = np.zeros((SLOTS, 5), np.float32)
         held[sums["context"].to_numpy()] = np.stack([sums[f"c{i}"].to_numpy() for i in range(5)], 1)
@@ -154,10 +156,12 @@ def word_evidence(words: list[str], model: dict) -> tuple[np.ndarray, np.ndarray
         c = model["contexts"][k - 1][_slots(before[at - 1] if k > 1 else before[at], k + ORDER)]
         d = model["discounts"][k - 1]
         for cls in (0, 1):
-            count, total, kinds = (n.sum(1), c[:, 0] + c[:, 1], c[:, 4]) if k <= SHARED else (n[:, cls], c[:, cls], c[:, 2 + cls])
-            count = np.minimum(count, total)  # where hashed places are shared
+            if k <= SHARED:
+                count, total, off, mass = n.sum(1), c[:, 0] + c[:, 1], d, d * c[:, 4]
+            else:
+                count, total, off, mass = n[:, cls], c[:, cls], RARE, c[:, 2 + cls]
             seen = total > 0
-            below = np.maximum(count - d, 0) + d * kinds * chance[cls][at]
+            below = np.maximum(np.minimum(count, total) - off, 0) + mass * chance[cls][at]  # hashed places may be shared
             chance[cls][at] = np.where(seen, below / np.maximum(total, 1e-9), chance[cls][at])
     gain = np.log(np.maximum(chance[1], 1e-12)) - np.log(np.maximum(chance[0], 1e-12))
     gain[place == 0] = 0
