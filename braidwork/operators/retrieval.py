@@ -39,14 +39,17 @@ def bm25_index(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFra
 
 
 def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, query: str, text: str, doc: str) -> DataFrame:
-    """(query, doc, score) for documents with a query term; a word said twice in a query counts twice."""
+    """(query, doc, score) for documents with a query term; a word said twice in a query counts twice.
+
+    Scores are rounded to 9 places, so that equal documents tie in whatever order their parts are summed.
+    """
     postings, lengths, terms = index
     asked = queries.select(query, F.explode(tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qf"))
     mean = lengths.agg(F.avg("dl").alias("avgdl"))
     hit = asked.join(terms, "term").join(postings, "term").join(lengths, doc).crossJoin(F.broadcast(mean))
     tf = F.col("tf")
     part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy(query, doc).agg(F.sum(part).alias("score"))
+    return hit.groupBy(query, doc).agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def bm25_topk(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, query: str, text: str, doc: str, k: int) -> DataFrame:

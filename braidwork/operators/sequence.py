@@ -123,8 +123,17 @@ def peak_rows(df: DataFrame, part: list[str], order: str, value: str, min_rows:
 
 
 def running_median(df: DataFrame, part: list[str], order: str, value: str, out: str = "running_median") -> DataFrame:
-    """Median of all values up to and including the row; null values are passed over."""
-    return df.withColumn(out, F.median(value).over(_w(part, order).rowsBetween(Window.unboundedPreceding, 0)))
+    """Median of all values up to and including the row; null values are passed over.
+
+    Spark has no running median over a frame; a grouped pandas function keeps one in order, and a group fits one task.
+    """
+    schema = df.withColumn(out, F.lit(None).cast("double")).schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        return pdf.assign(**{out: pdf[value].astype(float).expanding().median()})
+
+    return df.groupBy(*part).applyInPandas(run, schema)
 
 
 def trail(df: DataFrame, part: list[str], order: str, columns: list[str], n: int = 10, out: str = "trail") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("series", "corpus", "league")
 
 
 def queries() -> dict:

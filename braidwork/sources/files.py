@@ -12,7 +12,7 @@ from ..functions import text as X
 
 # File name endings that count as media.
 MEDIA_ENDINGS = (
-    ".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v", ".mpg", ".mpeg", ".wmv", ".flv", ".3gp", ".3g2", ".mts", ".m2ts", ".ts", ".vob", ".ogv", ".mxf", ".f4v", ".asf", ".rm", ".rmvb", ".divx", ".dv", ".mod", ".tod",
+    ".mp4", ".m4v", ".mov", ".qt", ".avi", ".wmv", ".asf", ".mkv", ".webm", ".mpg", ".mpeg", ".mpe", ".m2v", ".ts", ".mts", ".m2ts", ".flv", ".f4v", ".3gp", ".3g2", ".ogv", ".rm", ".rmvb", ".vob", ".divx", ".mxf",
 )
 
 
