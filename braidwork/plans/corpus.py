@@ -234,9 +234,9 @@ _SWEEP = f"""SELECT threshold, count(*) FILTER (inside AND score >= threshold) A
 _SENT = r"[^.!?]+[.!?]+|\S[^.!?]*$"
 _JOINED = f"""whole AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS j FROM conversations GROUP BY 1),
   seg AS (SELECT conv_id, turn * 7 AS ts, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM conversations),
-  raw AS (SELECT conv_id, length(regexp_extract(j, '^[.!?]*')) AS skip, p AS pieces FROM (SELECT conv_id, j, regexp_extract_all(j, '{_SENT}') AS p FROM whole)),
-  pc AS (SELECT conv_id, skip, i - 1 AS n, pieces[i] AS raw FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM raw)),
-  st AS (SELECT conv_id, n, raw, skip + coalesce(sum(length(raw)) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM pc),
+  raw AS (SELECT conv_id, length(j) AS full_, length(regexp_extract(j, '^[.!?]*')) AS skip, p AS pieces FROM (SELECT conv_id, j, regexp_extract_all(j, '{_SENT}') AS p FROM whole)),
+  pc AS (SELECT conv_id, full_, skip, i - 1 AS n, pieces[i] AS raw FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM raw)),
+  st AS (SELECT conv_id, n, raw, CASE WHEN regexp_matches(raw, '[.!?]\\z') THEN skip + coalesce(sum(length(raw)) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE full_ - length(raw) END AS begun FROM pc),
   sent AS (SELECT conv_id, CAST(n AS INTEGER) AS n, CAST((SELECT max_by(ts, pos) FROM seg WHERE seg.conv_id = st.conv_id AND pos <= st.begun) AS INTEGER) AS ts, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS sentence FROM st WHERE regexp_replace(raw, '\\s+', '', 'g') <> '')"""
 
 
