@@ -83,3 +83,39 @@ def grid_rank(measured: DataFrame, *by: str, noise: float = 0.06) -> DataFrame:
 def behaviour(rows: DataFrame, answered: str = "answered", expected: str = "expected") -> DataFrame:
     """(accuracy, n): the share of rows whose answering is as expected."""
     return rows.agg(F.avg((F.col(answered) == F.col(expected)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def chunk_sweep(sentences: DataFrame, questions: DataFrame, combinations: DataFrame, part: list[str], order: str, k: int = 5, title: str = "title") -> DataFrame:
+    """Recall of keyword search over chunks of every combination (size, overlap) in one job, not one a combination.
+
+    sentences: part, order, ts, sentence, title; questions: id, q, expect_sources; the combinations are few. Chunks,
+    postings and weights all carry their combination as a key.
+    """
+    from ..functions.text import tokens
+    from . import retrieval as R
+    from . import transcripts as T
+
+    combo = ["size", "overlap"]
+    made = []
+    for size, overlap in map(tuple, combinations.select(*combo).collect()):
+        own = T.chunks(sentences.select(*part, title, order, "ts", "sentence"), [*part, title], order, words=size, overlap=overlap)
+        made.append(own.select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), title, F.concat_ws("::", *(F.col(p).cast("string") for p in part), "chunk_index").alias("id"), tokens(F.col("text")).alias("_t")))
+    chunks = made[0]
+    for df in made[1:]:
+        chunks = chunks.unionByName(df)
+    posted = chunks.select(*combo, "id", F.explode("_t").alias("term")).groupBy(*combo, "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = chunks.select(*combo, "id", title, F.size("_t").alias("dl"))
+    totals = sizes.groupBy(*combo).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    raw = posted.groupBy(*combo, "term").agg(F.count(F.lit(1)).alias("df")).join(totals, combo).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.groupBy(*combo).agg((F.avg("raw") * R.EPSILON).alias("floor"))
+    weights = raw.join(mean, combo).select(*combo, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    asked = questions.select(F.col("id").alias("q_id"), F.explode(tokens(F.col("q"))).alias("term")).groupBy("q_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    hits = asked.join(weights, "term").join(posted, [*combo, "term"]).join(sizes, [*combo, "id"])
+    score = F.col("qf") * F.col("idf") * F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("dl") / F.col("avgdl")))
+    scored = hits.groupBy(*combo, "q_id", "id", title).agg(F.round(F.sum(score), 9).alias("score"))
+    w = Window.partitionBy(*combo, "q_id").orderBy(F.desc("score"), "id")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    every = combinations.select(*combo).crossJoin(F.broadcast(questions.select(F.col("id").alias("q_id"), "expect_sources")))
+    joined = every.join(best, [*combo, "q_id"], "left")
+    ranks = joined.groupBy(*combo, "q_id").agg(F.min(F.when(source_matches(F.col(title), F.col("expect_sources")), F.col("rank"))).alias("rank"))
+    return recall(ranks, k, *combo)

@@ -14,6 +14,8 @@ from ..functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, KEYWORD_WEIGHT, KEYWORD_FLOOR = 60, 0.35, 2.0
+#: Queries that are sent to every task at once; more are asked in blocks of about so many, a scan of the table each.
+QUERY_BLOCK = 20_000
 
 
 def pool_size(k: int) -> int:
@@ -56,35 +58,58 @@ def bm25_topk(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame,
     return ranked(bm25_scores(index, queries, query, text, doc), query, "score", k, doc)
 
 
-def vector_topk(table: DataFrame, queries: DataFrame, query: str, q_vec: str, doc: str, vec: str, k: int, exclude_self: bool = False) -> DataFrame:
+def _blocks(queries: DataFrame, query: str, size: int) -> list[DataFrame]:
+    n = queries.limit(size + 1).count()
+    if n <= size:
+        return [queries]
+    blocks = -(-queries.count() * 2 // size)  # twice as many as fit, so that none is over-full by chance
+    return [queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i) for i in range(blocks)]
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def vector_topk(table: DataFrame, queries: DataFrame, query: str, q_vec: str, doc: str, vec: str, k: int, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest rows of unit vectors by cosine, exactly: (query, doc, score, rank).
 
-    The queries are a bounded batch and go to every task; the table is scanned once, whole, and is never shuffled but for
-    the k best of each task.
+    A block of queries, its size checked, goes to every task; the table is scanned whole and is never shuffled but for the
+    k best of each task.
     """
-    pairs = table.select(doc, vec).crossJoin(F.broadcast(queries.select(query, F.col(q_vec).alias("_q"))))
-    if exclude_self:
-        pairs = pairs.where(F.col(query) != F.col(doc))
-    return ranked(pairs.select(query, doc, cosine(F.col(vec), F.col("_q")).alias("score")), query, "score", k, doc)
 
+    def one(asked: DataFrame) -> DataFrame:
+        pairs = table.select(doc, vec).crossJoin(F.broadcast(asked.select(query, F.col(q_vec).alias("_q"))))
+        pairs = pairs.where(F.col(query) != F.col(doc)) if exclude_self else pairs
+        return ranked(pairs.select(query, doc, cosine(F.col(vec), F.col("_q")).alias("score")), query, "score", k, doc)
+
+    return _all([one(b) for b in _blocks(queries, query, block)])
 
-def vector_topk_blas(table: DataFrame, queries: DataFrame, query: str, q_vec: str, doc: str, vec: str, k: int) -> DataFrame:
-    """As vector_topk, each batch against all queries in one matrix product; for many dimensions or queries."""
-    asked = queries.select(query, q_vec).toPandas()
-    held = table.sparkSession.sparkContext.broadcast((asked[query].to_numpy(), np.stack(asked[q_vec].to_numpy()).astype(np.float64)))
+
+def vector_topk_blas(table: DataFrame, queries: DataFrame, query: str, q_vec: str, doc: str, vec: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """As vector_topk, each batch of rows against a block of queries in one matrix product; for many dimensions or queries."""
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *table.schema.fields]}
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = held.value
-        for pdf in pdfs:
-            if len(pdf):
-                scores = np.stack(pdf[vec].to_numpy()).astype(np.float64) @ matrix.T
-                names = pdf[doc].to_numpy()
-                order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -scores), axis=0)[: min(k, len(names))]
-                yield pd.DataFrame({query: np.tile(ids, len(order)), doc: names[order].ravel(), "score": np.take_along_axis(scores, order, 0).ravel()})
-
-    best = table.select(doc, vec).mapInPandas(run, f"`{query}` {kinds[query]}, `{doc}` {kinds[doc]}, score double")
-    return ranked(best, query, "score", k, doc)
+    def one(part: DataFrame) -> DataFrame:
+        asked = part.select(query, q_vec).toPandas()
+        matrix = np.stack(asked[q_vec].to_numpy()).astype(np.float64) if len(asked) else np.zeros((0, 0))
+        held = table.sparkSession.sparkContext.broadcast((asked[query].to_numpy(), matrix))
+
+        def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = held.value
+            for pdf in pdfs:
+                if len(pdf) and len(ids):
+                    scores = np.stack(pdf[vec].to_numpy()).astype(np.float64) @ matrix.T
+                    names = pdf[doc].to_numpy()
+                    order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -scores), axis=0)[: min(k, len(names))]
+                    yield pd.DataFrame({query: np.tile(ids, len(order)), doc: names[order].ravel(), "score": np.take_along_axis(scores, order, 0).ravel()})
+
+        best = table.select(doc, vec).mapInPandas(run, f"`{query}` {kinds[query]}, `{doc}` {kinds[doc]}, score double")
+        return ranked(best, query, "score", k, doc)
+
+    return _all([one(b) for b in _blocks(queries, query, block)])
 
 
 def fused(vector: DataFrame, keyword: DataFrame, query: str, doc: str, k: int, keyword_weight: float = KEYWORD_WEIGHT, floor: float = KEYWORD_FLOOR) -> DataFrame:

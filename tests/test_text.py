@@ -253,3 +253,26 @@ def test_pose_rows(spark):
     ddl = "video string, frame int, people array<struct<track_id: int, x1: double, y1: double, x2: double, y2: double, points: array<struct<x: double, y: double, confidence: double>>>>"
     df = spark.createDataFrame([("v", 0, [(t, *b, p) for t, b, p in people])], ddl)
     assert [(r.track_id, r.keypoint, r.x) for r in X.pose_rows(df).orderBy("track_id", "x").collect()] == [(0, "nose", 1.0), (0, "left_eye", 3.0), (7, "nose", 5.0)]
+
+
+def test_blocks_of_queries_give_the_same(spark):
+    rows = spark.createDataFrame([(i, [math.cos(i**1.5 / 90), math.sin(i**1.5 / 90)]) for i in range(60)], "id long, v array<double>")
+    asked = rows.select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    take = lambda df: sorted((r.q, r.id, r.rank) for r in df.collect())
+    whole = take(R.vector_topk(rows, asked, "q", "qv", "id", "v", 3))
+    assert len(whole) == 180 and take(R.vector_topk(rows, asked, "q", "qv", "id", "v", 3, block=13)) == whole
+    assert take(R.vector_topk_blas(rows, asked, "q", "qv", "id", "v", 3, block=13)) == whole
+
+
+def test_chunk_sweep(spark):
+    docs = [("d1", "Hip turn", "the hips turn early. they turn again."), ("d2", "Barrel", "the barrel stays long. it stays flat."), ("d3", "Eyes", "eyes follow the ball. eyes stay still.")]
+    rows = [(d, t, i, i * 5, s.strip() + ".") for d, t, text in docs for i, s in enumerate(x for x in text.split(".") if x.strip())]
+    sentences = spark.createDataFrame(rows, "doc string, title string, n int, ts int, sentence string")
+    questions = spark.createDataFrame([("1", "when do hips turn", ["hip"]), ("2", "flat barrel", ["barrel"]), ("3", "zzz", ["eyes"])], "id string, q string, expect_sources array<string>")
+    got = {(r["size"], r["overlap"]): (r.n, round(r.recall_1, 4)) for r in V.chunk_sweep(sentences, questions, V.grid([4, 50], [0, 2], spark), ["doc"], "n").collect()}
+    assert got == {(4, 0): (3, 0.6667), (4, 2): (3, 0.6667), (50, 0): (3, 0.6667), (50, 2): (3, 0.6667)}
+
+
+def test_token_counts(spark):
+    row = spark.createDataFrame([("a b-c!",)], "t string").select(T.token_count(F.col("t")), T.token_count(F.col("t"), len)).first()
+    assert tuple(row) == (5, 6)
