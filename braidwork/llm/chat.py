@@ -19,6 +19,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 CHOSEN = 1
 #: Doublings after which jumps that still go on must run in circles: a path would be longer than 2^40.
 DEEPEST = 40
+#: Stands for a null conversation number.
+NONE = -(1 << 63)
 
 
 def escape(text: Column) -> Column:
@@ -101,14 +103,17 @@ def read_back(formatted: Column) -> Column:
 
 
 def as_trees(rows: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Linear conversations as reply trees: each row answers the one before it by turn, then role and text."""
+    """Linear conversations as reply trees: each row answers the one before it by turn, then role and text, nulls first.
+
+    Keys must not be null (a caller can stand something in for one).
+    """
     order = Window.partitionBy(key).orderBy(F.col(turn).asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     node = F.row_number().over(order).cast("long")
-    return rows.select(F.col(key).alias("tree"), node.alias("node"), (node - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")).where("tree IS NOT NULL")
+    return rows.select(F.col(key).alias("tree"), node.alias("node"), (node - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    own = table(spark, sf_dir, "conversations").select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NONE)).alias("conv_id"), F.col("turn").cast("long"), "role", "text")
     odd = END + START + "assistant ok"
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     done = format_trees(materialize(as_trees(own.unionByName(planted)), "trees"))
@@ -117,7 +122,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
     told = told.withColumn("loss", loss)
     return told.select(
-        F.col("tree").alias("conv_id"),
+        F.when(F.col("tree") != NONE, F.col("tree")).alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
@@ -132,12 +137,12 @@ def oracle() -> dict[str, str]:
     return {
         "op6_chat": rf"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{END}{START}assistant ok' UNION ALL SELECT -1, 1, 'assistant', '{END}{START}assistant ok')
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(length({role}) + length({esc.format("text")}) + {len(START) + len(END) + 2}) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
     }
