@@ -41,8 +41,8 @@ def mean_of_top(df: DataFrame, part: list[str], value: str, share: float, out: s
 
 
 def stratified_sample(df: DataFrame, stratum: Column, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows of each stratum without replacement, by a keyed hash: the same rows for the same seed on any cluster."""
-    order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    """n rows of each stratum without replacement, by a keyed digest: the same rows for the same seed on any cluster."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return df.withColumn("stratum", stratum).withColumn("_rn", F.row_number().over(Window.partitionBy("stratum").orderBy(order, key))).where(F.col("_rn") <= n).drop("_rn")
 
 

@@ -285,6 +285,7 @@ ORACLE = {
       WHEN regexp_matches(text, '(?i)\bwhich\b') THEN 'banned claim: ''' || regexp_extract(text, '(?i)\bwhich\b') || '''' WHEN regexp_matches(text, '(?i)\bhaha\b') THEN 'banned claim: ''' || regexp_extract(text, '(?i)\bhaha\b') || ''''
       WHEN (regexp_matches(text, '(?i)\bthe report\b') OR regexp_matches(text, '(?i)\bthe\b.{0,40}\bis\b')) AND (regexp_matches(text, '(?im)^(?:#{1,3}\s+)?[\w][\w ''’.-]*\bdrill\b') OR regexp_matches(text, '(?i)\bof\s+and\b')) THEN 'do not include a drill on a refusal, off-topic, or report question' ELSE 'ok' END AS reason FROM conversations""",
     "stripped_markup": "SELECT conv_id, CAST(turn AS INTEGER) AS turn, regexp_replace(text || ' x' || chr(10) || ' y', '^\\s+|\\s+$', '', 'g') AS answer FROM conversations",
+    "stratified_sample": "SELECT doc_id, lang, lang AS stratum FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('0:' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 10",
     "union_distinct_resume": "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "set_tests": "SELECT doc_id, list_has_any(regexp_extract_all(lower(text), '[a-z'']+'), ['moron', 'scum']) AS some, list_has_all(['the', 'of'], regexp_extract_all(lower(text), '[a-z'']+')) AS every, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents",
     "clocks": "SELECT doc_id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock, s AS seconds FROM (SELECT doc_id, doc_id * 37 AS s FROM documents)",
