@@ -31,13 +31,21 @@ def ranked(scored: DataFrame, query: str, score: str, k: int, *ties: Column | st
 def bm25_index(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings: term, doc, tf; lengths: doc, dl; terms: term, idf). Rare terms weigh ln((N - n + .5) / (n + .5)); where
     that is negative, EPSILON times the mean weight of all terms."""
+    postings, lengths = bm25_postings(docs, doc, text)
+    return postings, lengths, bm25_terms(postings, lengths)
+
+
+def bm25_postings(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
     words = docs.select(doc, tokens(F.col(text)).alias("_t"))
     postings = words.select(doc, F.explode("_t").alias("term")).groupBy("term", doc).agg(F.count(F.lit(1)).alias("tf"))
-    lengths = words.select(doc, F.size("_t").cast("long").alias("dl"))
+    return postings, words.select(doc, F.size("_t").cast("long").alias("dl"))
+
+
+def bm25_terms(postings: DataFrame, lengths: DataFrame) -> DataFrame:
     n = lengths.agg(F.count(F.lit(1)).alias("n"))
     raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    return postings, lengths, raw.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, query: str, text: str, doc: str) -> DataFrame:
@@ -156,6 +164,15 @@ def best_score(hits: DataFrame, queries: DataFrame, query: str, score: str = "sc
     return queries.select(query).join(hits.groupBy(query).agg(F.max(score).alias("score")), query, "left").na.fill(none, ["score"])
 
 
+def build_index(docs: DataFrame, doc: str, text: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index as tables under `path`, read back: texts are split once, weights come from the written postings."""
+    spark = docs.sparkSession
+    for df, name in zip(bm25_postings(docs, doc, text), ("postings", "lengths"), strict=True):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    bm25_terms(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/terms")
+    return read_index(spark, path)
+
+
 def write_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
     for df, name in zip(index, ("postings", "lengths", "terms"), strict=True):
         df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,3 +19,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder's path where driver and executors both see it: under spark.checkpoint.dir, else a temporary one."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from ..operators import evaluate as V
 from ..operators import markdown as M
 from ..operators import retrieval as R
 from ..operators import transcripts as S
-from .common import r6, table
+from .common import r6, shared, table
 
 RULES = S.Rules(terms=("the", "und", "les"), phrases=("of the", "in the"), fillers=("and", "the", "of"), verbs=("is", "in"))
 
@@ -66,7 +66,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str):
-    return R.bm25_index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return R.build_index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", shared(spark))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:

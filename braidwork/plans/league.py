@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import standings as S
 from ..sources import files as X
 from ..streaming import live as L
-from .common import events, r6, table
+from .common import events, r6, shared, table
 
 TEAMS = ("alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf")
 
@@ -42,13 +39,9 @@ def recent_games(spark: SparkSession, d: str) -> DataFrame:
     return S.newest(_games(spark, d).select("game_id", "home_team", "away_team", "played_at"), 20)
 
 
-def _shared(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def stream_standings(spark: SparkSession, d: str) -> DataFrame:
     """The ranking that the stream over the same games ends with."""
-    at = _shared(spark)
+    at = shared(spark)
     _games(spark, d).write.parquet(f"{at}/games")
     source = spark.readStream.schema(_games(spark, d).schema).parquet(f"{at}/games")
     L.write_standings(source, _teams(spark), f"{at}/standings", f"{at}/checkpoint").awaitTermination()
@@ -63,7 +56,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def keyed_tables(spark: SparkSession, d: str) -> DataFrame:
     """Orders written by year and read back but for what one key's rewriting replaced."""
-    at = _shared(spark)
+    at = shared(spark)
     own = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.year("o_orderdate").cast("string").alias("year"))
     X.write_keyed(own, at, "year")
     X.write_keyed(own.where("year = '1995'").withColumn("o_orderkey", F.lit(-1).cast("long")), at, "year")
@@ -71,7 +64,7 @@ def keyed_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    at = _shared(spark)
+    at = shared(spark)
     own = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
     X.write_json_array(own, f"{at}/array")
     X.write_jsonl(own, f"{at}/lines")
@@ -80,7 +73,7 @@ def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    at = _shared(spark)
+    at = shared(spark)
     own = table(spark, d, "events").select("user_id", "event_id", "value")
     X.write_csv(own, at)
     return X.read_csv(spark, at, "user_id long, event_id long, value double").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
