@@ -94,7 +94,9 @@ def clean(
     df = df.withColumn("q_lost", F.when(F.col("q_word_chars") == 0, F.lit(0.0)).otherwise(1 - rest / F.col("q_word_chars")))
     df = df.withColumn("base_failed", (F.col("q_words") < min_words) | (100 * F.col("q_repeat_words") > max_repeat_percent * F.col("q_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("q_lost") <= max_lost))
-    return df.select("doc", "q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "base_failed", "q_lost", "cleaned_text", "kept")
+    # The generator keeps filters on the verdict above it: pushed down, they would repeat every expression in it many times over.
+    told = F.struct("q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "base_failed", "q_lost", "cleaned_text", "kept")
+    return df.select("doc", F.explode(F.array(told)).alias("_q")).select("doc", "_q.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
