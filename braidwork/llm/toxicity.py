@@ -7,20 +7,21 @@ counts, so that rare expressions are judged by their pieces and unseen ones hard
 difference of its log-likelihoods under the two models; a document's is that difference a character, with how many of its
 words stand out and how far. A logistic fit on labelled documents that the models have not seen turns this into a score.
 
-The counts cover all training rows. They are kept in SLOTS hashed places an order, so the model's size is bounded
-whatever the corpus (28 * SLOTS * ORDER bytes, about 100 MB) and it can be sent to every executor, packed.
+The counts cover all training rows and are exact: tables in the shared folder, one row a gram or context, that grow with
+the corpus. Nothing of them is gathered. A character's chance depends on its gram alone, so the distinct grams of the
+documents' distinct words are joined with the counts by shuffle, order by order, and words' evidence is sums over grams.
+Documents go in chunks of CHUNK rows; each chunk is brought together with the evidence of the words in it.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,10 @@ from .common import materialize, table, whole_text
 ORDER, SHARED = 7, 2
 #: Counts up to this are given to the backoff in full, larger ones by so much: an expression of few documents is rare.
 RARE = 2
-SLOTS = 1 << 19
+#: Rows of documents whose words are looked up together.
+CHUNK = 1024
+#: Parts of a nat in which evidence is summed, as whole numbers: sums are then equal in any order.
+PARTS = 10**9
 #: Labelled rows, at most, on which the logistic fit is made; the documented bound on its sample.
 FIT_ROWS = 20_000
 #: Labels up to which they are sent to every executor; beyond, they are joined with the documents by shuffle.
@@ -38,7 +42,6 @@ THRESHOLD = 0.3
 BEGIN, END = "\x02", "\x03"
 #: Evidence, in nats, from which a word stands out.
 MARKS = (1.5, 3.0, 5.0)
-_PRIME, _ALL = 0x100000001B3, (1 << 64) - 1
 
 
 def part_of(key: Column) -> Column:
@@ -46,27 +49,6 @@ def part_of(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
-def _slots(hashes: np.ndarray, order: int) -> np.ndarray:
-    x = hashes + np.uint64(order * 0x9E3779B97F4A7C15 & _ALL)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(SLOTS)).astype(np.int64)
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-
-
-def _gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
-    """For k = 1 to ORDER, the hash of the k characters that end at each place (of fewer, at the beginning)."""
-    out, power = [codes + np.uint64(1)], _PRIME
-    for k in range(1, ORDER):
-        shifted = np.concatenate([np.zeros(min(k, len(codes)), np.uint64), codes[:-k] + np.uint64(1)]) if len(codes) else codes
-        out.append(out[-1] + shifted * np.uint64(power))
-        power = power * _PRIME & _ALL
-    return out
-
-
 def vocabulary(train: DataFrame) -> DataFrame:
     """(word, n0, n1): in how many ordinary and toxic documents each word occurs; train has text and toxic."""
 
@@ -104,97 +86,107 @@ def grams(words: DataFrame) -> list[DataFrame]:
     return out[::-1]
 
 
+class Table:
+    """A table of the model. As an array it is its sorted rows, which are gathered for that: meant for small ones."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.array(sorted(map(tuple, self.df.collect())), dtype or object)
+
+
 def train_model(train: DataFrame) -> dict:
-    """The model's hashed tables, from rows with text (not null) and toxic (0 or 1)."""
-    by_order = grams(vocabulary(train))
+    """The model's tables by order, (gram, n0, n1) and (context, c0 to c4), and discounts, from rows with text (not null) and toxic (0 or 1)."""
     model: dict = {"grams": [], "contexts": [], "discounts": []}
-
-    def placed(k: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                codes = _codes("".join(texts)).reshape(-1, k)
-                power, whole, context = 1, np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-                for j in range(k):
-                    whole = whole + (codes[:, k - 1 - j] + np.uint64(1)) * np.uint64(power)
-                    if j < k - 1:
-                        context = context + (codes[:, k - 2 - j] + np.uint64(1)) * np.uint64(power)
-                    power = power * _PRIME & _ALL
-                yield pa.RecordBatch.from_arrays([pa.array(_slots(whole, k)), pa.array(_slots(context, k + ORDER)), batch.column(1), batch.column(2)], ["slot", "context", "n0", "n1"])
-
-        return run
-
-    for k, counts in enumerate(by_order, 1):
-        at = counts.where(F.length("gram") == k).mapInArrow(placed(k), "slot long, context long, n0 long, n1 long")
+    kinds = [F.sum("n0"), F.sum("n1"), F.sum(F.least("n0", F.lit(RARE))), F.sum(F.least("n1", F.lit(RARE))), F.count(F.lit(1))]
+    for k, counts in enumerate(grams(vocabulary(train)), 1):
         ones = counts.agg(F.count_if(F.col("n0") + F.col("n1") == 1), F.count_if(F.col("n0") + F.col("n1") == 2)).first()
         model["discounts"].append(min(0.95, max(0.1, ones[0] / max(1, ones[0] + 2 * ones[1]))))
-        sums = at.groupBy("slot").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).toArrow()
-        held = np.zeros((SLOTS, 2), np.float32)
-        held[sums["slot"].to_numpy()] = np.stack([sums["a"].to_numpy(), sums["b"].to_numpy()], 1)
-        model["grams"].append(held)
-        kinds = [F.sum("n0"), F.sum("n1"), F.sum(F.least("n0", F.lit(RARE))), F.sum(F.least("n1", F.lit(RARE))), F.count(F.lit(1))]
-        sums = at.groupBy("context").agg(*(c.alias(f"c{i}") for i, c in enumerate(kinds))).toArrow()
-        held = np.zeros((SLOTS, 5), np.float32)
-        held[sums["context"].to_numpy()] = np.stack([sums[f"c{i}"].to_numpy() for i in range(5)], 1)
-        model["contexts"].append(held)
+        sums = counts.groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(*(c.alias(f"c{i}") for i, c in enumerate(kinds)))
+        model["grams"].append(Table(counts))
+        model["contexts"].append(Table(materialize(sums, "contexts")))
     return model
 
 
-_UNPACKED: dict[int, dict] = {}
+def _grams_of(words: DataFrame) -> DataFrame:
+    """(id, gram): for each character of a word (id, word) and its end, it with the up to ORDER - 1 characters before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "gram"])
 
+        for batch in batches:
+            ids, found = [], []
+            for i, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = BEGIN + word + END
+                found += [w[max(0, e - ORDER) : e] for e in range(2, len(w) + 1)]
+                ids += [i] * (len(w) - 1)
+                if len(ids) > 200_000:
+                    yield told()
+                    ids, found = [], []
+            yield told()
 
-def send(spark: SparkSession, model: dict):
-    """The model as a broadcast of packed bytes, made once; tables of a small corpus are mostly zeros."""
-    if "sent" not in model:
-        tables = {k: model[k] for k in ("grams", "contexts", "discounts")}
-        model["sent"] = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(tables, protocol=5), 3))
-    return model["sent"]
+    return words.select("id", "word").mapInArrow(run, "id long, gram string")
 
 
-def received(sent) -> dict:
-    """The model of a broadcast, unpacked once to a worker."""
-    key = zlib.crc32(sent.value)
-    if key not in _UNPACKED:
-        _UNPACKED.clear()
-        _UNPACKED[key] = pickle.loads(zlib.decompress(sent.value))
-    return _UNPACKED[key]
+def chances(wanted: DataFrame, model: dict) -> list[DataFrame]:
+    """For k = 1 to ORDER, (gram, p0, p1): how likely either model holds the last character of a gram after the others.
+    They are told for the distinct grams of at most ORDER characters in `wanted` and for all ends of these."""
+    need = [materialize(wanted.where(F.length("gram") == ORDER), "wanted")]
+    for k in range(ORDER - 1, 0, -1):
+        ends = need[-1].select(F.substring("gram", 2, k).alias("gram")).union(wanted.where(F.length("gram") == k)).distinct()
+        need.append(materialize(ends, "wanted"))
+    out: list[DataFrame] = []
+    for k, own in enumerate(need[::-1], 1):
+        own = own.select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"))
+        own = own.join(model["grams"][k - 1].df, "gram", "left").join(model["contexts"][k - 1].df, "context", "left")
+        if k > 1:
+            own = own.join(out[-1].select(F.col("gram").alias("rest"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), "rest")
+        else:
+            own = own.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        own = own.na.fill(0, ["n0", "n1", *(f"c{i}" for i in range(5))])
+        d, p = model["discounts"][k - 1], []
+        for cls in (0, 1):
+            if k <= SHARED:
+                count, total, off, mass = F.col("n0") + F.col("n1"), F.col("c0") + F.col("c1"), d, d * F.col("c4")
+            else:
+                count, total, off, mass = F.col(f"n{cls}"), F.col(f"c{cls}"), RARE, F.col(f"c{2 + cls}")
+            below = F.greatest(count - off, F.lit(0)) + mass * F.col(f"q{cls}")
+            p.append(F.when(total > 0, below / total).otherwise(F.col(f"q{cls}")).alias(f"p{cls}"))
+        out.append(materialize(own.select("gram", *p), "chances"))
+    return out
+
+
+def evidence(words: DataFrame, model: dict) -> DataFrame:
+    """(word, gain): the log-likelihood of each word under toxic less that under ordinary; words are distinct."""
+    known = materialize(words.select("word", F.monotonically_increasing_id().alias("id")), "words")
+    parts = _grams_of(known)
+    told = chances(materialize(parts.select("gram").distinct(), "parts"), model)
+    every = told[1]
+    for c in told[2:]:
+        every = every.union(c)
+    log = lambda p: F.log(F.greatest(F.col(p), F.lit(1e-12)))
+    # Below ORDER characters, only beginnings are asked for.
+    every = every.where((F.length("gram") == ORDER) | F.col("gram").startswith(BEGIN)).select("gram", F.round((log("p1") - log("p0")) * PARTS).cast("long").alias("gain"))
+    sums = parts.join(every, "gram").groupBy("id").agg((F.sum("gain") / PARTS).alias("gain"))
+    return known.join(sums, "id").select("word", "gain")
 
 
 def word_evidence(words: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(log-likelihood under toxic less that under ordinary, number of characters) of each word."""
+    """(log-likelihood under toxic less that under ordinary, number of characters) of each of a few words."""
     if not words:
         return np.zeros(0), np.zeros(0)
-    codes = _codes("".join(f"{BEGIN}{w}{END}" for w in words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(codes)) - np.repeat(starts, sizes)
-    hashes = _gram_hashes(codes)
-    none = np.zeros(len(codes), np.uint64)
-    chance = [np.full(len(codes), 1 / 256), np.full(len(codes), 1 / 256)]
-    for k in range(1, ORDER + 1):
-        at = np.flatnonzero(place >= max(k - 1, 1))
-        n = model["grams"][k - 1][_slots(hashes[k - 1][at], k)]
-        before = none if k == 1 else hashes[k - 2]
-        c = model["contexts"][k - 1][_slots(before[at - 1] if k > 1 else before[at], k + ORDER)]
-        d = model["discounts"][k - 1]
-        for cls in (0, 1):
-            if k <= SHARED:
-                count, total, off, mass = n.sum(1), c[:, 0] + c[:, 1], d, d * c[:, 4]
-            else:
-                count, total, off, mass = n[:, cls], c[:, cls], RARE, c[:, 2 + cls]
-            seen = total > 0
-            below = np.maximum(np.minimum(count, total) - off, 0) + mass * chance[cls][at]  # hashed places may be shared
-            chance[cls][at] = np.where(seen, below / np.maximum(total, 1e-9), chance[cls][at])
-    gain = np.log(np.maximum(chance[1], 1e-12)) - np.log(np.maximum(chance[0], 1e-12))
-    gain[place == 0] = 0
-    return np.add.reduceat(gain, starts), (sizes - 1).astype(float)
+    spark = model["grams"][0].df.sparkSession
+    gain = dict(map(tuple, evidence(spark.createDataFrame([(w,) for w in set(words)], "word string"), model).collect()))
+    return np.array([gain[w] for w in words]), np.array([len(w) + 1.0 for w in words])
 
 
 N_FEATURES = 3 + 2 * len(MARKS)
 
 
-def features(texts: list[str], model: dict) -> np.ndarray:
-    """A row of N_FEATURES for each text; all zero for a text without words."""
+def features(texts: list[str], known: pa.Array, gains: np.ndarray) -> np.ndarray:
+    """A row of N_FEATURES for each text; all zero for a text without words. `known` has all words of the texts."""
     words, ends = [], []
     for t in texts:
         words += t.lower().split()
@@ -203,9 +195,12 @@ def features(texts: list[str], model: dict) -> np.ndarray:
     if not words:
         return out
     coded = pa.array(words, pa.string()).dictionary_encode()
-    gain, size = word_evidence(coded.dictionary.to_pylist(), model)
+    place = pc.index_in(coded.dictionary, value_set=known)
+    if place.null_count:
+        raise ValueError("a word without evidence: the documents changed between two readings")
     at = coded.indices.to_numpy(zero_copy_only=False)
-    gain, size = gain[at], size[at]
+    gain = gains[place.to_numpy(zero_copy_only=False)][at]
+    size = (pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False) + 1.0)[at]
     starts = np.array([0, *ends[:-1]])
     n = np.array(ends) - starts
     some = np.flatnonzero(n)
@@ -240,6 +235,46 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.3, rounds: int = 60)
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
+NAMES = [f"f{i}" for i in range(N_FEATURES)]
+
+
+def described(rows: DataFrame, model: dict, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """The columns in `keep` and the features f0, f1, ... of each row. Rows are read twice and must come in the same order."""
+    own = rows.select(F.expr(f"monotonically_increasing_id() div {CHUNK}").alias("_chunk"), whole_text(text).alias("_text"), *(rows[c] for c in keep))
+
+    def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, found = None, set()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(list(found), pa.string())], ["_chunk", "word"])
+
+        for batch in batches:
+            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if c != chunk:
+                    if found:
+                        yield told()
+                    chunk, found = c, set()
+                found.update(t.lower().split())
+        if found:
+            yield told()
+
+    held = materialize(own.select("_chunk", "_text").mapInArrow(words_in, "_chunk long, word string"), "held")
+    gains = held.join(evidence(held.select("word").distinct(), model), "word")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, gain = right["word"].combine_chunks(), right["gain"].to_numpy()
+        texts, found, start, chars = left["_text"].to_pylist(), [np.zeros((0, N_FEATURES))], 0, 0
+        for i, t in enumerate(texts):
+            chars += len(t)
+            if chars > 500_000 or i == len(texts) - 1:
+                found.append(features(texts[start : i + 1], known, gain))
+                start, chars = i + 1, 0
+        return pa.table([*(left[c] for c in keep), *(pa.array(c) for c in np.concatenate(found).T)], [*keep, *NAMES])
+
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} double" for n in NAMES])
+    return own.groupBy("_chunk").cogroup(gains.groupBy("_chunk")).applyInArrow(run, schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict, np.ndarray]:
     """(model, weights) from rows of labels (key, toxic) outside the held-out part. A key labelled twice is toxic if either label is."""
     known = labels.where("toxic IS NOT NULL").select(labels[key].alias("_key"), (F.col("toxic") != 0).cast("int").alias("toxic"))
@@ -248,19 +283,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         known = F.broadcast(known)
     own = docs.select(docs[key].alias("_key"), whole_text(text).alias("text"))
     model = train_model(own.where(part_of(F.col("_key")) < 2).join(known, "_key").select("text", "toxic"))
-    sent = send(docs.sparkSession, model)
-    sample = own.where(part_of(F.col("_key")) == 3).join(known, "_key")
-    names = [f"f{i}" for i in range(N_FEATURES)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = received(sent)
-        for batch in batches:
-            x = features(batch.column(2).to_pylist(), held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in x.T)], ["at", "toxic", *names])
-
-    chosen = sample.select(F.xxhash64(F.col("_key").cast("string"), "text").alias("at"), "toxic", "text")
-    rows = chosen.mapInArrow(run, "at long, toxic int, " + ", ".join(f"{n} double" for n in names)).orderBy("at").limit(fit_rows).toArrow()
-    x = np.stack([rows[n].to_numpy() for n in names], 1) if rows.num_rows else np.zeros((0, N_FEATURES))
+    chosen = own.where(part_of(F.col("_key")) == 3).join(known, "_key").select(F.xxhash64(F.col("_key").cast("string"), "text").alias("at"), "toxic", "text")
+    last = chosen.select("at").orderBy("at").limit(fit_rows).agg(F.max("at")).first()[0]
+    sample = materialize(chosen.where(F.lit(last is not None) & (F.col("at") <= F.lit(last))), "sample")
+    rows = described(sample, model, ("at", "toxic")).orderBy("at").limit(fit_rows).toArrow()
+    x = np.stack([rows[n].to_numpy() for n in NAMES], 1) if rows.num_rows else np.zeros((0, N_FEATURES))
     return model, logistic(x, rows["toxic"].to_numpy().astype(float) if rows.num_rows else np.zeros(0))
 
 
@@ -269,21 +296,10 @@ def score(docs: DataFrame, model: dict, weights: np.ndarray, key: str = "doc_id"
 
     Only the text is read. Repeated rows get equal scores; an empty table gives an empty one.
     """
-    sent = send(docs.sparkSession, model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = received(sent)
-        for batch in batches:
-            texts, found, start, chars = batch.column(1).to_pylist(), [], 0, 0
-            for i, t in enumerate(texts):
-                chars += len(t)
-                if chars > 500_000 or i == len(texts) - 1:
-                    x = features(texts[start : i + 1], held)
-                    found.append(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500))))
-                    start, chars = i + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))], [key, "score"])
-
-    return docs.select(docs[key], whole_text(text).alias("_text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    total = F.lit(float(weights[-1]))
+    for n, w in zip(NAMES, weights[:-1], strict=True):
+        total = total + F.col(n) * float(w)
+    return described(docs, model, (key,), text).select(key, (1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(500.0)), F.lit(-500.0))))).alias("score"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

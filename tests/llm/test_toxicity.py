@@ -127,3 +127,13 @@ def test_odd_texts_and_labels(spark, docs_of, fitted):
     for few in (labels.limit(0), labels.where("toxic = 0"), labels.union(labels.limit(5))):
         m, w = T.fit(docs.limit(40), few)
         assert all(0 <= r.score <= 1 for r in T.score(docs.limit(5), m, w).collect())
+
+
+def test_evidence_is_exact(spark):
+    """No gram takes on the counts of another, as in tables of hashed places."""
+    random.seed(8)
+    vocab = ["".join(random.choices("abcdéx", k=random.randint(1, 9))) for _ in range(60)]
+    docs = [(" ".join(random.choices(vocab, k=20)), i % 2) for i in range(60)]
+    got, _ = T.word_evidence(vocab, T.train_model(spark.createDataFrame(docs, "text string, toxic int")))
+    brute = brute_model(docs)
+    assert np.abs(got - [brute_evidence(w, brute) for w in vocab]).max() < 1e-6
