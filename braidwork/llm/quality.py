@@ -26,17 +26,22 @@ BOILERPLATE = (
     "all rights reserved|copyright ©|privacy policy|cookie policy|terms of use|terms of service|click here|"
     "enable javascript|subscribe to our newsletter|sign in to continue|skip to content|back to top"
 )
+#: A line fails on boilerplate when such phrases make up at least this share of its non-space characters.
+MIN_BOILERPLATE_SHARE = 0.2
 
 
 def line_fails(line: Column, max_symbol_share: float = MAX_SYMBOL_SHARE, boilerplate: str = BOILERPLATE) -> Column:
     """Whether a line breaks the punctuation, navigation or boilerplate rule. A line without a word breaks none."""
     solid = F.length(F.regexp_replace(line, SPACE_CLASS + "+", ""))
     marks = F.regexp_count(line, F.lit(LINE_MARKS))
+    low = F.lower(line)
+    rest = F.regexp_replace(F.regexp_replace(low, boilerplate, ""), SPACE_CLASS + "+", "")
+    furniture = low.rlike(boilerplate) & (F.length(rest) <= F.lit(1 - MIN_BOILERPLATE_SHARE) * F.length(F.regexp_replace(low, SPACE_CLASS + "+", "")))
     return (solid > 0) & (
         (marks > F.lit(max_symbol_share) * solid)
         | ~line.rlike(r"[\p{L}\p{N}]")
         | line.rlike(NAVIGATION)
-        | F.lower(line).rlike(boilerplate)
+        | furniture
     )
 
 

@@ -80,3 +80,12 @@ def test_clashing_columns_and_empty_table(docs_of):
     row = Q.clean(docs).first()
     assert row["doc"].kept == 7 and row["doc"]._t == "z" and row.q_words == 2
     assert Q.clean(docs_of([])).count() == 0
+
+
+def test_a_mention_does_not_cost_a_long_line(docs_of):
+    phrases = Q.BOILERPLATE.split("|")
+    long = [" ".join(prose(40, 50 + i) + [p] + prose(40, 80 + i)) for i, p in enumerate(phrases)]
+    short = [" ".join(prose(30, 110 + i)) + f"\n{p}" for i, p in enumerate(phrases)]
+    rows = {r["doc"].doc_id: r for r in Q.clean(docs_of(long + short)).collect()}
+    assert all(rows[i].kept and rows[i].cleaned_text == t for i, t in enumerate(long))
+    assert all(rows[len(long) + i].cleaned_text == t.split("\n")[0] for i, t in enumerate(short))
