@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking, in DataFrame expressions only.
 
 Strong finds are reported by themselves. Weak parts (account identifiers, bare random strings, endpoints) are reported
-only where the complementary parts stand within one scope: an interval join of the parts of a document, done as a range
-frame of the scope's width over the parts by place, so that no pairs are made.
+only where the complementary parts stand within one scope: an interval join of the parts of a document, done as runs of
+parts by place, each ended by a gap wider than the scope, so that no pairs are made.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .spans import joined, locate, numbered, overlaps
 
-#: Code points between the starts of parts that may belong to one credential.
+#: Code points, at most, between the end of one part and the start of the next that may belong to one credential.
 SCOPE = 200
 KINDS = ("assign", "access", "hex")
 MASK = "[SECRET]"
@@ -53,11 +53,15 @@ def _weak(df: DataFrame, text: str) -> DataFrame:
 def linked(found: DataFrame, row: str, scope: int = SCOPE) -> DataFrame:
     """(row, linked): the weak parts of each row's columns base and weak that complete a credential.
 
-    A weak part is reported if its scope (parts whose starts lie at most `scope` code points away) holds an identifier
-    and a secret, itself included, and besides either a strong find or an endpoint.
+    Parts form runs in which each starts at most `scope` code points after the end of those before it. All weak parts of
+    a run are reported if it holds an identifier and a secret, and besides either a strong find or an endpoint.
     """
     parts = found.where(F.size("weak") > 0).select(row, F.explode(F.concat("base", "weak")).alias("s")).select(row, "s.*")
-    near = Window.partitionBy(row).orderBy("start").rangeBetween(-scope, scope)
+    by_place = Window.partitionBy(row).orderBy("start", "nr")
+    reached = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_new", F.coalesce((F.col("start") - reached > scope).cast("int"), F.lit(0)))
+    parts = parts.withColumn("_run", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    near = Window.partitionBy(row, "_run")
     has = lambda c: F.max(c.cast("int")).over(near) == 1
     kind = F.col("kind")
     complete = has(kind.isin("access", "part_id")) & has(kind.isin("assign", "hex", "part_secret")) & (has(F.col("nr") < len(KINDS)) | has(kind == "part_endpoint"))

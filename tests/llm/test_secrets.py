@@ -73,3 +73,14 @@ def test_query_digest(docs_of):
 def test_empty_table(docs_of):
     assert secrets.scan(docs_of([])).count() == 0
     assert secrets.redact(docs_of([])).count() == 0
+
+
+def test_scope_is_the_gap_between_parts(docs_of):
+    weak, bare = "Zk9Qm2Lx8Vb4Tn6Rw1Yp", "https://db.example.com/x"
+    texts = [
+        f"login: alice_w {weak * 13} {bare}",
+        f"login: alice_w {'a ' * 70}{weak} {'a ' * 70}{bare}",
+        f"login: alice_w {weak} {'a ' * 120}{bare}",
+    ]
+    rows = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(docs_of(texts)).collect()}
+    assert rows == {0: ["part_id", "part_secret", "part_endpoint"], 1: ["part_id", "part_secret", "part_endpoint"], 2: []}
