@@ -45,7 +45,7 @@ MARKS = (1.5, 3.0, 5.0)
 
 
 def part_of(key: Column) -> Column:
-    """0 to 3: rows of 2 are held out, 3 fits the scores, 0 and 1 train the models."""
+    """0 to 3: rows of 2 are held out, a bounded sample of 3 fits the scores, all others train the models."""
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
@@ -282,9 +282,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if known.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
         known = F.broadcast(known)
     own = docs.select(docs[key].alias("_key"), whole_text(text).alias("text"))
-    model = train_model(own.where(part_of(F.col("_key")) < 2).join(known, "_key").select("text", "toxic"))
     chosen = own.where(part_of(F.col("_key")) == 3).join(known, "_key").select(F.xxhash64(F.col("_key").cast("string"), "text").alias("at"), "toxic", "text")
     last = chosen.select("at").orderBy("at").limit(fit_rows).agg(F.max("at")).first()[0]
+    at = F.xxhash64(F.col("_key").cast("string"), "text")
+    counted = (part_of(F.col("_key")) < 2) | ((part_of(F.col("_key")) == 3) & (at > F.lit(last)) if last is not None else F.lit(False))
+    model = train_model(own.where(counted).join(known, "_key").select("text", "toxic"))
     sample = materialize(chosen.where(F.lit(last is not None) & (F.col("at") <= F.lit(last))), "sample")
     rows = described(sample, model, ("at", "toxic")).orderBy("at").limit(fit_rows).toArrow()
     x = np.stack([rows[n].to_numpy() for n in NAMES], 1) if rows.num_rows else np.zeros((0, N_FEATURES))

@@ -137,3 +137,13 @@ def test_evidence_is_exact(spark):
     got, _ = T.word_evidence(vocab, T.train_model(spark.createDataFrame(docs, "text string, toxic int")))
     brute = brute_model(docs)
     assert np.abs(got - [brute_evidence(w, brute) for w in vocab]).max() < 1e-6
+
+
+def test_rows_beyond_the_fit_are_counted(spark, docs_of):
+    rows = corpus(120, 10)
+    third = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 3}
+    docs = docs_of([t + " wzqwzqw" * (i in third) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    model, _ = T.fit(docs, labels, fit_rows=5)
+    counted = model["grams"][T.ORDER - 1].df.where("gram = 'wzqwzqw'").first()
+    assert counted.n0 + counted.n1 == len(third) - 5 > 0
