@@ -18,10 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A top-level column by its name, dots and all."""
+    return df[quoted(name)]
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def packed(df: DataFrame, name: str) -> Column:
+    """All columns as one struct, whose fields no other name can clash with."""
+    return F.struct(*(column(df, c) for c in df.columns)).alias(name)
+
+
+def unpacked(df: DataFrame, name: str) -> DataFrame:
+    """The columns that packed() put away, and no others."""
+    return df.select(*(F.col(name).getField(f.name).alias(f.name) for f in df.schema[name].dataType.fields))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode
+    (tests), where there is one machine; on a cluster, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -35,8 +61,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def whole_text(column: str = "text") -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def whole_text(name: str = "text") -> Column:
+    return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))
 
 
 def words_of(text: Column) -> Column:

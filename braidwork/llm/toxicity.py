@@ -7,41 +7,43 @@ counts, so that rare expressions are judged by their pieces and unseen ones hard
 difference of its log-likelihoods under the two models; a document's is that difference a character, with how many of its
 words stand out and how far. A logistic fit on labelled documents that the models have not seen turns this into a score.
 
-The counts cover all training rows and are exact: tables in the shared folder, one row a gram or context, that grow with
-the corpus. Nothing of them is gathered. A character's chance depends on its gram alone, so the distinct grams of the
-documents' distinct words are joined with the counts by shuffle, order by order, and words' evidence is sums over grams.
-Documents go in chunks of CHUNK rows; each chunk is brought together with the evidence of the words in it.
+Texts are read once. Each task codes its documents in chunks of CHUNK_CHARS characters: a chunk is one row that holds its
+distinct words and, for each document, the words' places and counts. The counts are exact and grow with the corpus: each
+chunk tells its distinct grams once, with their counts in training documents; these are summed by gram, and shorter grams
+follow order by order in tables of the shared folder. A gram's chances go back to the chunks that asked for it, where
+words and documents are summed in whole numbers. No gram, word or text is gathered, and no text is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, whole_text
+from .common import column, kind_of, materialize, table, whole_text
 
-ORDER, SHARED = 7, 2
+ORDER, SHARED = 5, 2
 #: Counts up to this are given to the backoff in full, larger ones by so much: an expression of few documents is rare.
 RARE = 2
-#: Rows of documents whose words are looked up together.
-CHUNK = 1024
+#: Characters of texts that are coded together; a longer text is a chunk of its own.
+CHUNK_CHARS = 1 << 24
 #: Parts of a nat in which evidence is summed, as whole numbers: sums are then equal in any order.
 PARTS = 10**9
-#: Labelled rows, at most, on which the logistic fit is made; the documented bound on its sample.
+#: Labelled keys, at most, on which the logistic fit is made; the documented bound on its sample.
 FIT_ROWS = 20_000
-#: Labels up to which they are sent to every executor; beyond, they are joined with the documents by shuffle.
-SENT_ROWS = 500_000
 THRESHOLD = 0.3
 BEGIN, END = "\x02", "\x03"
 #: Evidence, in nats, from which a word stands out.
 MARKS = (1.5, 3.0, 5.0)
+N_FEATURES = 3 + 2 * len(MARKS)
+NAMES = [f"f{i}" for i in range(N_FEATURES)]
 
 
 def part_of(key: Column) -> Column:
@@ -49,173 +51,205 @@ def part_of(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
-def vocabulary(train: DataFrame) -> DataFrame:
-    """(word, n0, n1): in how many ordinary and toxic documents each word occurs; train has text and toxic."""
+def _packed(values: list[np.ndarray]) -> bytes:
+    """Whole numbers below 2^32, their bytes sorted by weight and compressed."""
+    flat = np.concatenate(values).astype("<u4") if values else np.zeros(0, "<u4")
+    return zstandard.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (Counter(), Counter())
 
-        def told() -> pa.RecordBatch:
-            words = list(found[0].keys() | found[1].keys())
-            columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in found)]
-            for c in found:
-                c.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "n0", "n1"])
+def _unpacked(data: bytes) -> np.ndarray:
+    plain = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(plain.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[toxic].update(set(text.lower().split()))
-                if len(found[0]) + len(found[1]) > 200_000:
-                    yield told()
-        yield told()
 
-    return train.select("text", "toxic").mapInArrow(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(chunk, keys, words, sizes, steps, counts), one row for each chunk of documents, written once.
 
+    words: the chunk's distinct words, each ended by a line feed. For each document, sizes has the number of its distinct
+    words; steps has their places among the chunk's words in rising order, each as the step from the one before; counts
+    has how often each occurs.
+    """
 
-def grams(words: DataFrame) -> list[DataFrame]:
-    """For k = 1 to ORDER, (gram, n0, n1): counts for the longest grams and for grams that begin a word, else the number
-    of characters they follow."""
-    padded = materialize(words.select(F.concat(F.lit(BEGIN), "word", F.lit(END)).alias("w"), "n0", "n1"), "words")
-    summed = lambda df: df.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    every = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - ORDER + 1), lambda i: F.substring(F.col("w"), i, F.lit(ORDER))))
-    out = [materialize(summed(padded.where(F.length("w") >= ORDER).select(every.alias("gram"), "n0", "n1")), "grams")]
-    for k in range(ORDER - 1, 0, -1):
-        longer = out[-1].select(F.substring("gram", 2, k).alias("gram"), (F.col("n0") > 0).cast("long").alias("n0"), (F.col("n1") > 0).cast("long").alias("n1"))
-        begins = padded.where(F.length("w") >= k).select(F.substring("w", 1, k).alias("gram"), "n0", "n1").where(F.lit(k > 1))
-        out.append(materialize(summed(longer.union(begins)), "grams"))
-    return out[::-1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId() << 32, 0
+        places: defaultdict = defaultdict()
 
+        def fresh() -> None:
+            nonlocal places, keys, sizes, steps, counts, chars
+            places = defaultdict()
+            places.default_factory = places.__len__
+            keys, sizes, steps, counts, chars = [], [], [], [], 0
 
-class Table:
-    """A table of the model. As an array it is its sorted rows, which are gathered for that: meant for small ones."""
+        def told() -> pa.RecordBatch:
+            words = zstandard.compress("".join(w + "\n" for w in places).encode(), 3)
+            packed = [pa.array([x], pa.binary()) for x in (words, _packed([np.array(sizes)]), _packed(steps), _packed(counts))]
+            return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), pa.array([keys], pa.list_(keys_kind)), *packed], ["chunk", "keys", "words", "sizes", "steps", "counts"])
 
-    def __init__(self, df: DataFrame):
-        self.df = df
+        keys, sizes, steps, counts, chars = [], [], [], [], 0
+        fresh()
+        for batch in batches:
+            keys_kind = batch.schema.field(0).type
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.fromiter(map(places.__getitem__, t.lower().split()), np.int64)
+                at, n = np.unique(at, return_counts=True)
+                keys.append(k)
+                sizes.append(len(at))
+                steps.append(np.diff(at, prepend=0))
+                counts.append(n)
+                chars += len(t)
+                if chars >= CHUNK_CHARS:
+                    yield told()
+                    number += 1
+                    fresh()
+        if keys:
+            yield told()
 
-    def __array__(self, dtype=None, copy=None) -> np.ndarray:
-        return np.array(sorted(map(tuple, self.df.collect())), dtype or object)
+    schema = f"chunk long, keys array<{kind_of(docs, key)}>, words binary, sizes binary, steps binary, counts binary"
+    return materialize(docs.select(column(docs, key).alias("key"), whole_text(text).alias("_text")).mapInArrow(run, schema), "chunks")
 
 
-def train_model(train: DataFrame) -> dict:
-    """The model's tables by order, (gram, n0, n1) and (context, c0 to c4), and discounts, from rows with text (not null) and toxic (0 or 1)."""
-    model: dict = {"grams": [], "contexts": [], "discounts": []}
-    kinds = [F.sum("n0"), F.sum("n1"), F.sum(F.least("n0", F.lit(RARE))), F.sum(F.least("n1", F.lit(RARE))), F.count(F.lit(1))]
-    for k, counts in enumerate(grams(vocabulary(train)), 1):
-        ones = counts.agg(F.count_if(F.col("n0") + F.col("n1") == 1), F.count_if(F.col("n0") + F.col("n1") == 2)).first()
-        model["discounts"].append(min(0.95, max(0.1, ones[0] / max(1, ones[0] + 2 * ones[1]))))
-        sums = counts.groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(*(c.alias(f"c{i}") for i, c in enumerate(kinds)))
-        model["grams"].append(Table(counts))
-        model["contexts"].append(Table(materialize(sums, "contexts")))
-    return model
+def _words(row: dict) -> list[str]:
+    return zstandard.decompress(row["words"]).decode().split("\n")[:-1]
 
 
-def _grams_of(words: DataFrame) -> DataFrame:
-    """(id, gram): for each character of a word (id, word) and its end, it with the up to ORDER - 1 characters before it."""
+def _places(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each document's places, places); places are those of the words that each document has."""
+    sizes, steps = _unpacked(row["sizes"]), _unpacked(row["steps"])
+    first = np.cumsum(sizes) - sizes
+    upto = np.concatenate([[0], np.cumsum(steps)])
+    return first, upto[1:] - np.repeat(upto[first], sizes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "gram"])
 
-        for batch in batches:
-            ids, found = [], []
-            for i, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = BEGIN + word + END
-                found += [w[max(0, e - ORDER) : e] for e in range(2, len(w) + 1)]
-                ids += [i] * (len(w) - 1)
-                if len(ids) > 200_000:
-                    yield told()
-                    ids, found = [], []
-            yield told()
+def _grams_of(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct grams, each word's grams by number, how many each word has): for each character of a word and its end,
+    it with the up to ORDER - 1 characters before it."""
+    known: defaultdict = defaultdict()
+    known.default_factory = known.__len__
+    found, sizes = [], []
+    for w in words:
+        w = BEGIN + w + END
+        found += [known[w[:e]] for e in range(2, min(ORDER, len(w) + 1))]
+        found += [known[w[e : e + ORDER]] for e in range(len(w) - ORDER + 1)]
+        sizes.append(len(w) - 1)
+    return list(known), np.array(found, np.int64), np.array(sizes, np.int64)
 
-    return words.select("id", "word").mapInArrow(run, "id long, gram string")
 
+def asked(coded: DataFrame, trained: DataFrame) -> DataFrame:
+    """(chunk, gram, n0, n1): each chunk's distinct grams, and in how many ordinary and toxic training documents' words
+    of the chunk they occur. trained: (key, toxic) of the training documents, keys unique."""
+    roles = coded.select("chunk", F.posexplode("keys").alias("at", "key")).join(trained, "key").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "toxic"))).alias("roles"))
 
-def chances(wanted: DataFrame, model: dict) -> list[DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                words = _words(row)
+                first, places = _places(row)
+                ends = np.append(first[1:], len(places))
+                n = np.zeros((2, len(words)), np.int64)
+                for r in row["roles"] or []:
+                    n[r["toxic"], places[first[r["at"]] : ends[r["at"]]]] += 1
+                grams, at, sizes = _grams_of(words)
+                sums = [np.bincount(at, np.repeat(x, sizes), len(grams)).astype(np.int64) if len(at) else np.zeros(0, np.int64) for x in n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), row["chunk"])), pa.array(grams, pa.string()), *map(pa.array, sums)], ["chunk", "gram", "n0", "n1"])
+
+    rows = coded.select("chunk", "words", "sizes", "steps").join(roles, "chunk", "left")
+    return materialize(rows.mapInArrow(run, "chunk long, gram string, n0 long, n1 long"), "asked")
+
+
+def chances(counts: DataFrame) -> list[DataFrame]:
     """For k = 1 to ORDER, (gram, p0, p1): how likely either model holds the last character of a gram after the others.
-    They are told for the distinct grams of at most ORDER characters in `wanted` and for all ends of these."""
-    need = [materialize(wanted.where(F.length("gram") == ORDER), "wanted")]
+
+    counts: (gram, n0, n1), grams distinct, of ORDER characters or fewer where they begin a word; chances are told for all
+    of them, counted or not, and for all ends of those.
+    """
+    levels = [materialize(counts.where(F.length("gram") == ORDER), "grams")]
     for k in range(ORDER - 1, 0, -1):
-        ends = need[-1].select(F.substring("gram", 2, k).alias("gram")).union(wanted.where(F.length("gram") == k)).distinct()
-        need.append(materialize(ends, "wanted"))
+        ends = levels[-1].select(F.substring("gram", 2, k).alias("gram"), (F.col("n0") > 0).cast("long").alias("n0"), (F.col("n1") > 0).cast("long").alias("n1"))
+        every = ends.union(counts.where(F.length("gram") == k))
+        levels.append(materialize(every.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams"))
     out: list[DataFrame] = []
-    for k, own in enumerate(need[::-1], 1):
-        own = own.select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"))
-        own = own.join(model["grams"][k - 1].df, "gram", "left").join(model["contexts"][k - 1].df, "context", "left")
-        if k > 1:
-            own = own.join(out[-1].select(F.col("gram").alias("rest"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), "rest")
+    both = F.col("n0") + F.col("n1")
+    for k, own in enumerate(levels[::-1], 1):
+        around, p = Window.partitionBy("context"), []
+        own = own.withColumn("context", F.substring("gram", 1, k - 1))
+        if k <= SHARED:
+            ones, twos = own.agg(F.count_if(both == 1), F.count_if(both == 2)).first()
+            off = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+            sums = {"total": F.sum(both), "mass": F.sum((both > 0).cast("long"))}
+        else:
+            sums = {f"{name}{c}": F.sum(F.least(f"n{c}", F.lit(RARE)) if name == "mass" else f"n{c}") for name in ("total", "mass") for c in (0, 1)}
+        if k == 1:
+            own = own.crossJoin(own.agg(*(v.alias(n) for n, v in sums.items()))).withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
         else:
-            own = own.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
-        own = own.na.fill(0, ["n0", "n1", *(f"c{i}" for i in range(5))])
-        d, p = model["discounts"][k - 1], []
-        for cls in (0, 1):
-            if k <= SHARED:
-                count, total, off, mass = F.col("n0") + F.col("n1"), F.col("c0") + F.col("c1"), d, d * F.col("c4")
-            else:
-                count, total, off, mass = F.col(f"n{cls}"), F.col(f"c{cls}"), RARE, F.col(f"c{2 + cls}")
-            below = F.greatest(count - off, F.lit(0)) + mass * F.col(f"q{cls}")
-            p.append(F.when(total > 0, below / total).otherwise(F.col(f"q{cls}")).alias(f"p{cls}"))
+            own = own.select("gram", "n0", "n1", *(v.over(around).alias(n) for n, v in sums.items()), F.substring("gram", 2, k - 1).alias("rest"))
+            own = own.join(out[-1].toDF("rest", "q0", "q1"), "rest")
+        for c in (0, 1):
+            count, total, less, mass = (both, F.col("total"), off, off * F.col("mass")) if k <= SHARED else (F.col(f"n{c}"), F.col(f"total{c}"), RARE, F.col(f"mass{c}"))
+            below = F.greatest(count - less, F.lit(0)) + mass * F.col(f"q{c}")
+            p.append(F.when(total > 0, below / total).otherwise(F.col(f"q{c}")).alias(f"p{c}"))
         out.append(materialize(own.select("gram", *p), "chances"))
     return out
 
 
-def evidence(words: DataFrame, model: dict) -> DataFrame:
-    """(word, gain): the log-likelihood of each word under toxic less that under ordinary; words are distinct."""
-    known = materialize(words.select("word", F.monotonically_increasing_id().alias("id")), "words")
-    parts = _grams_of(known)
-    told = chances(materialize(parts.select("gram").distinct(), "parts"), model)
+def gains(wanted: DataFrame) -> DataFrame:
+    """(gram, gain) for the grams of asked(): log-likelihood under toxic less that under ordinary, in PARTS of a nat."""
+    counts = materialize(wanted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "counts")
+    told = chances(counts)
     every = told[1]
-    for c in told[2:]:
-        every = every.union(c)
+    for p in told[2:]:
+        every = every.union(p)
     log = lambda p: F.log(F.greatest(F.col(p), F.lit(1e-12)))
     # Below ORDER characters, only beginnings are asked for.
-    every = every.where((F.length("gram") == ORDER) | F.col("gram").startswith(BEGIN)).select("gram", F.round((log("p1") - log("p0")) * PARTS).cast("long").alias("gain"))
-    sums = parts.join(every, "gram").groupBy("id").agg((F.sum("gain") / PARTS).alias("gain"))
-    return known.join(sums, "id").select("word", "gain")
+    own = every.where((F.length("gram") == ORDER) | F.col("gram").startswith(BEGIN))
+    return own.select("gram", F.round((log("p1") - log("p0")) * PARTS).cast("long").alias("gain"))
 
 
-def word_evidence(words: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(log-likelihood under toxic less that under ordinary, number of characters) of each of a few words."""
-    if not words:
-        return np.zeros(0), np.zeros(0)
-    spark = model["grams"][0].df.sparkSession
-    gain = dict(map(tuple, evidence(spark.createDataFrame([(w,) for w in set(words)], "word string"), model).collect()))
-    return np.array([gain[w] for w in words]), np.array([len(w) + 1.0 for w in words])
+def word_gains(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """The evidence of each word, in PARTS of a nat; known has the gains of all their grams."""
+    grams, at, sizes = _grams_of(words)
+    own = np.array([known[g] for g in grams], np.int64)
+    return np.add.reduceat(own[at], np.cumsum(sizes) - sizes) if words else np.zeros(0, np.int64)
 
 
-N_FEATURES = 3 + 2 * len(MARKS)
-
-
-def features(texts: list[str], known: pa.Array, gains: np.ndarray) -> np.ndarray:
-    """A row of N_FEATURES for each text; all zero for a text without words. `known` has all words of the texts."""
-    words, ends = [], []
-    for t in texts:
-        words += t.lower().split()
-        ends.append(len(words))
-    out = np.zeros((len(texts), N_FEATURES))
-    if not words:
+def features(row: dict, known: dict[str, int]) -> np.ndarray:
+    """A row of N_FEATURES for each document of a chunk; all zero for a text without words."""
+    words = _words(row)
+    first, places = _places(row)
+    n = _unpacked(row["counts"])
+    out = np.zeros((len(first), N_FEATURES))
+    some = np.flatnonzero(np.append(first[1:], len(places)) > first)
+    if not len(some):
         return out
-    coded = pa.array(words, pa.string()).dictionary_encode()
-    place = pc.index_in(coded.dictionary, value_set=known)
-    if place.null_count:
-        raise ValueError("a word without evidence: the documents changed between two readings")
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    gain = gains[place.to_numpy(zero_copy_only=False)][at]
-    size = (pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False) + 1.0)[at]
-    starts = np.array([0, *ends[:-1]])
-    n = np.array(ends) - starts
-    some = np.flatnonzero(n)
-    cut = starts[some]
-    sums = lambda x: np.add.reduceat(x, cut)
-    out[some, 0] = 10 * sums(gain) / sums(size)
-    out[some, 1] = np.maximum.reduceat(gain, cut) / 4
-    out[some, 2] = np.log1p(n[some])
+    cut = first[some]
+    gain, size = word_gains(words, known), np.array([len(w) + 1 for w in words], np.int64)
+    own, sums = gain[places], lambda x: np.add.reduceat(x, cut)
+    all_ = sums(n)
+    out[some, 0] = 10 * (sums(own * n) / PARTS) / sums(size[places] * n)
+    out[some, 1] = np.maximum.reduceat(own, cut) / (4 * PARTS)
+    out[some, 2] = np.log1p(all_)
     for i, mark in enumerate(MARKS):
-        over = sums((gain > mark).astype(float))
+        over = sums((own > mark * PARTS) * n)
         out[some, 3 + 2 * i] = np.log1p(over)
-        out[some, 4 + 2 * i] = 10 * np.sqrt(over / n[some])
+        out[some, 4 + 2 * i] = 10 * np.sqrt(over / all_)
     return out
 
 
+def described(coded: DataFrame, wanted: DataFrame, told: DataFrame) -> DataFrame:
+    """(key, f0, f1, ...) for every document of the chunks: each chunk meets the gains of the grams that it asked for."""
+    near = wanted.select("chunk", "gram").join(told, "gram")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = dict(zip(right["gram"].to_pylist(), right["gain"].to_pylist(), strict=True))
+        out = [(row["keys"], features(row, known)) for i in range(left.num_rows) for row in left.slice(i, 1).to_pylist()]
+        keys = [k for ks, _ in out for k in ks]
+        found = np.concatenate([f for _, f in out] or [np.zeros((0, N_FEATURES))])
+        return pa.table([pa.array(keys, left.schema.field("keys").type.value_type), *map(pa.array, found.T.copy())], ["key", *NAMES])
+
+    schema = f"key {coded.schema['keys'].dataType.elementType.simpleString()}, " + ", ".join(f"{n} double" for n in NAMES)
+    return materialize(coded.groupBy("chunk").cogroup(near.groupBy("chunk")).applyInArrow(run, schema), "features")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.3, rounds: int = 60) -> np.ndarray:
     """Weights of a logistic fit, the bias last, by Newton steps on standardised columns with a quadratic penalty."""
     if not len(y):
@@ -235,78 +269,43 @@ def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.3, rounds: int = 60)
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
-NAMES = [f"f{i}" for i in range(N_FEATURES)]
-
-
-def described(rows: DataFrame, model: dict, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The columns in `keep` and the features f0, f1, ... of each row. Rows are read twice and must come in the same order."""
-    own = rows.select(F.expr(f"monotonically_increasing_id() div {CHUNK}").alias("_chunk"), whole_text(text).alias("_text"), *(rows[c] for c in keep))
+def shares(labels: DataFrame, key: str = "doc_id", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(trained, sample), both (key, toxic) with unique keys, from rows of labels (key, toxic) outside the held-out part.
 
-    def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, found = None, set()
-
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(list(found), pa.string())], ["_chunk", "word"])
-
-        for batch in batches:
-            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if c != chunk:
-                    if found:
-                        yield told()
-                    chunk, found = c, set()
-                found.update(t.lower().split())
-        if found:
-            yield told()
-
-    held = materialize(own.select("_chunk", "_text").mapInArrow(words_in, "_chunk long, word string"), "held")
-    gains = held.join(evidence(held.select("word").distinct(), model), "word")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, gain = right["word"].combine_chunks(), right["gain"].to_numpy()
-        texts, found, start, chars = left["_text"].to_pylist(), [np.zeros((0, N_FEATURES))], 0, 0
-        for i, t in enumerate(texts):
-            chars += len(t)
-            if chars > 500_000 or i == len(texts) - 1:
-                found.append(features(texts[start : i + 1], known, gain))
-                start, chars = i + 1, 0
-        return pa.table([*(left[c] for c in keep), *(pa.array(c) for c in np.concatenate(found).T)], [*keep, *NAMES])
-
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} double" for n in NAMES])
-    return own.groupBy("_chunk").cogroup(gains.groupBy("_chunk")).applyInArrow(run, schema)
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict, np.ndarray]:
-    """(model, weights) from rows of labels (key, toxic) outside the held-out part. A key labelled twice is toxic if either label is."""
-    known = labels.where("toxic IS NOT NULL").select(labels[key].alias("_key"), (F.col("toxic") != 0).cast("int").alias("toxic"))
-    known = known.where(part_of(F.col("_key")) != 2).groupBy("_key").agg(F.max("toxic").alias("toxic"))
-    if known.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
-        known = F.broadcast(known)
-    own = docs.select(docs[key].alias("_key"), whole_text(text).alias("text"))
-    chosen = own.where(part_of(F.col("_key")) == 3).join(known, "_key").select(F.xxhash64(F.col("_key").cast("string"), "text").alias("at"), "toxic", "text")
-    last = chosen.select("at").orderBy("at").limit(fit_rows).agg(F.max("at")).first()[0]
-    at = F.xxhash64(F.col("_key").cast("string"), "text")
-    counted = (part_of(F.col("_key")) < 2) | ((part_of(F.col("_key")) == 3) & (at > F.lit(last)) if last is not None else F.lit(False))
-    model = train_model(own.where(counted).join(known, "_key").select("text", "toxic"))
-    sample = materialize(chosen.where(F.lit(last is not None) & (F.col("at") <= F.lit(last))), "sample")
-    rows = described(sample, model, ("at", "toxic")).orderBy("at").limit(fit_rows).toArrow()
-    x = np.stack([rows[n].to_numpy() for n in NAMES], 1) if rows.num_rows else np.zeros((0, N_FEATURES))
-    return model, logistic(x, rows["toxic"].to_numpy().astype(float) if rows.num_rows else np.zeros(0))
+    sample: at most fit_rows keys of part 3, chosen by hash; trained: all others. A key labelled twice is toxic if either
+    label is; null keys and null labels are left out.
+    """
+    known = labels.select(column(labels, key).alias("key"), (column(labels, "toxic") != 0).cast("int").alias("toxic")).where("key IS NOT NULL AND toxic IS NOT NULL")
+    known = known.where(part_of(F.col("key")) != 2).groupBy("key").agg(F.max("toxic").alias("toxic")).withColumn("at", F.xxhash64(F.col("key").cast("string")))
+    third = part_of(F.col("key")) == 3
+    last = known.where(third).select("at").orderBy("at").limit(fit_rows).agg(F.max("at")).first()[0]
+    chosen = third & (F.col("at") <= F.lit(last)) if last is not None else F.lit(False)
+    return known.where(~chosen).select("key", "toxic"), known.where(chosen).select("key", "toxic")
 
 
-def score(docs: DataFrame, model: dict, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score (0 to 1) for every row of docs; null counts as empty, and an empty text gets the score of no evidence.
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """key and score (0 to 1) for every row of docs, learnt from those rows of docs that labels (key, toxic) mark.
 
-    Only the text is read. Repeated rows get equal scores; an empty table gives an empty one.
+    Only the text is read for a score. Null texts count as empty; an empty text gets the score of no evidence. Equal texts
+    get equal scores, repeated rows and keys keep their rows, null keys too (they have no label). Other columns are not
+    read, whatever their names. Without labels every score is one half; an empty table gives an empty one. Counts cover
+    every labelled row outside the held-out part and the sample of at most fit_rows keys that the logistic fit is made on.
     """
+    trained, sample = shares(labels, key, fit_rows)
+    coded = chunks(docs, key, text)
+    wanted = asked(coded, trained)
+    found = described(coded, wanted, gains(wanted))
+    rows = found.join(sample, "key").orderBy(F.xxhash64(F.col("key").cast("string")), "key", *NAMES).limit(fit_rows).toArrow()
+    x = np.stack([rows[n].to_numpy() for n in NAMES], 1) if rows.num_rows else np.zeros((0, N_FEATURES))
+    weights = logistic(x, rows["toxic"].to_numpy().astype(float) if rows.num_rows else np.zeros(0))
     total = F.lit(float(weights[-1]))
     for n, w in zip(NAMES, weights[:-1], strict=True):
         total = total + F.col(n) * float(w)
-    return described(docs, model, (key,), text).select(key, (1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(500.0)), F.lit(-500.0))))).alias("score"))
+    return found.select(F.col("key").alias(key), (1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(500.0)), F.lit(-500.0))))).alias("score"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score(docs, *fit(docs, labels))
+    scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", F.coalesce(part_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

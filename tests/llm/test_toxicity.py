@@ -66,17 +66,25 @@ def brute_evidence(word, model):
     return total
 
 
-def test_evidence_against_brute_force(spark):
+def told_gains(spark, docs, more=()):
+    """{gram: gain in nats' parts} of a model trained on docs, for their words and for those of the texts in `more`."""
+    rows = [(i, t) for i, t in enumerate([t for t, _ in docs] + list(more))]
+    coded = T.chunks(spark.createDataFrame(rows, "doc_id long, text string"))
+    trained = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(docs)], "key long, toxic int")
+    return {r.gram: r.gain for r in T.gains(T.asked(coded, trained)).collect()}
+
+
+@pytest.mark.parametrize("chunk_chars", [1, T.CHUNK_CHARS])
+def test_evidence_against_brute_force(spark, monkeypatch, chunk_chars):
+    """Exact, however the documents fall into chunks."""
+    monkeypatch.setattr(T, "CHUNK_CHARS", chunk_chars)
     random.seed(8)
     vocab = ["".join(random.choices("abcdéx", k=random.randint(1, 9))) for _ in range(60)]
     docs = [(" ".join(random.choices(vocab[:50], k=20) + (random.choices(vocab[50:], k=3) if t else [])), t) for t in (random.randint(0, 1) for _ in range(60))]
-    model = T.train_model(spark.createDataFrame(docs, "text string, toxic int"))
     brute = brute_model(docs)
     words = [*vocab, "unseen", "a", "zz😀"]
-    got, size = T.word_evidence(words, model)
-    assert size.tolist() == [len(w) + 1 for w in words]
-    off = np.abs(got - [brute_evidence(w, brute) for w in words])
-    assert (off < 2e-3).mean() > 0.85 and off.max() < 0.5  # a few grams share hashed places; with more places none differ
+    got = T.word_gains(words, told_gains(spark, docs, [" ".join(words)])) / T.PARTS
+    assert np.abs(got - [brute_evidence(w, brute) for w in words]).max() < 1e-6
 
 
 def corpus(n, seed):
@@ -95,55 +103,67 @@ def corpus(n, seed):
 
 
 @pytest.fixture(scope="module")
-def fitted(spark, docs_of):
+def scored(spark, docs_of):
     rows = corpus(600, 9)
     docs = docs_of([t for _, t, _ in rows])
     labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
-    return rows, docs, labels, T.fit(docs, labels)
+    return rows, docs, labels, {r.doc_id: r.score for r in T.score(docs, labels).collect()}
 
 
-def test_held_out_accuracy(fitted):
-    rows, docs, _, (model, weights) = fitted
-    got = {r.doc_id: r.score for r in T.score(docs, model, weights).collect()}
-    held = [(x, got[i] >= T.THRESHOLD) for i, _, x in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+def part(i):
+    return zlib.crc32(str(i).encode()) % 4
+
+
+def test_held_out_accuracy(scored):
+    rows, _, _, got = scored
+    held = [(x, got[i] >= T.THRESHOLD) for i, _, x in rows if part(i) == 2]
     assert sum(p for x, p in held if x) >= 0.9 * sum(x for x, _ in held)
     assert sum(p for x, p in held if not x) <= 0.03 * sum(1 - x for x, _ in held)
 
 
-def test_held_out_labels_are_not_used(spark, fitted):
-    rows, docs, _, (model, weights) = fitted
-    turned = spark.createDataFrame([(i, 1 - x if zlib.crc32(str(i).encode()) % 4 == 2 else x) for i, _, x in rows], "doc_id long, toxic int")
-    again, weights_again = T.fit(docs, turned)
-    assert np.array_equal(weights, weights_again)
-    assert all(np.array_equal(a, b) for a, b in zip(model["grams"] + model["contexts"], again["grams"] + again["contexts"], strict=True))
+def test_held_out_labels_are_not_used(spark, scored):
+    rows, docs, _, got = scored
+    turned = spark.createDataFrame([(i, 1 - x if part(i) == 2 else x) for i, _, x in rows], "doc_id long, toxic int")
+    assert {r.doc_id: r.score for r in T.score(docs, turned).collect()} == got
 
 
-def test_odd_texts_and_labels(spark, docs_of, fitted):
-    _, docs, labels, (model, weights) = fitted
-    texts = ["", None, " \n", "grxavlo " * 20_000, "x" * 50_000, "grxavan plomfer"]
-    got = {r.doc_id: r.score for r in T.score(docs_of(texts), model, weights).collect()}
-    assert got[0] == got[1] == got[2] and all(0 <= s <= 1 for s in got.values()) and len(got) == 6
-    assert T.score(docs_of([]), model, weights).count() == 0
-    for few in (labels.limit(0), labels.where("toxic = 0"), labels.union(labels.limit(5))):
-        m, w = T.fit(docs.limit(40), few)
-        assert all(0 <= r.score <= 1 for r in T.score(docs.limit(5), m, w).collect())
+def test_chunks_do_not_change_scores(scored, monkeypatch):
+    _, docs, labels, got = scored
+    monkeypatch.setattr(T, "CHUNK_CHARS", 5_000)
+    again = {r.doc_id: r.score for r in T.score(docs.repartition(7), labels).collect()}
+    assert again.keys() == got.keys() and max(abs(again[k] - got[k]) for k in got) < 1e-9
 
 
-def test_evidence_is_exact(spark):
-    """No gram takes on the counts of another, as in tables of hashed places."""
-    random.seed(8)
-    vocab = ["".join(random.choices("abcdéx", k=random.randint(1, 9))) for _ in range(60)]
-    docs = [(" ".join(random.choices(vocab, k=20)), i % 2) for i in range(60)]
-    got, _ = T.word_evidence(vocab, T.train_model(spark.createDataFrame(docs, "text string, toxic int")))
-    brute = brute_model(docs)
-    assert np.abs(got - [brute_evidence(w, brute) for w in vocab]).max() < 1e-6
+def test_odd_rows(spark, scored):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names."""
+    rows, _, labels, _ = scored
+    texts = ["", None, " \n", "grxavlo " * 20_000, "x" * 50_000, "grxavan plomfer", "grxavan plomfer"]
+    odd = [(1000 + i, t, 0) for i, t in enumerate(texts)] + [(None, "er an", 0), (None, "er an", 0)]
+    every = spark.createDataFrame([(i, t, 0) for i, t, _ in rows] + odd, "`a.id` long, text string, key int")
+    every = every.select("*", F.lit(1).alias("f0"), F.lit("x").alias("chunk"), F.lit(2).alias("words"))
+    marks = labels.select(F.col("doc_id").alias("a.id"), "toxic").union(labels.limit(5)).union(spark.createDataFrame([(None, 1), (3, None)], "x long, toxic int"))
+    out = T.score(every, marks, "a.id").collect()
+    assert len(out) == len(rows) + len(odd) and all(0 <= r.score <= 1 for r in out)
+    got = {r["a.id"]: r.score for r in out}
+    assert got[1000] == got[1001] == got[1002] and got[1005] == got[1006] > 0.5
+    assert len([r for r in out if r["a.id"] is None]) == 2
+
+
+def test_few_labels_and_no_rows(spark, docs_of, scored):
+    _, docs, labels, _ = scored
+    assert T.score(docs.limit(0), labels).count() == 0
+    for few in (labels.limit(0), labels.where("toxic = 0")):
+        assert all(0 <= r.score <= 1 for r in T.score(docs.limit(40), few).collect())
 
 
 def test_rows_beyond_the_fit_are_counted(spark, docs_of):
     rows = corpus(120, 10)
-    third = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 3}
-    docs = docs_of([t + " wzqwzqw" * (i in third) for i, t, _ in rows])
+    third = [i for i, _, _ in rows if part(i) == 3]
     labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
-    model, _ = T.fit(docs, labels, fit_rows=5)
-    counted = model["grams"][T.ORDER - 1].df.where("gram = 'wzqwzqw'").first()
-    assert counted.n0 + counted.n1 == len(third) - 5 > 0
+    trained, sample = T.shares(labels, fit_rows=5)
+    chosen = {r.key for r in sample.collect()}
+    assert len(chosen) == 5 and chosen <= set(third)
+    assert {r.key for r in trained.collect()} == {i for i, _, _ in rows if part(i) != 2} - chosen
+    docs = docs_of([t + " wzqwzqw" * (i in third) for i, t, _ in rows])
+    counted = T.asked(T.chunks(docs), trained).where("gram = 'wzqwz'").agg(F.sum(F.col("n0") + F.col("n1"))).first()[0]
+    assert counted == len(third) - 5 > 0
