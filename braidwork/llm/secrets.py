@@ -1,17 +1,18 @@
 """Secret scans with multipart credential linking, in DataFrame expressions only.
 
 Strong finds are reported by themselves. Weak parts (account identifiers, bare random strings, endpoints) are reported
-only where the complementary parts stand within one scope: an interval join of the parts of a document, done as runs of
-parts by place, each ended by a gap wider than the scope, so that no pairs are made.
+only where the complementary parts stand within one scope: an interval join of the parts of a document. As a document's
+parts are in one row, the join is made there: parts in order fall into runs, each ended by a gap wider than the scope, so
+that no pairs are made, nothing is shuffled and no row needs a number to be found by again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .spans import joined, locate, numbered, overlaps
+from .common import column, packed, table
+from .spans import apart, fixed, joined, locate, merged, numbered, with_breaks
 
 #: Code points, at most, between the end of one part and the start of the next that may belong to one credential.
 SCOPE = 200
@@ -47,26 +48,36 @@ def _weak(df: DataFrame, text: str) -> DataFrame:
         df = locate(df, text, pattern, f"_{part}", lambda m, b, a: {}, F.col(text).rlike(guards[part]))  # noqa: ARG005
     every = F.concat(*(numbered(F.col(f"_{part}"), n + len(KINDS), f"part_{part}") for n, part in enumerate(WEAK)))
     df = df.withColumn("_every", every).drop(*(f"_{part}" for part in WEAK))
-    return df.withColumn("weak", F.when(F.size("base") == 0, F.col("_every")).otherwise(F.filter("_every", lambda s: ~overlaps(F.col("base"), s)))).drop("_every")
+    df = fixed(df, _parts=F.col("_every"), _found=F.col("base")).drop("_every", "base").withColumnRenamed("_found", "base")
+    return df.withColumn("weak", apart(F.col("_parts"), F.col("base"))).drop("_parts")
 
 
-def linked(found: DataFrame, row: str, scope: int = SCOPE) -> DataFrame:
-    """(row, linked): the weak parts of each row's columns base and weak that complete a credential.
+def linked(df: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Adds `linked`: those of the weak parts (column weak) that complete a credential with each other or with strong finds
+    (column base), by start.
 
     Parts form runs in which each starts at most `scope` code points after the end of those before it. All weak parts of
     a run are reported if it holds an identifier and a secret, and besides either a strong find or an endpoint.
     """
-    parts = found.where(F.size("weak") > 0).select(row, F.explode(F.concat("base", "weak")).alias("s")).select(row, "s.*")
-    by_place = Window.partitionBy(row).orderBy("start", "nr")
-    reached = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("_new", F.coalesce((F.col("start") - reached > scope).cast("int"), F.lit(0)))
-    parts = parts.withColumn("_run", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    near = Window.partitionBy(row, "_run")
-    has = lambda c: F.max(c.cast("int")).over(near) == 1
-    kind = F.col("kind")
-    complete = has(kind.isin("access", "part_id")) & has(kind.isin("assign", "hex", "part_secret")) & (has(F.col("nr") < len(KINDS)) | has(kind == "part_endpoint"))
-    told = parts.withColumn("_told", complete).where(F.col("_told") & (F.col("nr") >= len(KINDS)))
-    return told.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "nr", "end", "kind"))).alias("linked"))
+    df = fixed(df, _parts=F.when(F.size("weak") > 0, F.array_sort(F.concat("base", "weak"))))
+    starts = F.filter(F.transform(with_breaks(F.col("_parts"), scope), lambda x, i: F.when(x["new"], i)), lambda i: i.isNotNull())
+    df = fixed(df, _starts=starts)
+    ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(F.size("_parts")))
+    runs = F.zip_with("_starts", ends, lambda a, b: F.slice("_parts", a + 1, b - a))
+
+    def told(run: Column) -> Column:
+        has = lambda *kinds: F.exists(run, lambda p: p["kind"].isin(*kinds))
+        complete = has("access", "part_id") & has("assign", "hex", "part_secret") & has(*KINDS, "part_endpoint")
+        return F.when(complete, F.filter(run, lambda p: p["nr"] >= len(KINDS))).otherwise(F.slice(run, 1, 0))
+
+    found = F.when(F.size("weak") > 0, F.flatten(F.transform(runs, told))).otherwise(F.slice("weak", 1, 0))
+    return df.withColumn("linked", found).drop("_parts", "_starts")
+
+
+def found_in(own: DataFrame, text: str, scope: int) -> DataFrame:
+    """Adds base and spans to rows with a text that isn't null."""
+    df = linked(_weak(_strong(own, text), text), scope)
+    return fixed(df, spans=F.array_sort(F.concat("base", "linked"))).drop("weak", "linked")
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -74,48 +85,38 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
 
     base holds the strong finds (assign, access, hex) by start, then kind; spans has the linked weak parts besides,
     sorted alike. Places are code points, ends exclusive. A null or empty text has none; finds of different kinds may
-    overlap; repeated rows each get theirs; an empty table gives an empty one. `keep` must not name base, weak, spans.
+    overlap; repeated rows each get theirs; an empty table gives an empty one. Columns may have any names; `keep` must not
+    name base or spans.
     """
-    own = docs.select(*(docs[c] for c in keep), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_scan_row"))
-    found = _weak(_strong(own, "_text"), "_text").select("_scan_row", *keep, "base", "weak")
-    found = materialize(found, "secrets")
-    none = F.slice("base", 1, 0)
-    out = found.select("_scan_row", *keep, "base").join(linked(found, "_scan_row", scope), "_scan_row", "left")
-    return out.select(*keep, "base", F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("spans"))
-
-
-#: What a text must have somewhere for scan() to find anything in it.
-MAYBE = "|".join([ASSIGN, ACCESS, HEX, *WEAK.values()])
+    own = docs.select(F.struct(*(column(docs, c) for c in keep)).alias("_keep"), F.coalesce(column(docs, text).cast("string"), F.lit("")).alias("_text"))
+    found = found_in(own, "_text", scope)
+    return found.select(*(F.col("_keep").getField(c).alias(c) for c in keep), "base", "spans")
 
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
     """The text with every stretch that spans (by start) cover replaced by one mask."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        piece = F.concat(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(spans, start, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    stretches = merged(spans)
+    ends = F.concat(F.array(F.lit(0).cast("long")), stretches["end"])
+    piece = lambda s, e: F.concat(F.substr(text, (e + 1).cast("int"), (s["start"] - e).cast("int")), F.lit(mask))
+    pieces = F.zip_with(stretches, F.slice(ends, 1, F.size(stretches)), piece)
+    return F.concat(F.array_join(pieces, ""), F.substr(text, (F.array_max(spans["end"]) + 1).cast("int")))
 
 
 def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     """docs with masks in place of secrets, and n_chars (if there is such a column) told anew where the text changed.
 
-    Only documents that a cheap test can't clear are scanned and joined with their finds; all others pass as they are.
-    Every row stays. A null text stays null.
+    Each row is scanned and masked by itself: whatever happens to tasks or partitions, no row can meet another's finds.
+    Every row stays, repeated ones too; a null text stays null; an empty table gives an empty one. Other columns stay as
+    they are, whatever their names. Of finds that overlap or touch the same stretch, one mask is left.
     """
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs[text].cast("string").alias("_body"), F.monotonically_increasing_id().alias("_at"))
-    maybe = F.coalesce(F.col("_body").rlike(MAYBE), F.lit(False))
-    some = own.where(maybe)
-    found = scan(some, ("_at",), "_body", scope).where(F.size("spans") > 0).select("_at", "spans")
-    hit = some.join(found, "_at", "left")
-    changed = F.col("spans").isNotNull()
-    hit = hit.withColumn("_body", F.when(changed, masked(F.col("_body"), F.col("spans"), mask)).otherwise(F.col("_body")))
-    new = {text: F.col("_body"), "n_chars": F.when(changed, F.length("_body")).otherwise(F.col("_doc")["n_chars"])} if "n_chars" in docs.columns else {text: F.col("_body")}
-    fields = [new.get(c, F.col("_doc")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
-    return own.where(~maybe).select("_doc.*").union(hit.select(fields))
+    own = docs.select(packed(docs, "_doc"), F.coalesce(column(docs, text).cast("string"), F.lit("")).alias("_body"))
+    hit = found_in(own, "_body", scope)
+    changed = F.size("spans") > 0
+    hit = fixed(hit, _new=F.when(changed, masked(F.col("_body"), F.col("spans"), mask)))
+    new = {text: F.when(changed, F.col("_new")).otherwise(F.col("_doc").getField(text))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("_new")).otherwise(F.col("_doc").getField("n_chars"))
+    return hit.select(*(new.get(c, F.col("_doc").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,5 +57,41 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def overlaps(spans: Column, s: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once a row: the generator keeps later expressions from taking them up, where
+    inside a lambda they would be worked out anew for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def _before(spans: Column, own: str, others: Column, end: str, own_first: bool) -> Column:
+    """For each of `spans`, how many of `others` have their `end` before the span's place `own`; at equal places, the span
+    comes first or last. One sort: a place's rank among all less its rank among its own is that number."""
+    mark = F.lit(0 if own_first else 1)
+    mine = F.transform(spans, lambda s, i: F.struct(s[own].alias("at"), mark.alias("who"), i.alias("id")))
+    rest = F.transform(others, lambda s: F.struct(s[end].alias("at"), (1 - mark).alias("who"), F.lit(-1).alias("id")))
+    ranked = F.transform(F.array_sort(F.concat(mine, rest)), lambda e, i: F.struct(e["id"].alias("id"), i.alias("i")))
+    counted = F.transform(F.filter(ranked, lambda e: e["id"] >= 0), lambda e, j: F.struct(e["id"].alias("id"), (e["i"] - j).alias("n")))
+    return F.array_sort(counted)["n"]
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of `spans` that overlap none of `others`, in time that grows with both together."""
+    begun, ended = _before(spans, "end", others, "start", True), _before(spans, "start", others, "end", False)
+    free = F.zip_with(begun, ended, lambda b, e: b == e)
+    marked = F.zip_with(spans, free, lambda s, f: F.struct(s.alias("s"), f.alias("f")))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(F.filter(marked, lambda x: x["f"])["s"])
+
+
+def with_breaks(spans: Column, gap: int) -> Column:
+    """Spans by start as struct<s, e, new>: e is the furthest end before the span (the end of that rank, wherever it
+    matters), new tells whether the span starts more than `gap` after it."""
+    ends = F.array_sort(spans["end"])
+    shifted = F.concat(F.array(F.lit(None).cast("long")), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))).cast("array<long>"))
+    return F.zip_with(spans, F.slice(shifted, 1, F.size(spans)), lambda s, e: F.struct(s.alias("s"), e.alias("e"), F.coalesce(s["start"] - e > gap, F.lit(True)).alias("new")))
+
+
+def merged(spans: Column) -> Column:
+    """The stretches (struct<start, end>) that spans, by start, cover; those that only touch stay apart."""
+    breaks = F.filter(with_breaks(spans, -1), lambda x: x["new"])
+    ends = F.concat(F.slice(breaks["e"], 2, F.greatest(F.size(breaks) - 1, F.lit(0))), F.array(F.array_max(spans["end"]).cast("long")))
+    return F.zip_with(breaks["s"]["start"], F.slice(ends, 1, F.size(breaks)), lambda s, e: F.struct(s.cast("long").alias("start"), e.alias("end")))

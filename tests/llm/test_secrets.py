@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from braidwork.llm import secrets
@@ -84,3 +85,81 @@ def test_scope_is_the_gap_between_parts(docs_of):
     ]
     rows = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(docs_of(texts)).collect()}
     assert rows == {0: ["part_id", "part_secret", "part_endpoint"], 1: ["part_id", "part_secret", "part_endpoint"], 2: []}
+
+
+def brute_linked(text):
+    """Weak parts of complete groups by a join of all pairs of parts: two are linked if at most SCOPE lies between them."""
+    strong = brute(text)
+    weak = []
+    for nr, (part, pattern) in enumerate(secrets.WEAK.items()):
+        for m in regex.finditer(pattern.replace("(?i:", "(?i:").replace(r"\x20", " "), text):
+            if not any(b[0] < m.end() and m.start() < b[2] for b in strong):
+                weak.append((m.start(), nr + len(secrets.KINDS), m.end(), f"part_{part}"))
+    parts = strong + weak
+    group = list(range(len(parts)))
+    for i, a in enumerate(parts):
+        for j, b in enumerate(parts):
+            if max(a[0], b[0]) - min(a[2], b[2]) <= secrets.SCOPE:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    out = []
+    for g in set(group):
+        own = [p for p, x in zip(parts, group, strict=True) if x == g]
+        kinds = {p[3] for p in own}
+        if kinds & {"access", "part_id"} and kinds & {"assign", "hex", "part_secret"} and kinds & {*secrets.KINDS, "part_endpoint"}:
+            out += [p for p in own if p[1] >= len(secrets.KINDS)]
+    return sorted(strong + out)
+
+
+def planted(rng):
+    """(text, places of the weak parts of its credentials): credentials, lone parts and prose."""
+    prose = lambda n: " ".join("".join(rng.choices("aeioulmnrst", k=rng.randint(2, 8))) for _ in range(n))
+    random_string = lambda: "".join(rng.choices("ABCDEFGHJKLMNP", k=8) + rng.choices("abcdefghjkmnp", k=8) + rng.choices("23456789", k=8))
+    out, want = prose(5) + " ", []
+    for _ in range(rng.randint(1, 4)):
+        parts = [f"login: {prose(1)}_{rng.randint(10, 99)}", random_string(), f"https://{prose(1)}.example.com/{prose(1)}"]
+        rng.shuffle(parts)
+        whole = rng.random() < 0.5
+        for p in parts if whole else parts[:2] if "login" in parts[2] or rng.random() < 0.3 else parts[:1]:
+            if whole:
+                want.append((len(out), len(out) + len(p)))
+            out += p + " " + prose(rng.randint(0, 6)) + " "
+        out += prose(90) + " "
+    return out, want
+
+
+def test_linked_parts_against_all_pairs_and_planted_credentials(docs_of):
+    rng = random.Random(12)
+    made = [planted(rng) for _ in range(120)]
+    rows = {r.doc_id: told(r.spans) for r in secrets.scan(docs_of([t for t, _ in made])).collect()}
+    caught = wanted = right = reported = 0
+    for i, (text, want) in enumerate(made):
+        assert rows[i] == brute_linked(text), text
+        own = {(s, e) for s, _, e, k in rows[i] if k.startswith("part_")}
+        caught, wanted, right, reported = caught + len(own & set(want)), wanted + len(want), right + len(own & set(want)), reported + len(own)
+    assert wanted > 150 and caught >= 0.95 * wanted and right >= 0.95 * reported
+
+
+def test_redaction_when_cores_change(spark, tmp_path):
+    """Rows are masked by themselves: a scan cut up otherwise between two readings changes nothing."""
+    key = 'token = "' + "7c" * 20 + '"'
+    rows = [(i, f"row {i} " + key * (i % 50 == 0), "en", "s", 1) for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(9).write.parquet(str(tmp_path / "docs"))
+    seen = []
+    for bytes_ in ("4k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+        out = secrets.redact(spark.read.parquet(str(tmp_path / "docs")))
+        seen.append((out.where("text like '%7c7c%'").count(), out.where("text like '%[SECRET]%'").count(), out.count()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen == [(0, 80, 4000)] * 2
+
+
+def test_odd_columns_and_many_finds(spark):
+    text = ("token=abcdef1 login: alice_w2 " + "Zk9Qm2Lx8Vb4Tn6Rw1Yp ") * 3000
+    rows = [(1, text, 5, "x", 2), (1, text, 5, "x", 2), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "`a.b` int, text string, base int, _doc string, spans int")
+    out = secrets.redact(docs).collect()
+    assert len(out) == 3 and out[0].asDict().keys() == {"a.b", "text", "base", "_doc", "spans"}
+    assert sorted((r.text or "").count("[SECRET]") for r in out) == [0, 9000, 9000]
+    got = secrets.scan(docs, ("a.b", "_doc")).collect()
+    assert sorted(len(r.spans) for r in got) == [0, 9000, 9000]
