@@ -1,7 +1,8 @@
 """Mixing sources to target weights by temperature.
 
 Each source's share p of all tokens becomes a weight in proportion to p^a. The exponent a in [0, 1] is bisected until the
-weights reach a target evenness (entropy over its largest value) or until no source is repeated more often than allowed.
+weights reach a target entropy, given as evenness (entropy over its largest value) or as a share of the way from natural
+entropy to the largest, and until no source is repeated more often than allowed.
 The weights times the token budget are then realised as permutations of blocks: a source's documents are hashed into
 blocks; it is passed over in whole as often as its target holds, and the rest is filled with its blocks in the order of a
 keyed permutation, the last one in part.
@@ -16,27 +17,34 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize, table, whole_text
+from .common import WORD_PATTERN, column, materialize, packed, table, unpacked, whole_text
 
 SEED = 20_240
-BLOCK_TOKENS = 1 << 16
-#: Blocks to a source; a bound on the sums that one task orders, not on the documents.
-MOST_BLOCKS = 1 << 16
+#: Blocks to a source, whatever its size: a source's last pass ends within one block, which is then cut by document.
+BLOCKS = 1 << 12
 #: Rows of the table of blocks up to which it is sent to every executor; beyond, documents and blocks are joined by shuffle.
 SENT_ROWS = 100_000
 #: Exponents tried at once, and rounds: each round narrows the bracket to one of SECTIONS parts.
 SECTIONS, ROUNDS = 32, 6
-EVENNESS = 0.95
+#: The query's target: so far from the sources' natural entropy towards the largest, that of equal weights.
+TOWARDS = 0.5
+MAX_REPETITION = 4.0
 
 
-def _tagged(docs: DataFrame, key: str, source: str, blocks: int, seed: int) -> DataFrame:
+def _own(docs: DataFrame, key: str, source: str, text: str, tokens: str | None) -> DataFrame:
+    """docs' rows as _doc, with _key, _source and _tokens (a column's counts, null counting as 0, or else the words)."""
+    counted = F.regexp_count(whole_text(text), F.lit(WORD_PATTERN)) if tokens is None else F.coalesce(column(docs, tokens), F.lit(0))
+    return docs.select(packed(docs, "_doc"), column(docs, key).alias("_key"), column(docs, source).alias("_source"), counted.cast("long").alias("_tokens"))
+
+
+def _tagged(docs: DataFrame, seed: int) -> DataFrame:
     """Adds _s (the source, null made empty but told apart), _b (block) and _h (place within it)."""
-    s = F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string")))
-    at = F.xxhash64(F.lit(seed), F.col(key).cast("string"), s)
-    return docs.withColumns({"_s": s, "_b": F.pmod(at, F.lit(blocks)).cast("int"), "_h": F.xxhash64(F.lit(seed + 1), F.col(key).cast("string"), s)})
+    s = F.when(F.col("_source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("_source").cast("string")))
+    at = F.xxhash64(F.lit(seed), F.col("_key").cast("string"), s)
+    return docs.withColumns({"_s": s, "_b": F.pmod(at, F.lit(BLOCKS)).cast("int"), "_h": F.xxhash64(F.lit(seed + 1), F.col("_key").cast("string"), s)})
 
 
-def temperature(sources: DataFrame, budget: float | None, evenness: float | None, max_repetition: float | None) -> tuple[float, float, float]:
+def temperature(sources: DataFrame, budget: float | None, evenness: float | None, max_repetition: float | None, towards: float | None = None) -> tuple[float, float, float]:
     """(a, Z, tokens): the exponent for sources (tokens long), the sum of shares^a, and the tokens to realise.
 
     budget: tokens to realise, as a multiple of all tokens. One job a round: for SECTIONS + 1 exponents the sums over all sources are taken at once. Without a budget there are
@@ -56,7 +64,10 @@ def temperature(sources: DataFrame, budget: float | None, evenness: float | None
         repeated = tokens(a, z) * rare / (z * total)
         return (evenness is None or even <= evenness + 1e-12) and (max_repetition is None or repeated <= max_repetition * (1 + 1e-12))
 
-    low, high, at_high = 0.0, 1.0, float(1.0)
+    if towards is not None and count > 1:
+        natural = sources.agg(-F.sum(p * F.log(p))).first()[0] / math.log(count)
+        evenness = min(1.0, natural + towards * (1 - natural))
+    low, high, at_high = 0.0, 1.0, 1.0
     for _ in range(ROUNDS):
         tried = [low + (high - low) * i / SECTIONS for i in range(SECTIONS + 1)]
         a = F.explode(F.array(*map(F.lit, tried))).alias("a")
@@ -70,20 +81,17 @@ def temperature(sources: DataFrame, budget: float | None, evenness: float | None
     return high, at_high, tokens(high, at_high)
 
 
-def plan(docs: DataFrame, key: str, source: str, text: str, budget: float | None, evenness: float | None, max_repetition: float | None, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """(documents' sizes, decisions by _s and _b, number of blocks).
+def plan(docs: DataFrame, budget: float | None, evenness: float | None, max_repetition: float | None, towards: float | None, seed: int) -> tuple[DataFrame, DataFrame, float]:
+    """(documents' sizes, decisions by _s and _b, exponent) for documents _key, _source, _tokens.
 
     A decision: passes (whole passes over the source), part (whether the block is in the partial pass after them) and cut
     (of a block that is in it partly: the largest _h that still is).
     """
-    sized = docs.select(key, source, F.regexp_count(whole_text(text), F.lit(WORD_PATTERN)).cast("long").alias("n_tokens"))
-    sized = materialize(sized, "sizes")
-    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
-    n_blocks = max(1, min(MOST_BLOCKS, -(-total // BLOCK_TOKENS)))
-    tagged = _tagged(sized, key, source, n_blocks, seed)
-    blocks = materialize(tagged.groupBy("_s", "_b").agg(F.sum("n_tokens").alias("tokens")), "blocks")
+    sized = materialize(_tagged(docs, seed).select("_key", "_source", "_tokens", "_s", "_b", "_h"), "sizes")
+    total = sized.agg(F.sum("_tokens")).first()[0] or 0
+    blocks = materialize(sized.groupBy("_s", "_b").agg(F.sum("_tokens").alias("tokens")), "blocks")
     sources = blocks.groupBy("_s").agg(F.sum("tokens").alias("tokens"))
-    a, z, tokens = temperature(sources.select("tokens").where("tokens > 0"), budget, evenness, max_repetition)
+    a, z, tokens = temperature(sources.select("tokens").where("tokens > 0"), budget, evenness, max_repetition, towards)
     share = F.col("all") / F.lit(float(max(total, 1)))
     target = F.lit(tokens) * F.pow(share, F.lit(a)) / F.lit(z)
     of = sources.withColumnRenamed("tokens", "all").where("all > 0").withColumn("target", target)
@@ -93,45 +101,71 @@ def plan(docs: DataFrame, key: str, source: str, text: str, budget: float | None
     upto = Window.partitionBy("_s").orderBy("turn", "_b").rowsBetween(Window.unboundedPreceding, 0)
     ordered = blocks.join(of, "_s", "left").withColumn("turn", turn).withColumn("sum", F.sum("tokens").over(upto))
     # A source without tokens costs nothing: it is passed over once.
-    ordered = ordered.select("_s", "_b", F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce((F.col("rest") > 0) & (F.col("rest") >= F.col("sum")), F.lit(False)).alias("part"), (F.col("rest") - (F.col("sum") - F.col("tokens"))).alias("room"))
+    ordered = ordered.select("_s", "_b", F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce((F.col("rest") > 0) & (F.col("rest") >= F.col("sum")), F.lit(False)).alias("part"), (F.col("rest") - (F.col("sum") - F.col("tokens"))).alias("room"), F.coalesce("target", F.lit(0.0)).alias("target"))
     ordered = materialize(ordered, "orders")
     broken = ordered.where(~F.col("part") & (F.col("room") > 0)).select("_s", "_b", "room")
     upto_h = Window.partitionBy("_s", "_b").orderBy("_h").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = tagged.join(broken, ["_s", "_b"]).withColumn("sum", F.sum("n_tokens").over(upto_h)).where("sum <= room").groupBy("_s", "_b").agg(F.max("_h").alias("cut"))
-    return sized, materialize(ordered.join(cuts, ["_s", "_b"], "left").select("_s", "_b", "passes", "part", "cut"), "decisions"), n_blocks
+    cuts = sized.join(broken, ["_s", "_b"]).withColumn("sum", F.sum("_tokens").over(upto_h)).where("sum <= room").groupBy("_s", "_b").agg(F.max("_h").alias("cut"))
+    return sized, materialize(ordered.join(cuts, ["_s", "_b"], "left").select("_s", "_b", "passes", "part", "cut", "target"), "decisions"), a
 
 
-def _realised(docs: DataFrame, decisions: DataFrame, key: str, source: str, n_blocks: int, seed: int) -> DataFrame:
-    """docs once for each pass they are in, with _s, _b and epoch."""
+def _realised(tagged: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows once for each pass they are in, with epoch."""
     if decisions.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
         decisions = F.broadcast(decisions)
-    joined = _tagged(docs, key, source, n_blocks, seed).join(decisions, ["_s", "_b"])
+    joined = tagged.join(decisions, ["_s", "_b"])
     copies = F.col("passes") + (F.col("part") | F.coalesce(F.col("_h") <= F.col("cut"), F.lit(False))).cast("int")
     return joined.withColumn("_n", copies).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: float | None = None, evenness: float | None = None, max_repetition: float | None = None, seed: int = SEED) -> DataFrame:
-    """key, source, epoch (0, 1, ...), block, turn and n_tokens (words): one row for each time a document is used.
+def mix(
+    docs: DataFrame,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    budget: float | None = None,
+    evenness: float | None = None,
+    max_repetition: float | None = None,
+    seed: int = SEED,
+    towards: float | None = None,
+    tokens: str | None = None,
+) -> DataFrame:
+    """key, source, epoch (0, 1, ...), block, turn, n_tokens, exponent and target (the source's tokens to realise): one row
+    for each time a document is used.
 
     Ordering by epoch, turn and key gives the mixture's order: the blocks of all sources, permuted anew each pass. The
-    tokens of a source come to its target less at most one document. Null sources are one source; documents with equal
-    keys and sources share one fate; null and empty texts have no tokens and follow their block; a source without tokens
-    is used once; an empty table gives an empty one.
+    tokens of a source come to its target less at most one document. tokens names a column of counts, as
+    token_counts.count_tokens() gives; without it, words stand for tokens. Null sources are one source; documents with
+    equal keys and sources, repeated rows among them, share one fate; null and empty texts have no tokens and follow their
+    block; a source without tokens is used once; an empty table gives an empty one. Other columns may have any names.
     """
-    sized, decisions, n_blocks = plan(docs, key, source, text, budget, evenness, max_repetition, seed)
-    used = _realised(sized, decisions, key, source, n_blocks, seed)
-    return used.select(key, source, "epoch", F.col("_b").alias("block"), F.xxhash64(F.lit(seed), F.col("epoch"), F.col("_s"), F.col("_b")).alias("turn"), "n_tokens")
-
-
-def remixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", budget: float | None = None, evenness: float | None = None, max_repetition: float | None = None, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as mix() uses it, with docs' own columns only."""
-    _, decisions, n_blocks = plan(docs, key, source, text, budget, evenness, max_repetition, seed)
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs[key].alias("_key"), docs[source].alias("_source"))
-    return _realised(own, decisions, "_key", "_source", n_blocks, seed).select("_doc.*")
+    sized, decisions, a = plan(_own(docs, key, source, text, tokens), budget, evenness, max_repetition, towards, seed)
+    used = _realised(sized, decisions)
+    turn = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("_s"), F.col("_b")).alias("turn")
+    return used.select(F.col("_key").alias(key), F.col("_source").alias(source), "epoch", F.col("_b").alias("block"), turn, F.col("_tokens").alias("n_tokens"), F.lit(a).alias("exponent"), "target")
+
+
+def remixed(
+    docs: DataFrame,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    budget: float | None = None,
+    evenness: float | None = None,
+    max_repetition: float | None = None,
+    seed: int = SEED,
+    towards: float | None = None,
+    tokens: str | None = None,
+) -> DataFrame:
+    """The rows of docs, each as often as mix() uses it, with docs' own columns only. A row's fate hangs on its key and
+    source alone, so reading docs again, in whatever order, gives the same rows."""
+    own = _own(docs, key, source, text, tokens)
+    _, decisions, _ = plan(own, budget, evenness, max_repetition, towards, seed)
+    return unpacked(_realised(_tagged(own.drop("_tokens"), seed), decisions), "_doc")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), budget=1.0, evenness=EVENNESS)
+    return mix(table(spark, sf_dir, "documents"), max_repetition=MAX_REPETITION, towards=TOWARDS)
 
 
 QUERIES = {"op9_mixing": op9_mixing}
