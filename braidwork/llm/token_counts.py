@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, whole_text
+from .common import column, materialize, shared_dir, table, whole_text
 
 TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
-CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
+CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 _LOADED: dict = {}
 
 
@@ -66,7 +66,7 @@ def count_tokens(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
 
     A null text counts as empty, an empty one has no tokens. The content is the text itself, null made empty: any further
     normalisation could change counts. Copies and repeated rows share one count; an empty table gives an empty one and
-    appends nothing. `keep` must not name n_bytes, n_tokens or content.
+    appends nothing. Columns may have any names; `keep` must not name n_bytes or n_tokens.
 
     tokenizer: path of a .model (sentencepiece) or .json (tokenizers) file, on every machine. cache: the table's folder, on
     storage that driver and executors share; None begins a new one in the shared folder. Runs that overlap can both
@@ -76,7 +76,7 @@ def count_tokens(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     version = tokenizer_digest(path)
     cache = cache or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
-    own = docs.select(*(docs[c] for c in keep), whole_text(text).alias("_text")).withColumn("content", F.sha2("_text", 256))
+    own = docs.select(F.struct(F.lit(0).alias("_"), *(column(docs, c) for c in keep)).alias("_keep"), whole_text(text).alias("_text")).withColumn("content", F.unhex(F.sha2("_text", 256)))
     distinct = own.select("content", "_text").groupBy("content").agg(F.first("_text").alias("_text"))
     known = _stored(spark, cache, version)
     misses = distinct if known is None else distinct.join(known, "content", "left_anti")
@@ -90,9 +90,10 @@ def count_tokens(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 
     misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = _stored(spark, cache, version)
-    sized = own.select(*keep, F.octet_length("_text").cast("long").alias("n_bytes"), "content")
-    return sized.join(counts, "content").select(*keep, "n_bytes", "n_tokens")
+    # Written out, one row a content: a join that has no sum below it can split the rows of a text that is copied often.
+    counts = materialize(_stored(spark, cache, version), "token-counts")
+    sized = own.select("_keep", F.octet_length("_text").cast("long").alias("n_bytes"), "content")
+    return sized.join(counts, "content").select(*(F.col("_keep").getField(c).alias(c) for c in keep), "n_bytes", "n_tokens")
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

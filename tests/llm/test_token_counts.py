@@ -37,7 +37,7 @@ def test_only_distinct_misses_are_encoded(spark, docs_of, tmp_path):
 def test_stored_counts_are_used(spark, docs_of, tmp_path):
     cache = str(tmp_path / "cache")
     version = token_counts.tokenizer_digest(public_tokenizers.path(token_counts.TOKENIZER))
-    spark.createDataFrame([("x",)], "t string").select(F.sha2("t", 256), F.lit(version), F.lit(77).cast("long")).toDF("content", "tokenizer", "n_tokens").write.parquet(cache)
+    spark.createDataFrame([("x",)], "t string").select(F.unhex(F.sha2("t", 256)), F.lit(version), F.lit(77).cast("long")).toDF("content", "tokenizer", "n_tokens").write.parquet(cache)
     assert token_counts.count_tokens(docs_of(["x"]), cache=cache).first().n_tokens == 77
 
 
