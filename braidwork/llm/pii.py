@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
 Candidate spans come from strict patterns (the base finds, which always stay) and from looser ones. Four labelers vote on
-every candidate: its format, a gazetteer, the words around it and its shape. Expectation-maximisation over the counts of
+every candidate, or abstain: a regex for its form, a gazetteer, the words around it and the marks beside it; none knows which
+candidates are base finds. Expectation-maximisation over the counts of
 vote patterns, of which there are at most a few hundred however large the corpus, estimates how reliable each labeler
 is; the estimated labels then train a logistic span classifier on features of the span, again over counts. A loose
 candidate is reported where the classifier's probability is at least ACCEPT.
@@ -14,8 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .spans import joined, locate, overlaps
+from .common import column, materialize, table
+from .spans import apart, fixed, joined, locate
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
@@ -33,13 +34,25 @@ OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 # Looser patterns.
 LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{2,63}){1,4}"
-LOOSE_PHONE = r"(?<![0-9A-Za-z+.,:/-])\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,5}){1,4}(?![0-9A-Za-z])"
+LOOSE_PHONE = r"(?<![0-9A-Za-z+.,:/-])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,5}){1,4}(?![0-9A-Za-z])"
 LOOSE_ID = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 
-#: The gazetteer: top-level names of mail hosts, and beginnings of card numbers and telephone numbers in use.
-MAIL_ENDS = r"(?i)(?:\.|dot[\])}]?) ?(?:com|net|org|edu|gov|io|info|de|fr|es|uk|it|nl|ch|at|eu)$"
-CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"
-DIAL_STARTS = r"^\+?(?:1|33|34|44|49|39|41|43|0[1-9]|[2-9])"
+#: What the gazetteer knows: top-level names (two letters: a country's), country calling codes, issuers' beginnings of card
+#: numbers with their lengths, networks of the Internet that no host of a person has, and areas of identity numbers unused.
+TOP_NAMES = "com net org edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post dev app online site shop store blog cloud tech email club live news life world agency academy".split()
+MAIL_ENDS = r"(?i)(?:\.|dot[\])}]?) ?(?:" + "|".join(TOP_NAMES) + r"|[a-z]{2})$"
+CALLING_CODES = r"^\+(?:1|7|20|21[1-368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|27|29[0179]|3[0-469]|35[0-9]|37[0-9]|38[0-35-79]|4[013-9]|42[013]|5[1-8]|50[0-9]|59[0-9]|6[0-6]|67[02-9]|68[0-35-9]|69[0-2]|8[1246]|85[02356]|88[06]|9[0-58]|96[0-8]|97[0-79]|99[2-68])"
+NATIONAL_STARTS = r"^(?:0[1-9]|1?[2-9][0-9]{2}[2-9])"
+ISSUERS = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12,14}|3[47][0-9]{13}|(?:6011|65[0-9]{2}|64[4-9][0-9])[0-9]{12,15}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|62[0-9]{14,17}|(?:50|5[6-9]|6[0-9])[0-9]{11,17})$"
+NO_HOSTS = r"^(?:0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^192\.0\.2\.|^198\.51\.100\.|^203\.0\.113\."
+UNUSED_AREAS = "^(?:000|666|9)"
+#: What the regex labeler takes for well formed, and for something else.
+FORMS = {
+    "email": (r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+(?:@| ?[(\[{]at[)\]}] ?)[A-Za-z0-9][A-Za-z0-9. ()\[\]{}-]*[A-Za-z]{2}$", r"\.\.|^[.%+-]|[.-]@|@-|-\.|\.-|[0-9]$"),
+    "ip": (r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$", r"(?:^|\.)(?:[3-9][0-9]{2}|2[6-9][0-9]|25[6-9]|[0-9]{4,})(?:\.|$)"),
+    "phone": (r"^\+[0-9]{1,3}[ ().-]*(?:[0-9]{2,5}[ ().-]*){2,5}$|^\(?0[0-9]{1,4}\)?(?:[ /.-][0-9]{2,5}){1,4}$|^\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$", r"^(?:19|20)[0-9]{2}[-./](?:0[1-9]|1[0-2])[-./][0-3][0-9]$|^[0-3][0-9][-./](?:0[1-9]|1[0-2])[-./](?:19|20)[0-9]{2}$|^(?:[^0-9]*[0-9]){1,6}[^0-9]*$|^(?:19|20)[0-9]{2}[ -](?:19|20)[0-9]{2}$"),
+    "id": (r"^[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"-00-|-0000$"),
+}
 #: Words that stand near personal data, and words that stand near other numbers.
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b",
@@ -48,7 +61,7 @@ CUES = {
     "phone": r"(?i)\b(?:tel|phone|telephone|call|fax|mobile|cell|telefon|appelez|tél|llame|anruf)\b",
     "id": r"(?i)\b(?:ssn|social security|national id|taxpayer)\b",
 }
-OTHER_CUES = r"(?i)\b(?:isbn|issn|version|order|invoice|page|pp|vol|section|figure|date|year)\b"
+OTHER_CUES = r"(?i)\b(?:isbn|issn|version|order|invoice|page|pp|vol|section|figure|date|year|part|model|serial|score)\b"
 
 
 def _digits(m: Column) -> Column:
@@ -71,62 +84,59 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _candidate(kind: str, strict: Column, known: Column, m: Column, before: Column, after: Column) -> dict[str, Column]:
-    """What is kept of a candidate: whether it is a base find, the four votes and the classifier's features."""
+def _candidate(kind: str, strict: Column, well: Column, wrong: Column, known: Column, unknown: Column, m: Column, before: Column, after: Column) -> dict[str, Column]:
+    """What is kept of a candidate: whether it is a base find (which neither a labeler nor the classifier sees), the votes
+    of the regex, gazetteer, context and surroundings labelers (0: abstains), and the classifier's features."""
     digits = _digits(m)
-    n = F.length(digits)
     near = F.concat_ws(" ", F.substring(before, -BEFORE, BEFORE), F.substring(after, 1, AFTER))
-    dull = digits.rlike(r"^(?:([0-9])\1*|0123.*|12345.*)$")
+    dull = digits.rlike(r"^(?:([0-9])\1{5,}|0?123456.*)$") | before.rlike(r"[$€£#=_v]$") | after.rlike(r"^(?:%|_| ?(?:EUR|USD|kg|km|mm|cm)\b)")
+    form, name, cue, odd = _vote(well & ~wrong, wrong), _vote(known, unknown), _vote(near.rlike(CUES[kind]), near.rlike(OTHER_CUES)), _vote(F.lit(False), dull)
     return {
         "base": strict,
-        "votes": F.array(_vote(strict, ~strict), _vote(known, F.lit(False)), _vote(near.rlike(CUES[kind]), near.rlike(OTHER_CUES)), _vote(F.lit(False), dull)),
-        "f": F.array(
-            F.least(F.length(m), F.lit(60)).cast("int").__truediv__(20).cast("int"),
-            F.least(n, F.lit(20)).__truediv__(5).cast("int"),
-            near.rlike(CUES[kind]).cast("int"),
-            near.rlike(OTHER_CUES).cast("int"),
-            known.cast("int"),
-            strict.cast("int"),
-        ),
+        "votes": F.array(form, name, cue, odd),
+        "f": F.array(F.least(F.length(m), F.lit(60)).__truediv__(20).cast("int"), F.least(F.length(digits), F.lit(20)).__truediv__(5).cast("int"), form, name, cue, odd),
     }
 
 
 def _found(df: DataFrame, text: str) -> DataFrame:
     t, no = F.col(text), F.lit(False)
-    email = lambda m, b, a: _candidate("email", F.lit(True), m.rlike(MAIL_ENDS), m, b, a)
-    ip = lambda m, b, a: _candidate("ip", m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), ~m.rlike(r"^(?:0|127|255)\."), m, b, a)
+
+    def told(kind: str, strict, known, unknown, m: Column, b: Column, a: Column) -> dict[str, Column]:
+        well, wrong = FORMS[kind]
+        return _candidate(kind, strict, m.rlike(well), m.rlike(wrong), known, unknown, m, b, a)
 
     def card(m: Column, b: Column, a: Column) -> dict[str, Column]:
         d = _digits(m)
-        return _candidate("card", F.when(F.length(d).between(13, 19), luhn(d)).otherwise(no), d.rlike(CARD_STARTS), m, b, a)
-
-    def phone(m: Column, b: Column, a: Column) -> dict[str, Column]:
-        return _candidate("phone", F.length(_digits(m)).between(9, 15), m.rlike(DIAL_STARTS), m, b, a)
-
-    loose_email = lambda m, b, a: _candidate("email", no, m.rlike(MAIL_ENDS), m, b, a)
-    loose_phone = lambda m, b, a: _candidate("phone", no, _digits(m).rlike(DIAL_STARTS), m, b, a)
-    loose_id = lambda m, b, a: _candidate("id", no, ~m.rlike("^(?:000|666|9)"), m, b, a)
+        good = F.when(F.length(d).between(13, 19), luhn(d)).otherwise(no)
+        return _candidate("card", good, good, ~good, d.rlike(ISSUERS), ~d.rlike(ISSUERS), m, b, a)
+
+    email = lambda strict: lambda m, b, a: told("email", F.lit(strict), m.rlike(MAIL_ENDS), ~m.rlike(MAIL_ENDS), m, b, a)
+    ip = lambda m, b, a: told("ip", m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), ~m.rlike(NO_HOSTS), m.rlike(NO_HOSTS), m, b, a)
+    phone = lambda m, b, a: told("phone", F.length(_digits(m)).between(9, 15), m.rlike(CALLING_CODES), ~m.rlike(CALLING_CODES), m, b, a)
+    loose_phone = lambda m, b, a: told("phone", no, _digits(m).rlike(NATIONAL_STARTS), ~_digits(m).rlike(NATIONAL_STARTS), m, b, a)
+    loose_id = lambda m, b, a: told("id", no, ~m.rlike(UNUSED_AREAS), m.rlike(UNUSED_AREAS), m, b, a)
     numbers = t.rlike("(?:[0-9][ -]?){12}[0-9]")
-    df = locate(df, text, EMAIL, "_email", email, t.contains("@"))
+    df = locate(df, text, EMAIL, "_email", email(True), t.contains("@"))
     df = locate(df, text, IP, "_ip", ip, t.rlike(r"[0-9]\.[0-9]++\."))
     df = locate(df, text, CARD, "_card", card, numbers)
     df = locate(df, text, PHONE, "_phone", phone, t.contains("+"))
-    df = locate(df, text, LOOSE_EMAIL, "_l_email", loose_email, t.rlike(r"[(\[{]at[)\]}]"))
+    df = locate(df, text, LOOSE_EMAIL, "_l_email", email(False), t.rlike(r"[(\[{]at[)\]}]"))
     df = locate(df, text, LOOSE_PHONE, "_l_phone", loose_phone, t.rlike("[0-9]{2}[) ./-]{1,2}[0-9]{2}"))
     df = locate(df, text, LOOSE_ID, "_l_id", loose_id, t.rlike("[0-9]-[0-9]{2}-[0-9]"))
 
-    def told(spans: str, nr: int, kind: str) -> Column:
+    def numbered(spans: str, nr: int, kind: str) -> Column:
         return F.transform(spans, lambda s: F.struct(F.lit(nr).alias("nr"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["base"].alias("base"), s["votes"].alias("votes"), s["f"].alias("f")))
 
-    strict = F.concat(*(told(f"_{k}", i, k) for i, k in enumerate(KINDS)))
-    loose = F.concat(told("_l_email", 0, "email"), told("_l_phone", 3, "phone"), told("_l_id", 4, "id"))
+    strict = F.concat(*(numbered(f"_{k}", i, k) for i, k in enumerate(KINDS)))
+    loose = F.concat(numbered("_l_email", 0, "email"), numbered("_l_phone", 3, "phone"), numbered("_l_id", 4, "id"))
     df = df.withColumn("_strict", F.array_sort(strict)).withColumn("_loose", loose)
     # Of the strict patterns' matches, those that fail their tests are loose candidates as well, cards only where long enough.
     df = df.withColumn("base", F.filter("_strict", lambda s: s["base"]))
     failed = F.filter("_strict", lambda s: ~s["base"] & (s["kind"] != "card") | ~s["base"] & (s["end"] - s["start"] >= 13))
     df = df.withColumn("_loose", F.concat("_loose", failed))
-    df = df.withColumn("loose", F.when(F.size("base") == 0, F.col("_loose")).otherwise(F.filter("_loose", lambda s: ~overlaps(F.col("base"), s))))
-    return df.drop("_strict", "_loose", *(f"_{k}" for k in KINDS), "_l_email", "_l_phone", "_l_id")
+    df = fixed(df, _weak=F.col("_loose"), _sure=F.col("base")).drop("base").withColumnRenamed("_sure", "base")
+    df = df.withColumn("loose", apart(F.col("_weak"), F.col("base")))
+    return df.drop("_strict", "_loose", "_weak", *(f"_{k}" for k in KINDS), "_l_email", "_l_phone", "_l_id")
 
 
 def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[dict, dict]:
@@ -183,7 +193,7 @@ def fit(rows: list[tuple[tuple, float, float]], rounds: int = 200, decay: float
 def classify(found: DataFrame) -> dict[tuple[int, object], float]:
     """The classifier's weights for a table with columns base and loose: patterns are counted, never collected one by one.
 
-    At most 5 kinds times 3^4 vote patterns times 4 * 5 * 2^4 features can occur.
+    At most 5 kinds times 4 * 5 lengths times 3^4 votes, which are features too, can occur.
     """
     every = found.select(F.explode(F.concat("base", "loose")).alias("s")).select("s.kind", "s.votes", "s.f")
     counted = [(r.kind, tuple(r.votes), tuple(r.f), r.n) for r in every.groupBy("kind", "votes", "f").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "votes", "f").collect()]
@@ -208,14 +218,14 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
 
     base holds the strict finds; spans has the loose candidates besides that the classifier accepts, kind `id` being one
     that base never has. Accepted candidates never overlap base finds. A null or empty text has none; repeated rows each
-    get theirs; an empty table gives an empty one. `keep` must not name base, loose, spans.
+    get theirs; an empty table gives an empty one. Columns may have any names; `keep` must not name base or spans.
     """
-    own = docs.select(*(docs[c] for c in keep), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"))
-    found = materialize(_found(own, "_text").select(*keep, "base", "loose"), "pii")
+    own = docs.select(F.struct(F.lit(0).alias("_"), *(column(docs, c) for c in keep)).alias("_keep"), F.coalesce(column(docs, text).cast("string"), F.lit("")).alias("_text"))
+    found = materialize(_found(own, "_text").select("_keep", "base", "loose"), "pii")
     weights = classify(found)
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["nr"].alias("nr"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     good = F.filter("loose", lambda s: probability(s, weights) >= accept)
-    return found.select(*keep, plain("base").alias("base"), F.array_sort(F.array_distinct(F.concat(plain("base"), plain(good)))).alias("spans"))
+    return found.select(*(F.col("_keep").getField(c).alias(c) for c in keep), plain("base").alias("base"), F.array_sort(F.array_distinct(F.concat(plain("base"), plain(good)))).alias("spans"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

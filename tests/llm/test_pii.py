@@ -68,5 +68,56 @@ def test_loose_candidates_need_support(docs_of):
     assert all(len(rows[i].base) >= 1 for i in range(n))
 
 
+def planted(rng):
+    """(text, places of personal data that no base pattern finds, places of other numbers): invented prose around both."""
+    word = lambda: "".join(rng.choices("aeioulmnrst", k=rng.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    top = lambda: rng.choice(["com", "org", "de", "fr"])
+
+    def add(out, data, other):
+        kind = rng.randrange(12)
+        if kind < 3:
+            base = [f"email {word()}@{word()}.{top()}", f"call +49 30 {d(7)}", f"host 10.{rng.randint(1, 200)}.7.{rng.randint(1, 200)}", f"tel +1 (2{rng.randint(10, 99)}) 555-0{d(3)}"]
+            return out + rng.choice(base)
+        if kind < 8:
+            lead, span = rng.choice([
+                ("mail ", f"{word()} (at) {word()} (dot) {top()}"), ("write to ", f"{word()}.{word()}[at]{word()}.{top()}"),
+                ("tel ", f"0{rng.randint(20, 99)} {d(4)} {d(4)}"), ("phone ", f"({rng.randint(2, 9)}{d(2)}) {rng.randint(2, 9)}{d(2)}-{d(4)}"), ("call ", f"{rng.randint(2, 9)}{d(2)}-{rng.randint(2, 9)}{d(2)}-{d(4)}"),
+                ("ssn ", f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+            ])
+            data.append((len(out + lead), len(out + lead + span)))
+            return out + lead + span
+        lead, span = rng.choice([
+            ("date ", f"20{rng.randint(10, 24)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"), ("order ", f"{d(5)} {d(4)}"), ("page ", f"{rng.randint(10, 99)}-{rng.randint(100, 999)}"),
+            ("invoice ", f"{d(4)}-{d(4)}-{d(4)}-1{d(4)}"), ("model ", f"000-{d(2)}-{d(4)}"), ("year ", "1999-2004"), ("serial ", f"1{d(3)} {d(4)}"),
+        ])
+        other.append((len(out + lead), len(out + lead + span)))
+        return out + lead + span
+
+    out, data, other = prose(4) + " ", [], []
+    for _ in range(rng.randint(1, 6)):
+        out = add(out, data, other) + ", " + prose(rng.randint(12, 20)) + " "
+    return out, data, other
+
+
+def test_precision_and_recall_of_added_spans(docs_of):
+    rng = random.Random(21)
+    made = [planted(rng) for _ in range(600)]
+    rows = {r.doc_id: r for r in pii.detect(docs_of([t for t, _, _ in made])).collect()}
+    caught = wanted = reported = false = 0
+    for i, (_, data, other) in enumerate(made):
+        base = {(s.start, s.end) for s in rows[i].base}
+        added = {(s.start, s.end) for s in rows[i].spans} - base
+        caught, wanted, reported, false = caught + len(added & set(data)), wanted + len(set(data) - base), reported + len(added), false + len(added & set(other))
+    assert wanted > 500 and caught >= 0.9 * wanted and caught >= 0.9 * reported, (caught, wanted, reported, false)
+
+
+def test_odd_columns_and_repeated_rows(spark):
+    rows = [(1, "tel +49 30 1234567", 5, "x")] * 2 + [(None, None, None, None), (2, "", 0, "")]
+    out = pii.detect(spark.createDataFrame(rows, "`a.b` int, text string, loose int, _text string"), ("a.b", "loose", "_text")).collect()
+    assert sorted(len(r.base) for r in out) == [0, 0, 1, 1] and out[0].asDict().keys() == {"a.b", "loose", "_text", "base", "spans"}
+
+
 def test_empty_table(docs_of):
     assert pii.detect(docs_of([])).count() == 0
