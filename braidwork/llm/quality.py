@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, table, whole_text, words_of
+from .common import SPACE_CLASS, packed, table, whole_text, words_of
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -48,17 +48,18 @@ def line_fails(line: Column, max_symbol_share: float = MAX_SYMBOL_SHARE, boilerp
 def repeated_words(df: DataFrame, words: str, out: str, window: int = WINDOW) -> DataFrame:
     """Adds the number of words inside word windows that occur twice or more in the text.
 
-    A window is known by a 64-bit hash of its words' hashes. Only a text with equal hashes sorts its windows, each with
-    its place; equal neighbours give the places, and the union of the intervals of `window` words is summed.
+    A window is found by a 64-bit hash of its words' hashes. Only a text with equal hashes sorts its windows, by hash, then
+    by the words themselves, each with its place; neighbours of equal words give the places, and the union of the
+    intervals of `window` words is summed.
     """
     n = F.size(words)
     df = df.withColumn("_wh", F.transform(words, lambda w: F.xxhash64(w)))
     hashed = F.transform(F.sequence(F.lit(0), F.size("_wh") - window), lambda i: F.xxhash64(*[F.get("_wh", i + k) for k in range(window)]))
     df = df.withColumn("_gh", F.when(n >= window, hashed))
     twice = F.size(F.array_distinct("_gh")) < F.size("_gh")
-    placed = F.array_sort(F.transform("_gh", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.array_sort(F.transform("_gh", lambda h, i: F.struct(h.alias("h"), F.slice(words, i + 1, window).alias("w"), i.alias("i"))))
     df = df.withColumn("_sg", F.when(twice, placed))
-    same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
+    same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["w"] == b["w"]), F.lit(False))
     hit = F.filter("_sg", lambda x, k: same(x, F.get("_sg", k - 1)) | same(x, F.get("_sg", k + 1)))
     df = df.withColumn("_at", F.array_sort(F.transform(hit, lambda x: x["i"])))
     m = F.size("_at")
@@ -83,8 +84,8 @@ def clean(
     each on its own. Lines without a word stay. q_lost is the share of non-space characters in failing lines, 0 for an
     empty text. An empty table gives an empty one. Columns of the input cannot clash: they are held in `doc`.
     """
-    df = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
-    df = df.withColumn("_t", F.coalesce(F.col("doc")[text].cast("string"), F.lit("")))
+    df = docs.select(packed(docs, "doc"))
+    df = df.withColumn("_t", F.coalesce(F.col("doc").getField(text).cast("string"), F.lit("")))
     df = df.withColumn("_w", words_of(F.col("_t")))
     df = df.withColumn("q_words", F.size("_w").cast("long"))
     df = repeated_words(df, "_w", "q_repeat_words").drop("_w")
@@ -134,7 +135,8 @@ v AS (SELECT rid,
         sum(CASE WHEN solid > 0 THEN 1 ELSE 0 END) - count(DISTINCT CASE WHEN solid > 0 THEN line END) AS dup,
         sum(solid) AS chars,
         sum(CASE WHEN solid > 0 AND (length(regexp_replace(line, '{marks.replace("[", "[^")}', '', 'g')) > {MAX_SYMBOL_SHARE} * solid
-              OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]') OR regexp_matches(line, '{nav}') OR regexp_matches(lower(line), '{boiler}')) THEN solid ELSE 0 END) AS lost
+              OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]') OR regexp_matches(line, '{nav}') OR (regexp_matches(lower(line), '{boiler}')
+                  AND length(regexp_replace(regexp_replace(lower(line), '{boiler}', '', 'g'), '{space}', '', 'g')) <= {1 - MIN_BOILERPLATE_SHARE} * length(regexp_replace(lower(line), '{space}', '', 'g')))) THEN solid ELSE 0 END) AS lost
       FROM s GROUP BY rid),
 o AS (SELECT d.doc_id, len(w.w) AS n_words, v.chars AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
         v.dup AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, v.lost
