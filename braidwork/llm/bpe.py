@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import table, whole_text
+from .common import column, kind_of, quoted, table, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of texts whose pre-tokens are held at once, and merged pre-tokens that a worker remembers.
@@ -233,8 +233,8 @@ def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
-    return docs.select(*(docs[c] for c in keep), whole_text(text).alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join(f"{quoted(c)} {kind_of(docs, c)}" for c in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
+    return docs.select(*(column(docs, c) for c in keep), whole_text(text).alias("_text")).mapInArrow(run, schema)
 
 
 def decode_ids(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None) -> DataFrame:
@@ -247,8 +247,8 @@ def decode_ids(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabula
             texts = [code.decode(np.array(x or [], np.int64)).decode(errors="replace") for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], [*keep, "text"])
 
-    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*(encoded[c] for c in keep), F.col("ids").cast("array<long>")).mapInArrow(run, f"{schema}, text string")
+    schema = ", ".join(f"{quoted(c)} {kind_of(encoded, c)}" for c in keep)
+    return encoded.select(*(column(encoded, c) for c in keep), column(encoded, "ids").cast("array<long>")).mapInArrow(run, f"{schema}, text string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

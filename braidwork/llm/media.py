@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, whole_text
+from .common import column, kind_of, quoted, table, whole_text
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -159,7 +159,7 @@ def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     A null text counts as empty, and an empty one as 64 zero bytes. Equal texts give equal media and hashes; repeated
     rows give repeated rows; an empty table gives an empty one. Only key and text are read, so other columns can't clash.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind = kind_of(docs, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,12 +173,12 @@ def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 n, size, media, phash = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(media, pa.binary()), pa.array(phash, pa.binary())], [key, "n_bytes", "payload_bytes", "media", "phash"])
 
-    return docs.select(docs[key], whole_text(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, {MEDIA_SCHEMA}")
+    return docs.select(column(docs, key), whole_text(text).alias("text")).mapInArrow(run, f"{quoted(key)} {kind}, {MEDIA_SCHEMA}")
 
 
 def media_digests(stored: DataFrame, key: str = "doc_id") -> DataFrame:
     """Reads stored images back, checksums tested, and gives digests of payload and image and the hash as hex digits."""
-    kind = stored.schema[key].dataType.simpleString()
+    kind = kind_of(stored, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,9 +190,9 @@ def media_digests(stored: DataFrame, key: str = "doc_id") -> DataFrame:
                 rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(samples).hex()))
             out = [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "n_bytes", "payload_bytes")), *map(pa.array, out, kinds)], [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *map(pa.array, out, kinds)], [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select(key, "n_bytes", "payload_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select(column(stored, key), "n_bytes", "payload_bytes", "media").mapInArrow(run, f"{quoted(key)} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize, table, whole_text
+from .common import column, kind_of, materialize, quoted, table, whole_text
 from .graph import components
 
 SEED = 42
@@ -128,8 +128,8 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(len(keep))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found.view(np.int64))], [*keep, "fp"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*(docs[c] for c in keep), whole_text(text).alias("_text")).mapInArrow(run, f"{schema}, fp long")
+    schema = ", ".join(f"{quoted(c)} {kind_of(docs, c)}" for c in keep)
+    return docs.select(*(column(docs, c) for c in keep), whole_text(text).alias("_text")).mapInArrow(run, f"{schema}, fp long")
 
 
 def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -161,19 +161,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     Null and wordless texts have fingerprint 0 and link like any other. Equal fingerprints are one node, so copies cost
     one row each however many there are; repeated rows keep their rows. An empty table gives an empty one. Null keys
-    never become a component_id unless all keys of the component are null. Other input columns are not read.
+    never become a component_id unless all keys of the component are null. Other input columns are not read, and columns
+    may have any names but that `keep` must not name fp or component_id.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = materialize(fingerprints(docs, text, (key, *keep)), "prints")
-    nodes = marked.groupBy("fp").agg(F.min(key).alias("first")).repartition(parts, "fp")
+    own = docs.select(column(docs, key).alias("_key"), F.struct(F.lit(0).alias("_"), *(column(docs, c) for c in keep)).alias("_keep"), whole_text(text).alias("_text"))
+    marked = materialize(fingerprints(own, "_text", ("_key", "_keep")), "prints")
+    nodes = marked.groupBy("fp").agg(F.min("_key").alias("first")).repartition(parts, "fp")
     nodes = materialize(nodes, "nodes")
     rooted = components(links(nodes.repartition(parts, "fp"), threshold)).withColumnRenamed("node", "fp")
     known = rooted.join(nodes, "fp")
     least = known.groupBy("root").agg(F.min("first").alias("component"))
     joined = materialize(known.join(least, "root").select("fp", "component"), "components")
     of = nodes.join(joined, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return marked.join(of, "fp").select(key, *keep, "fp", "component_id")
+    return marked.join(of, "fp").select(F.col("_key").alias(key), *(F.col("_keep").getField(c).alias(c) for c in keep), "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
