@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,13 +49,13 @@ def kalman(frames: DataFrame, part: list[str], order: str = "frame", cx: str = "
     """Predictions (part, order, k_cx, k_cy, k_w, k_h) for rows without a measurement, after the first one.
 
     Forward only, and without end unless max_gap bounds the rows since the last measurement. Sizes are medians of the
-    measured sizes so far.
+    measured sizes so far, which are kept in order.
     """
     fields = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*part, order]) + ", k_cx double, k_cy double, k_w double, k_h double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kf, sizes, since, out = pdf.sort_values(order), None, [], 0, []
+        pdf, kf, sizes, since, out = pdf.sort_values(order), None, ([], []), 0, []
         for row in pdf[[*part, order, cx, cy, w, h]].itertuples(index=False, name=None):
             *key, x, y, bw, bh = row
             if x is not None and x == x:
@@ -62,13 +64,14 @@ def kalman(frames: DataFrame, part: list[str], order: str = "frame", cx: str = "
                 else:
                     kf.predict()
                     kf.update(x, y)
-                sizes.append((bw, bh))
+                insort(sizes[0], bw)
+                insort(sizes[1], bh)
                 since = 0
             elif kf is not None:
                 px, py = kf.predict()
                 since += 1
                 if max_gap is None or since <= max_gap:
-                    out.append((*key, px, py, *(float(np.median(s)) for s in zip(*sizes, strict=True))))
+                    out.append((*key, px, py, *((s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2 for s in sizes)))
         return pd.DataFrame(out, columns=[*part, order, "k_cx", "k_cy", "k_w", "k_h"])
 
     return frames.groupBy(*part).applyInPandas(run, schema)

@@ -35,10 +35,27 @@ def bm25_index(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFra
     return postings, lengths, bm25_terms(postings, lengths)
 
 
+def counted(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, dl, terms): each document's number of words, and its distinct words with their counts (struct<term, tf>).
+
+    Counted in the row: in the sorted words, a word's count is the way from its first place to the next word's.
+    """
+    df = docs.select(doc, F.array_sort(tokens(F.col(text))).alias("_s")).withColumn("dl", F.size("_s").cast("long"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))))
+    marked = F.zip_with("_s", F.slice(before, 1, F.size("_s")), lambda x, y: F.struct(x.alias("term"), F.coalesce(x != y, F.lit(True)).alias("new")))
+    first = F.filter(F.transform(marked, lambda z, i: F.struct(z["term"].alias("term"), F.when(z["new"], i).alias("i"))), lambda z: z["i"].isNotNull())
+    df = df.withColumn("_f", first)
+    ends = F.concat(F.slice(F.col("_f")["i"], 2, F.greatest(F.size("_f") - 1, F.lit(0))), F.array(F.size("_s")))
+    return df.select(doc, "dl", F.zip_with("_f", F.slice(ends, 1, F.size("_f")), lambda z, e: F.struct(z["term"].alias("term"), (e - z["i"]).cast("long").alias("tf"))).alias("terms"))
+
+
 def bm25_postings(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
-    words = docs.select(doc, tokens(F.col(text)).alias("_t"))
-    postings = words.select(doc, F.explode("_t").alias("term")).groupBy("term", doc).agg(F.count(F.lit(1)).alias("tf"))
-    return postings, words.select(doc, F.size("_t").cast("long").alias("dl"))
+    return postings_of(counted(docs, doc, text), doc)
+
+
+def postings_of(rows: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
+    postings = rows.select(doc, F.explode("terms").alias("x")).select("x.term", doc, "x.tf")
+    return postings, rows.select(doc, "dl")
 
 
 def bm25_terms(postings: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -167,7 +184,8 @@ def best_score(hits: DataFrame, queries: DataFrame, query: str, score: str = "sc
 def build_index(docs: DataFrame, doc: str, text: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The index as tables under `path`, read back: texts are split once, weights come from the written postings."""
     spark = docs.sparkSession
-    for df, name in zip(bm25_postings(docs, doc, text), ("postings", "lengths"), strict=True):
+    counted(docs, doc, text).write.mode("overwrite").parquet(f"{path}/counted")
+    for df, name in zip(postings_of(spark.read.parquet(f"{path}/counted"), doc), ("postings", "lengths"), strict=True):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     bm25_terms(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/terms")
     return read_index(spark, path)

@@ -22,5 +22,9 @@ def r6(c: Column | str) -> Column:
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder's path where driver and executors both see it: under spark.checkpoint.dir, else a temporary one."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder's path where driver and executors both see it: under spark.checkpoint.dir; where that is unset, a temporary
+    one in local mode, and an error on a cluster."""
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(found or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ RULES = S.Rules(terms=("the", "und", "les"), phrases=("of the", "in the"), fille
 
 
 def text_tokens_df(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    words = table(spark, d, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -200,7 +200,7 @@ def clocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preview_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.cell(F.col("text")).alias("cell"), T.lead_repaired(F.substring("text", 3, 50)).alias("led"))
+    return table(spark, d, "documents").select("doc_id", T.cell(F.col("text")).alias("cell"), T.lead_repaired(F.expr("substring(text, 3)")).alias("led"))
 
 
 def edge_zone(spark: SparkSession, d: str) -> DataFrame:
@@ -289,6 +289,6 @@ ORACLE = {
     "union_distinct_resume": "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "set_tests": "SELECT doc_id, list_has_any(regexp_extract_all(lower(text), '[a-z'']+'), ['moron', 'scum']) AS some, list_has_all(['the', 'of'], regexp_extract_all(lower(text), '[a-z'']+')) AS every, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents",
     "clocks": "SELECT doc_id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock, s AS seconds FROM (SELECT doc_id, doc_id * 37 AS s FROM documents)",
-    "preview_lines": r"SELECT doc_id, CASE WHEN length(f) > 110 THEN substr(f, 1, 107) || '...' ELSE f END AS cell, trim(regexp_replace(substr(text, 3, 50), '^[\s.:,;!?)\]]+', '')) AS led FROM (SELECT doc_id, text, replace(text, '|', '\|') AS f FROM documents)",
+    "preview_lines": r"SELECT doc_id, CASE WHEN length(f) > 110 THEN substr(f, 1, 107) || '...' ELSE f END AS cell, trim(regexp_replace(substr(text, 3), '^[\s.:,;!?)\]]+', '')) AS led FROM (SELECT doc_id, text, replace(text, '|', '\|') AS f FROM documents)",
     "edge_zone": "SELECT conv_id, CAST(turn AS INTEGER) AS turn, round(p, 6) AS place, p <= 0.12 OR p >= 0.88 OR turn * 60 <= 25 AS edge FROM (SELECT conv_id, turn, turn * 60 / CAST(greatest(max(turn * 60) OVER (PARTITION BY conv_id), 1) AS DOUBLE) AS p FROM conversations)",
 }

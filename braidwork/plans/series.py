@@ -104,8 +104,8 @@ def travel_side(spark: SparkSession, d: str) -> DataFrame:
 
 def band_join_segments(spark: SparkSession, d: str) -> DataFrame:
     ev = events(spark, d)
-    bands = S.segment_summary(S.segments(ev, U, E, "event_type", 300), U, E, "event_type").where("frame_count >= 3").select("user_id", "segment_id", "start_frame", "end_frame")
-    hit = L.band_join(ev.where("event_id % 3 = 0").select("user_id", "event_id"), bands, U, "event_id", "start_frame", "end_frame", 1000)
+    bands = S.segment_summary(S.segments(ev, U, E, "event_type", 300), U, E, "event_type").select("user_id", "segment_id", "start_frame", "end_frame")
+    hit = L.band_join(ev.select("user_id", "event_id"), bands, U, "event_id", "start_frame", "end_frame", 1000)
     return hit.select("user_id", "segment_id", "event_id")
 
 
@@ -264,7 +264,7 @@ ORACLE = {
     "handedness_case": "SELECT c_custkey, CASE WHEN contains(c_name, '1') THEN 'lefty' WHEN contains(c_name, '2') THEN 'righty' WHEN contains(c_name, '3') THEN 'lefty' ELSE 'righty' END AS side, CASE WHEN contains(c_name, '1') OR contains(c_name, '2') OR contains(c_name, '3') THEN 'filename' ELSE 'default' END AS side_source FROM customer",
     "travel_side": """SELECT user_id, CASE WHEN ln >= 5 AND rn >= 5 AND greatest(l, r) >= 8 THEN CASE WHEN l > r * 1.15 THEN 'righty' WHEN r > l * 1.15 THEN 'lefty' END END AS side
       FROM (SELECT user_id, count(CASE WHEN event_type = 'click' THEN value END) AS ln, count(CASE WHEN event_type = 'view' THEN value END) AS rn, max(CASE WHEN event_type = 'click' THEN value END) - min(CASE WHEN event_type = 'click' THEN value END) AS l, max(CASE WHEN event_type = 'view' THEN value END) - min(CASE WHEN event_type = 'view' THEN value END) AS r FROM events GROUP BY user_id)""",
-    "band_join_segments": f"SELECT e.user_id, s.segment_id, e.event_id FROM events e JOIN ({_SUM}) s ON e.user_id = s.user_id AND e.event_id BETWEEN s.start_frame AND s.end_frame WHERE e.event_id % 3 = 0 AND s.frame_count >= 3",
+    "band_join_segments": f"SELECT e.user_id, s.segment_id, e.event_id FROM events e JOIN ({_SUM}) s ON e.user_id = s.user_id AND e.event_id BETWEEN s.start_frame AND s.end_frame",
     "semi_anti_membership": "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer",
     "priority_fill": _FILL,
     "coverage_pivot": f"SELECT user_id, count(*) FILTER (source = 'detected') AS detected, count(*) FILTER (source = 'kalman') AS kalman, count(*) FILTER (source = 'wrist_proxy') AS wrist_proxy, count(*) FILTER (source = 'missing') AS missing, count(*) AS total, round((count(*) - count(*) FILTER (source = 'missing')) / count(*) * 100, 1) AS coverage_pct FROM ({_FILL}) GROUP BY user_id",
