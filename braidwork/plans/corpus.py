@@ -256,6 +256,13 @@ _CLASS = f"cls AS (SELECT *, {_REASON} AS reason FROM (SELECT *, sentence AS s,
 ORACLE = {
     "text_tokens_df": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1",
     "sentence_extract": f"SELECT conv_id, CAST(turn AS INTEGER) AS turn, CAST(i - 1 AS INTEGER) AS n, regexp_replace(p[i], '^\\s+|\\s+$', '', 'g') AS sentence FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '{_SENT}') AS p FROM conversations))",
+    "chunk_words": f"""WITH RECURSIVE {_JOINED}, s AS (SELECT conv_id, ts, sentence, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k, len(regexp_extract_all(sentence, '\\S+')) AS w FROM sent),
+      c AS (SELECT *, sum(w) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM s), l AS (SELECT conv_id, list(upto ORDER BY k) AS t FROM c GROUP BY conv_id),
+      r(conv_id, idx, b, new, e) AS (SELECT conv_id, 0, 0, 0, greatest(1, len(list_filter(t, lambda x: x <= 60))) FROM l UNION ALL
+        SELECT conv_id, idx + 1, b, e, greatest(e + 1, len(list_filter(t, lambda x: x <= start + 60)))
+        FROM (SELECT *, CASE WHEN b = 0 THEN 0 ELSE t[b] END AS start FROM (SELECT r.conv_id, r.idx, r.e, l.t, greatest(r.b, len(list_filter(l.t, lambda x: x <= l.t[r.e] - 15))) AS b FROM r JOIN l ON l.conv_id = r.conv_id WHERE r.e < len(l.t))))
+      SELECT r.conv_id, CAST(r.idx AS INTEGER) AS chunk_index, CAST(any_value(c.ts) FILTER (c.k = r.new + 1) AS INTEGER) AS timestamp_s, string_agg(c.sentence, ' ' ORDER BY c.k) AS text, CAST(sum(c.w) AS INTEGER) AS word_count
+      FROM r JOIN c ON c.conv_id = r.conv_id AND c.k > r.b AND c.k <= r.e GROUP BY r.conv_id, r.idx, r.new""",
     "sentence_rejoin_ts": f"WITH {_JOINED} SELECT conv_id, n, ts, sentence FROM sent",
     "classify_reasons": f"WITH {_JOINED}, {_CLASS} SELECT reason, count(*) AS n FROM cls GROUP BY 1",
     "removal_report": f"WITH {_JOINED}, {_CLASS} SELECT reason, count(*) AS n, (SELECT count(*) FROM cls) AS total, (SELECT count(*) FROM cls WHERE reason IS NULL) AS kept, round(100.0::DOUBLE * (SELECT count(*) FROM cls WHERE reason IS NULL) / (SELECT count(*) FROM cls), 6) AS kept_pct FROM cls WHERE reason IS NOT NULL GROUP BY 1",

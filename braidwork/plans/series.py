@@ -136,7 +136,8 @@ def kalman_fill(spark: SparkSession, d: str) -> DataFrame:
     ev = events(spark, d)
     seen = F.col("event_id") % 4 != 0
     frames = ev.select("user_id", "event_id", F.when(seen, F.col("value")).alias("cx"), F.when(seen, F.col("value") * 0.5).alias("cy"), F.lit(80.0).alias("w"), F.lit(80.0).alias("h"))
-    return L.kalman(frames, U, E)
+    made = L.kalman(frames, U, E)
+    return made.select("user_id", "event_id", *(r6(c).alias(c) for c in ("k_cx", "k_cy", "k_w", "k_h")))
 
 
 def overlap_windows_avg(spark: SparkSession, d: str) -> DataFrame:
@@ -243,8 +244,34 @@ def _angle3(a: list[str], b: list[str]) -> str:
 _POS = f"(SELECT *, row_number() OVER ({WE}) - 1 AS idx, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 _WIN = f"""(SELECT p.user_id, w.window AS win, o.off, p.n, CASE WHEN p.n <= 24 THEN greatest(0, least(p.n - 1, o.off - (24 - p.n) // 2)) ELSE least(p.n - 1, w.window * 12 + o.off) END AS idx
   FROM (SELECT DISTINCT user_id, n FROM {_POS}) p, LATERAL (SELECT unnest(range(0, CASE WHEN p.n <= 24 THEN 1 ELSE (p.n - 1) // 12 + 1 END)) AS window) w, LATERAL (SELECT unnest(range(0, 24)) AS off) o)"""
+_NEXT = "PARTITION BY user_id ORDER BY i"
+_DEBOUNCED = f"""WITH RECURSIVE p AS (SELECT user_id, event_id, event_type, row_number() OVER ({WE}) AS i, lead(event_type) OVER ({WE}) AS n1 FROM events),
+  one(user_id, i, v) AS (SELECT user_id, i, event_type FROM p WHERE i = 1 UNION ALL
+    SELECT p.user_id, p.i, CASE WHEN p.event_type <> one.v AND p.n1 = one.v THEN one.v ELSE p.event_type END FROM one JOIN p ON p.user_id = one.user_id AND p.i = one.i + 1),
+  q AS (SELECT user_id, i, v, lead(v) OVER ({_NEXT}) AS n1, lead(v, 2) OVER ({_NEXT}) AS n2 FROM one),
+  two(user_id, i, v, held) AS (SELECT user_id, i, v, false FROM q WHERE i = 1 UNION ALL
+    SELECT user_id, i, CASE WHEN held OR blip THEN was ELSE v END, blip AND NOT held
+    FROM (SELECT q.user_id, q.i, q.v, two.v AS was, two.held, coalesce(q.v <> two.v AND q.n1 = q.v AND q.n2 = two.v, false) AS blip FROM two JOIN q ON q.user_id = two.user_id AND q.i = two.i + 1))
+  SELECT user_id, event_id, event_type, two.v AS stable_id FROM p JOIN two USING (user_id, i)"""
+
+
+def _filtered() -> str:
+    """The filter of each axis by itself: place x, step v, and their variances a, c and covariance b."""
+    first = ", ".join(f"z * {f} AS x{k}, CAST(0 AS DOUBLE) AS v{k}, CAST({L.START_VARIANCE[k]} AS DOUBLE) AS a{k}, CAST(0 AS DOUBLE) AS b{k}, CAST({L.START_VARIANCE[k + 2]} AS DOUBLE) AS c{k}" for k, f in ((0, "1.0"), (1, "0.5")))
+    moved = ", ".join(f"x{k} + v{k} AS x{k}, v{k}, a{k} + 2 * b{k} + c{k} + {L.PROCESS_VARIANCE[k]} AS a{k}, b{k} + c{k} AS b{k}, c{k} + {L.PROCESS_VARIANCE[k + 2]} AS c{k}" for k in (0, 1))
+    put = lambda k, f: (s := f"(a{k} + {L.MEASURE_VARIANCE[k]})", gap := f"(z * {f} - x{k})") and {
+        "x": f"x{k} + a{k} / {s} * {gap}", "v": f"v{k} + b{k} / {s} * {gap}", "a": f"a{k} - a{k} / {s} * a{k}", "b": f"b{k} - a{k} / {s} * b{k}", "c": f"c{k} - b{k} / {s} * b{k}"}
+    told = ", ".join(f"CASE WHEN z IS NULL THEN {n}{k} ELSE {e} END AS {n}{k}" for k, f in ((0, "1.0"), (1, "0.5")) for n, e in put(k, f).items())
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, CASE WHEN event_id % 4 <> 0 THEN CAST(value AS DOUBLE) END AS z FROM events),
+  p AS (SELECT user_id, event_id, z, row_number() OVER ({WE}) AS i FROM (SELECT *, min(CASE WHEN z IS NOT NULL THEN event_id END) OVER (PARTITION BY user_id) AS began FROM e) WHERE event_id >= began),
+  k AS (SELECT user_id, event_id, i, z, {first} FROM p WHERE i = 1 UNION ALL
+    SELECT user_id, event_id, i, z, {told} FROM (SELECT p.user_id, p.event_id, p.i, p.z, {moved} FROM k JOIN p ON p.user_id = k.user_id AND p.i = k.i + 1))
+  SELECT user_id, event_id, round(x0, 6) AS k_cx, round(x1, 6) AS k_cy, CAST(80 AS DOUBLE) AS k_w, CAST(80 AS DOUBLE) AS k_h FROM k WHERE z IS NULL"""
+
 
 ORACLE = {
+    "debounce_labels": _DEBOUNCED,
+    "kalman_fill": _filtered(),
     "top1_per_group": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1",
     "multi_track_frames": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(DISTINCT event_type) AS n_ids FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_type) > 1",
     "inner_join_selected": "SELECT o_custkey, o_orderkey, count(*) AS n_lines, round(CAST(sum(l_quantity) AS DOUBLE), 6) AS quantity FROM lineitem JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) ON l_orderkey = o_orderkey WHERE rn = 1 GROUP BY 1, 2",
