@@ -48,24 +48,25 @@ def line_fails(line: Column, max_symbol_share: float = MAX_SYMBOL_SHARE, boilerp
 def repeated_words(df: DataFrame, words: str, out: str, window: int = WINDOW) -> DataFrame:
     """Adds the number of words inside word windows that occur twice or more in the text.
 
-    A window is found by a 64-bit hash of its words' hashes. Only a text with equal hashes sorts its windows, by hash, then
-    by the words themselves, each with its place; neighbours of equal words give the places, and the union of the
-    intervals of `window` words is summed.
+    A window is found by a 64-bit hash of its words' hashes. Only a text with equal hashes sorts them, each with its place;
+    the places of equal hashes alone are then sorted by the words themselves. Neighbours of equal words give the places that
+    count, and the union of the intervals of `window` words is summed.
     """
     n = F.size(words)
     df = df.withColumn("_wh", F.transform(words, lambda w: F.xxhash64(w)))
     hashed = F.transform(F.sequence(F.lit(0), F.size("_wh") - window), lambda i: F.xxhash64(*[F.get("_wh", i + k) for k in range(window)]))
     df = df.withColumn("_gh", F.when(n >= window, hashed))
     twice = F.size(F.array_distinct("_gh")) < F.size("_gh")
-    placed = F.array_sort(F.transform("_gh", lambda h, i: F.struct(h.alias("h"), F.slice(words, i + 1, window).alias("w"), i.alias("i"))))
-    df = df.withColumn("_sg", F.when(twice, placed))
+    df = df.withColumn("_ph", F.when(twice, F.array_sort(F.transform("_gh", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    alike = F.filter("_ph", lambda x, k: F.coalesce(x["h"] == F.get("_ph", k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("_ph", k + 1)["h"], F.lit(False)))
+    df = df.withColumn("_sg", F.array_sort(F.transform(alike, lambda x: F.struct(x["h"].alias("h"), F.slice(words, x["i"] + 1, window).alias("w"), x["i"].alias("i")))))
     same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["w"] == b["w"]), F.lit(False))
     hit = F.filter("_sg", lambda x, k: same(x, F.get("_sg", k - 1)) | same(x, F.get("_sg", k + 1)))
     df = df.withColumn("_at", F.array_sort(F.transform(hit, lambda x: x["i"])))
     m = F.size("_at")
     steps = F.zip_with(F.slice("_at", 1, m - 1), F.slice("_at", 2, m - 1), lambda a, b: F.least(b - a, F.lit(window)))
     covered = F.aggregate(steps, F.lit(window).cast("long"), lambda s, x: s + x)
-    return df.withColumn(out, F.when(F.col("_at").isNull(), F.lit(0)).otherwise(covered).cast("long")).drop("_wh", "_gh", "_sg", "_at")
+    return df.withColumn(out, F.when(F.col("_at").isNull(), F.lit(0)).otherwise(covered).cast("long")).drop("_wh", "_gh", "_ph", "_sg", "_at")
 
 
 def clean(
