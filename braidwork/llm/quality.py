@@ -63,10 +63,10 @@ def repeated_words(df: DataFrame, words: str, out: str, window: int = WINDOW) ->
     same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["w"] == b["w"]), F.lit(False))
     hit = F.filter("_sg", lambda x, k: same(x, F.get("_sg", k - 1)) | same(x, F.get("_sg", k + 1)))
     df = df.withColumn("_at", F.array_sort(F.transform(hit, lambda x: x["i"])))
-    m = F.size("_at")
+    m = F.greatest(F.size("_at"), F.lit(1))
     steps = F.zip_with(F.slice("_at", 1, m - 1), F.slice("_at", 2, m - 1), lambda a, b: F.least(b - a, F.lit(window)))
     covered = F.aggregate(steps, F.lit(window).cast("long"), lambda s, x: s + x)
-    return df.withColumn(out, F.when(F.col("_at").isNull(), F.lit(0)).otherwise(covered).cast("long")).drop("_wh", "_gh", "_ph", "_sg", "_at")
+    return df.withColumn(out, F.when(F.col("_at").isNull() | (F.size("_at") == 0), F.lit(0)).otherwise(covered).cast("long")).drop("_wh", "_gh", "_ph", "_sg", "_at")
 
 
 def clean(
