@@ -158,13 +158,16 @@ def hybrid(table: DataFrame, queries: DataFrame, index: tuple[DataFrame, DataFra
 
 
 def rerank(hits: DataFrame, query: str, doc: str, q_text: str, text: str, k: int, scorer: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
-    """hits scored anew by `scorer` over batches of pairs, and the k best of each query."""
+    """hits scored anew by `scorer` over batches of pairs, and the k best of each query; equal scores stay in the order of
+    their ranks, if they have any, then of doc."""
 
     @F.pandas_udf("double")
     def score(q: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(scorer(q.tolist(), d.tolist()), dtype=float)
 
-    return ranked(hits.drop("rank").withColumn("rerank_score", score(F.col(q_text), F.col(text))), query, "rerank_score", k, doc)
+    was = F.col("rank") if "rank" in hits.columns else F.lit(None).cast("int")
+    own = hits.withColumn("_was", was).drop("rank").withColumn("rerank_score", score(F.col(q_text), F.col(text)))
+    return ranked(own, query, "rerank_score", k, "_was", doc).drop("_was")
 
 
 def expand_parents(hits: DataFrame, chunks: DataFrame, query: str, doc: str, k: int, parent: str = "parent_id", parent_text: str = "parent_text", text: str = "text") -> DataFrame:

@@ -99,6 +99,28 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return out.select("q_id", "doc_id", r6("score").alias("score"), "rank")
 
 
+def vector_only(spark: SparkSession, d: str) -> DataFrame:
+    """The search by vectors alone, keywords switched off."""
+    out = R.hybrid(_vectors(spark, d).withColumnRenamed("vec_id", "doc_id"), _paired(spark, d), None, "q_id", "q", "q_vec", "doc_id", "embedding", 5, use_keywords=False)
+    return out.select("q_id", "doc_id", r6("score").alias("score"), "rank")
+
+
+def _like(asked: list[str], found: list[str]) -> list[float]:
+    """A stand-in for a model, of which SQL can say the same."""
+    return [float(len(q) * 7 % 13 + len(t) % 11) for q, t in zip(asked, found, strict=True)]
+
+
+def reranked(spark: SparkSession, d: str) -> DataFrame:
+    hits = R.bm25_topk(_index(spark, d), _queries(spark, d), "q_id", "q", "doc_id", R.pool_size(5))
+    rows = hits.join(_queries(spark, d), "q_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return R.rerank(rows, "q_id", "doc_id", "q", "text", 5, _like).select("q_id", "doc_id", "rerank_score", "rank")
+
+
+def best_scores(spark: SparkSession, d: str) -> DataFrame:
+    hits = R.bm25_topk(_index(spark, d), _queries(spark, d), "q_id", "q", "doc_id", 5).where("score >= 20")
+    return R.best_score(hits, _queries(spark, d), "q_id").select("q_id", r6("score").alias("score"))
+
+
 def parent_expand(spark: SparkSession, d: str) -> DataFrame:
     hits = R.vector_topk(_vectors(spark, d), _asked(spark, d), "q_id", "q_vec", "vec_id", "embedding", 20)
     chunks = _vectors(spark, d).select("vec_id", F.concat(F.lit("p"), (F.col("vec_id") % 7).cast("string")).alias("parent_id"), F.concat(F.lit("parent "), (F.col("vec_id") % 7).cast("string")).alias("parent_text"), F.col("vec_id").cast("string").alias("text"))
@@ -210,7 +232,7 @@ def edge_zone(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    text_tokens_df, sentence_extract, sentence_rejoin_ts, classify_reasons, removal_report, chunk_words, markdown_chunks, bm25_topk, vector_topk, vector_topk_blas, hybrid_rrf, parent_expand, recall_mrr, recall_by_label, metric_delta,
+    text_tokens_df, sentence_extract, sentence_rejoin_ts, classify_reasons, removal_report, chunk_words, markdown_chunks, bm25_topk, vector_topk, vector_topk_blas, hybrid_rrf, vector_only, reranked, best_scores, parent_expand, recall_mrr, recall_by_label, metric_delta,
     coverage_separation, overlap_rows, boundary_rows, threshold_sweep, best_threshold, grid_rank, history_blend, history_lines, answer_policy, stripped_markup, stratified_sample, union_distinct_resume, set_tests, clocks, preview_lines, edge_zone,
 )}
 
@@ -269,6 +291,10 @@ ORACLE = {
     "bm25_topk": f"WITH {_BM} SELECT q_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bmr WHERE rank <= 5",
     "vector_topk": f"SELECT q_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({_VEC}) WHERE rank <= 5",
     "vector_topk_blas": f"SELECT q_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({_VEC}) WHERE rank <= 5",
+    "vector_only": f"SELECT * FROM (SELECT q.vec_id AS q_id, v.vec_id AS doc_id, round({_DOT}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id) AS INTEGER) AS rank FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings v) WHERE rank <= 5",
+    "reranked": f"""WITH {_BM}, s AS (SELECT q_id, doc_id, bmr.rank AS was, CAST(length(b.text) * 7 % 13 + length(d.text) % 11 AS DOUBLE) AS rerank_score FROM bmr JOIN benchmark b ON b.item_id = q_id JOIN documents d USING (doc_id) WHERE bmr.rank <= 20)
+      SELECT * FROM (SELECT q_id, doc_id, rerank_score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY rerank_score DESC, was, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""",
+    "best_scores": f"WITH {_BM} SELECT b.item_id AS q_id, round(coalesce(x.score, 0), 6) AS score FROM benchmark b LEFT JOIN bmr x ON x.q_id = b.item_id AND x.rank = 1 AND x.score >= 20",
     "hybrid_rrf": f"""WITH {_BM}, vec AS (SELECT b.item_id AS q_id, v.vec_id AS doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY {_DOT} DESC, v.vec_id) AS rank FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings v),
       kw AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM bmr WHERE rank <= 20 AND score >= 2.0 AND q_id IN (SELECT vec_id FROM embeddings)),
       u AS (SELECT q_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part, 0 AS nr, rank FROM vec WHERE rank <= 20 UNION ALL SELECT q_id, doc_id, 0.35::DOUBLE / (60 + rank), 1, rank FROM kw),
