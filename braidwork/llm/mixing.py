@@ -22,8 +22,9 @@ from .common import WORD_PATTERN, column, materialize, packed, table, unpacked,
 SEED = 20_240
 #: Blocks to a source, whatever its size: a source's last pass ends within one block, which is then cut by document.
 BLOCKS = 1 << 12
-#: Rows of the table of blocks up to which it is sent to every executor; beyond, documents and blocks are joined by shuffle.
-SENT_ROWS = 100_000
+#: Sources up to which their decisions, a row each, are sent to every executor; beyond, documents are joined with them by
+#: shuffle, each source in SALTS parts.
+SENT_ROWS, SALTS = 100_000, 64
 #: Exponents tried at once, and rounds: each round narrows the bracket to one of SECTIONS parts.
 SECTIONS, ROUNDS = 32, 6
 #: The query's target: so far from the sources' natural entropy towards the largest, that of equal weights.
@@ -82,10 +83,10 @@ def temperature(sources: DataFrame, budget: float | None, evenness: float | None
 
 
 def plan(docs: DataFrame, budget: float | None, evenness: float | None, max_repetition: float | None, towards: float | None, seed: int) -> tuple[DataFrame, DataFrame, float]:
-    """(documents' sizes, decisions by _s and _b, exponent) for documents _key, _source, _tokens.
+    """(documents' sizes, decisions by _s, exponent) for documents _key, _source, _tokens.
 
-    A decision: passes (whole passes over the source), part (whether the block is in the partial pass after them) and cut
-    (of a block that is in it partly: the largest _h that still is).
+    A decision: passes (whole passes over the source), last (turn and block that end the partial pass after them; null
+    where no block is whole in it), broken (the block that is in it partly) and cut (the largest _h of that block that is).
     """
     sized = materialize(_tagged(docs, seed).select("_key", "_source", "_tokens", "_s", "_b", "_h"), "sizes")
     total = sized.agg(F.sum("_tokens")).first()[0] or 0
@@ -101,20 +102,27 @@ def plan(docs: DataFrame, budget: float | None, evenness: float | None, max_repe
     upto = Window.partitionBy("_s").orderBy("turn", "_b").rowsBetween(Window.unboundedPreceding, 0)
     ordered = blocks.join(of, "_s", "left").withColumn("turn", turn).withColumn("sum", F.sum("tokens").over(upto))
     # A source without tokens costs nothing: it is passed over once.
-    ordered = ordered.select("_s", "_b", F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce((F.col("rest") > 0) & (F.col("rest") >= F.col("sum")), F.lit(False)).alias("part"), (F.col("rest") - (F.col("sum") - F.col("tokens"))).alias("room"), F.coalesce("target", F.lit(0.0)).alias("target"))
+    ordered = ordered.select("_s", "_b", "turn", F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce((F.col("rest") > 0) & (F.col("rest") >= F.col("sum")), F.lit(False)).alias("part"), (F.col("rest") - (F.col("sum") - F.col("tokens"))).alias("room"), F.coalesce("target", F.lit(0.0)).alias("target"))
     ordered = materialize(ordered, "orders")
+    # Tokens are never negative, so the blocks in part are a prefix of the order, and at most one block of a source is cut.
+    last = F.max(F.when(F.col("part"), F.struct("turn", "_b"))).alias("last")
+    told = ordered.groupBy("_s").agg(F.max("passes").alias("passes"), F.max("target").alias("target"), last)
     broken = ordered.where(~F.col("part") & (F.col("room") > 0)).select("_s", "_b", "room")
     upto_h = Window.partitionBy("_s", "_b").orderBy("_h").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = sized.join(broken, ["_s", "_b"]).withColumn("sum", F.sum("_tokens").over(upto_h)).where("sum <= room").groupBy("_s", "_b").agg(F.max("_h").alias("cut"))
-    return sized, materialize(ordered.join(cuts, ["_s", "_b"], "left").select("_s", "_b", "passes", "part", "cut", "target"), "decisions"), a
+    cuts = sized.join(broken, ["_s", "_b"]).withColumn("sum", F.sum("_tokens").over(upto_h)).where("sum <= room").groupBy("_s", F.col("_b").alias("broken")).agg(F.max("_h").alias("cut"))
+    return sized, materialize(told.join(cuts, "_s", "left"), "decisions"), a
 
 
-def _realised(tagged: DataFrame, decisions: DataFrame) -> DataFrame:
+def _realised(tagged: DataFrame, decisions: DataFrame, seed: int) -> DataFrame:
     """Rows once for each pass they are in, with epoch."""
     if decisions.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
-        decisions = F.broadcast(decisions)
-    joined = tagged.join(decisions, ["_s", "_b"])
-    copies = F.col("passes") + (F.col("part") | F.coalesce(F.col("_h") <= F.col("cut"), F.lit(False))).cast("int")
+        joined = tagged.join(F.broadcast(decisions), "_s")
+    else:
+        salted = decisions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = tagged.withColumn("_salt", F.pmod("_b", F.lit(SALTS))).join(salted, ["_s", "_salt"])
+    turn = F.xxhash64(F.lit(seed), F.col("passes"), F.col("_s"), F.col("_b"))
+    part = (F.struct(turn.alias("turn"), F.col("_b")) <= F.col("last")) | ((F.col("_b") == F.col("broken")) & (F.col("_h") <= F.col("cut")))
+    copies = F.col("passes") + F.coalesce(part, F.lit(False)).cast("int")
     return joined.withColumn("_n", copies).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
 
 
@@ -140,7 +148,7 @@ def mix(
     block; a source without tokens is used once; an empty table gives an empty one. Other columns may have any names.
     """
     sized, decisions, a = plan(_own(docs, key, source, text, tokens), budget, evenness, max_repetition, towards, seed)
-    used = _realised(sized, decisions)
+    used = _realised(sized, decisions, seed)
     turn = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("_s"), F.col("_b")).alias("turn")
     return used.select(F.col("_key").alias(key), F.col("_source").alias(source), "epoch", F.col("_b").alias("block"), turn, F.col("_tokens").alias("n_tokens"), F.lit(a).alias("exponent"), "target")
 
@@ -161,7 +169,7 @@ def remixed(
     source alone, so reading docs again, in whatever order, gives the same rows."""
     own = _own(docs, key, source, text, tokens)
     _, decisions, _ = plan(own, budget, evenness, max_repetition, towards, seed)
-    return unpacked(_realised(_tagged(own.drop("_tokens"), seed), decisions), "_doc")
+    return unpacked(_realised(_tagged(own.drop("_tokens"), seed), decisions, seed), "_doc")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

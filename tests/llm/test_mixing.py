@@ -102,3 +102,11 @@ def test_odd_rows(spark):
     assert {1, 2, 3, None} <= set(got)
     assert mixing.mix(docs.limit(0), budget=1.0, evenness=0.9).count() == 0
     assert mixing.remixed(docs.where("doc_id < 3"), max_repetition=2.0).count() == 2
+
+
+def test_many_sources_are_joined_by_shuffle_alike(corpus, monkeypatch):
+    docs, _ = corpus
+    take = lambda: sorted(map(tuple, mixing.mix(docs, budget=1.7, evenness=0.9).select("doc_id", "epoch", "turn").collect()))
+    sent = take()
+    monkeypatch.setattr(mixing, "SENT_ROWS", 0)
+    assert take() == sent
