@@ -83,11 +83,10 @@ def box_columns(x1: str, y1: str, x2: str, y2: str) -> dict[str, Column]:
 
 
 def box_ends(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
-    """(knob, tip) as structs: the ends of the box's longer middle line; left to right, or bottom to top."""
-    cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
+    """(knob, tip) as structs: the ends of a diagonal of the box, rising to the right in a wide or square box, falling in a tall one."""
     wide = (x2 - x1) >= (y2 - y1)
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    return F.when(wide, point(x1, cy)).otherwise(point(cx, y2)), F.when(wide, point(x2, cy)).otherwise(point(cx, y1))
+    point = lambda y: lambda x: F.struct(x.alias("x"), y.alias("y"))
+    return point(F.when(wide, y2).otherwise(y1))(x1), point(F.when(wide, y1).otherwise(y2))(x2)
 
 
 def blob(height: int, width: int, cx: Column, cy: Column, sigma: float) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import box_ends
+
 # The filter's start, process and measurement variances, and a body's proportions.
 START_VARIANCE, PROCESS_VARIANCE, MEASURE_VARIANCE = (200.0, 200.0, 500.0, 500.0), (2.0, 2.0, 80.0, 80.0), (20.0, 20.0)
 LENGTH_TO_SHOULDERS, LENGTH_WITHOUT, MARGIN, LEAST_NORM = 86 / 47.5, 180.0, 12.0, 5.0
@@ -141,3 +143,10 @@ def best_box(boxes: DataFrame, part: list[str] = ["video", "frame"], confidence:
     from .sequence import top1
 
     return top1(boxes, part, F.desc_nulls_last(confidence), F.asc("bat_x1"), F.asc("bat_y1"))
+
+
+def end_labels(boxes: DataFrame, part: list[str] = ["video", "frame"], confidence: str = "bat_conf", least: float = 0.5) -> DataFrame:  # noqa: B006
+    """(part, knob_x, knob_y, tip_x, tip_y) of the boxes that are confident enough; a box without a confidence is."""
+    knob, tip = box_ends(*(F.col(f"bat_{c}") for c in ("x1", "y1", "x2", "y2")))
+    sure = boxes.where(F.coalesce(F.col(confidence), F.lit(1.0)) >= least)
+    return sure.select(*part, *(end[a].alias(f"{name}_{a}") for name, end in (("knob", knob), ("tip", tip)) for a in "xy"))

@@ -65,7 +65,9 @@ def test_heat_map_peak(spark):
 
 def test_box_ends(spark):
     row = spark.range(1).select(*(e.alias(n) for n, e in zip(("k", "t"), G.box_ends(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(2.0)), strict=True))).first()
-    assert (row.k.x, row.k.y, row.t.x, row.t.y) == (0, 1, 10, 1)
+    assert (row.k.x, row.k.y, row.t.x, row.t.y) == (0, 2, 10, 0)
+    row = spark.range(1).select(*(e.alias(n) for n, e in zip(("k", "t"), G.box_ends(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(10.0)), strict=True))).first()
+    assert (row.k.x, row.k.y, row.t.x, row.t.y) == (0, 0, 2, 10)
 
 
 def path(spark, points):
