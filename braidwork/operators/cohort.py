@@ -47,8 +47,9 @@ def stratified_sample(df: DataFrame, stratum: Column, key: str, n: int, seed: in
 
 
 def split_by_key(df: DataFrame, key: str, share: float = 0.15, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(training, validation) by a hash of the key, so that no key is in both."""
-    held = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(10_000)) < int(share * 10_000)
+    """(training, validation) by a digest of the key, so that no key is in both; rows without a key are trained on."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    held = F.coalesce(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000 < int(share * 10_000), F.lit(False))
     return df.where(~held), df.where(held)
 
 

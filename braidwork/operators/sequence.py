@@ -221,7 +221,7 @@ def map_of(df: DataFrame, part: list[str], key: str, fields: tuple[str, ...], ou
 
 def batches(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
     """Rows [start, end) of the table in order: a slice of a listing, of which each task gives what is below `end`."""
-    return df.orderBy(order).limit(end).withColumn("_rn", F.row_number().over(Window.orderBy(order))).where(f"_rn > {start}").drop("_rn")
+    return df.orderBy(order).offset(start).limit(end - start)
 
 
 def in_batches(pdfs: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:

@@ -86,8 +86,11 @@ def read_json_array(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(schema_of(ddl)).json(path, multiLine=True)
 
 
-def write_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array of all rows in one text file: for summaries that a reader takes whole."""
+def write_json_array(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """One JSON array of all rows in one text file, for summaries that a reader takes whole; an error beyond `most` rows, for
+    which write_jsonl() is meant."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for one JSON array")
     rows = F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns))))
     df.agg(F.concat(F.lit("["), F.array_join(rows, ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
