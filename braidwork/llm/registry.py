@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "chat", "media", "mixing", "pii", "quality", "secrets", "simhash", "token_counts", "toxicity")
+MODULES = ("bpe", "chat", "divergence", "fingerprints", "media", "mixing", "pii", "quality", "secrets", "simhash", "snapshots", "token_counts", "toxicity")
 
 
 def queries() -> dict:
