@@ -39,13 +39,13 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], descending
     """df with `out`: the row's number (long, from 1) in its group by `order`, nulls smallest; rows that are equal in both
     get numbers of their own in any order.
 
-    The rows are dealt by ranges of group, order and place, so that a group of any size is spread over as many tasks as it
+    The rows are dealt by ranges of the group's hash, order and place (bounds that Spark takes from a sample of a million rows at most), so that a group of any size is spread over as many tasks as it
     needs; DuckDB numbers each partition's rows, and to those of a group that goes on from earlier partitions its rows
     there are added. What is added has a row for each partition at most. df must be a written table (it is read twice).
     """
     names = list(df.columns)
     sort = [F.col(quoted(c)).desc_nulls_last() if descending else F.col(quoted(c)).asc_nulls_first() for c in order]
-    dealt = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts_of(df), *map(F.col, map(quoted, group)), *sort, "_place")
+    dealt = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts_of(df), F.xxhash64(*map(quoted, group)), *sort, "_place")
     name = lambda c: '"' + c.replace('"', '""') + '"'
     by, along = ", ".join(map(name, group)), ", ".join(f"{name(c)} {'DESC NULLS LAST' if descending else 'ASC NULLS FIRST'}" for c in order)
     sql = f'SELECT {", ".join(map(name, names))}, "_part", row_number() OVER (PARTITION BY {by} ORDER BY {along}, "_place") AS {name(out)} FROM rows'
