@@ -1,15 +1,18 @@
 """Source divergence audit by mergeable radix tries.
 
-Each task counts its documents' terms in byte tries, one a language, whose leaves count by source. Tries are written out
-leaf by leaf and merged by prefix range: every range of terms is read in UTF-8 order, and the leaves of one short prefix at a
-time grow into a trie that is walked and dropped. The walks stream the kept terms to whoever compares sources: blocks of
-terms by blocks of sources give partial sums of the pairs and the first candidates of each source.
+Each task counts its documents' terms in byte tries, one a language, whose leaves count by source. A trie is cut into the
+branches of its prefixes; the branches of a prefix meet in one task, grow into one trie, and that is walked in UTF-8 order.
+Branches that only one of them has are taken over whole. The walks stream the kept terms to whoever compares sources:
+blocks of terms by blocks of sources give partial sums of the pairs and the first candidates of each source.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
+import marshal
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +26,25 @@ from .ranks import parts_of
 LEAST_DOCS, TOP = 10, 10
 #: Parts that a source's shares of terms are told in.
 SCALE = 1_000_000_000
-#: Leaves that a task's tries have before they are written out; bytes of the prefixes that are merged together; rows of a batch.
-LEAVES, PREFIX, ROWS = 200_000, 2, 4096
+#: Counts that a task holds before its tries are written out; bytes of the prefixes whose branches are merged; rows of a batch.
+COUNTS, PREFIX, ROWS = 600_000, 3, 4096
 #: Terms that sources are compared over at once, about; sources of a block.
 TERMS, SOURCES = 2048, 256
 #: Letters, and all that is not ASCII, lower-cased where ASCII; all else separates.
 _LETTERS = bytes(c if c >= 0x80 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-_LEAF = "lang string, term string, docs long, sources array<string>, counts array<long>"
+_BRANCH = "lang string, prefix binary, branch binary"
+_TERM = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
 def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(_LETTERS).split()
 
 
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
 class Trie:
     """A radix trie over bytes. A node is [label, children by their first byte, leaf]; a leaf is [documents, counts by source]."""
 
@@ -44,32 +53,53 @@ class Trie:
         self.leaves = 0
 
     def leaf(self, word: bytes) -> list:
-        node, at = self.root, 0
-        while at < len(word):
-            child = node[1].get(word[at])
-            if child is None:
-                child = node[1][word[at]] = [word[at:], {}, None]
-                at = len(word)
-            elif word.startswith(child[0], at):
-                at += len(child[0])
+        node, at, end = self.root, 0, len(word)
+        while at < end:
+            children, first = node[1], word[at]
+            if first not in children:
+                node = children[first] = [word[at:], {}, None]
+                break
+            node = children[first]
+            label = node[0]
+            if word.startswith(label, at):
+                at += len(label)
             else:
-                label = child[0]
-                k = next(i for i, c in enumerate(label) if at + i == len(word) or c != word[at + i])
-                child[0] = label[k:]
-                child = node[1][word[at]] = [label[:k], {label[k]: child}, None]
+                k = _common(label, word[at:])
+                self._split(node, k)
                 at += k
-            node = child
         if node[2] is None:
             node[2] = [0, {}]
             self.leaves += 1
         return node[2]
 
-    def add(self, word: bytes, docs: int, sources: list[str], counts: list[int]) -> None:
-        """Merges another trie's leaf."""
-        leaf = self.leaf(word)
-        leaf[0] += docs
-        for s, n in zip(sources, counts, strict=True):
-            leaf[1][s] = leaf[1].get(s, 0) + n
+    @staticmethod
+    def _split(node: list, k: int) -> None:
+        label, children, leaf = node
+        node[:] = [label[:k], {label[k]: [label[k:], children, leaf]}, None]
+
+    def merge(self, branch: list) -> None:
+        """Adds another trie's branch, which must not be used any more: what this trie lacks is taken over as it is."""
+        open_ = [(self.root, branch)]
+        while open_:
+            own, other = open_.pop()
+            k = _common(own[0], other[0])
+            if k < len(own[0]):
+                self._split(own, k)
+            if k < len(other[0]):
+                children = {other[0][k]: [other[0][k:], other[1], other[2]]}
+            else:
+                children = other[1]
+                if own[2] is None:
+                    own[2] = other[2]
+                elif other[2] is not None:
+                    own[2][0] += other[2][0]
+                    for s, n in other[2][1].items():
+                        own[2][1][s] = own[2][1].get(s, 0) + n
+            for c, child in children.items():
+                if c in own[1]:
+                    open_.append((own[1][c], child))
+                else:
+                    own[1][c] = child
 
     def walk(self) -> Iterator[tuple[bytes, list]]:
         """(word, leaf) in UTF-8 order."""
@@ -81,65 +111,116 @@ class Trie:
                 yield word, leaf
             open_ += ((word, children[c]) for c in sorted(children, reverse=True))
 
+    def branches(self, n: int) -> Iterator[tuple[bytes, list]]:
+        """(prefix, branch) for each prefix of n bytes, and for each shorter word by itself."""
+        open_ = [(b"", self.root)]
+        while open_:
+            before, (label, children, leaf) = open_.pop()
+            word = before + label
+            if len(word) >= n:
+                yield word[:n], [word[n:], children, leaf]
+                continue
+            if leaf is not None:
+                yield word, [b"", {}, leaf]
+            open_ += ((word, child) for child in children.values())
+
 
-def _written(found: Iterator[tuple[str, bytes, list]]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+def _told(branch: list) -> bytes:
+    """A branch as bytes; one that is nested too deeply for marshal, leaf by leaf."""
+    try:
+        return b"n" + marshal.dumps(branch)
+    except ValueError:
+        trie = Trie()
+        trie.root = [b"", {branch[0][0]: branch} if branch[0] else branch[1], None if branch[0] else branch[2]]
+        return b"l" + marshal.dumps(list(trie.walk()))
 
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["lang", "term", "docs", "sources", "counts"])
 
-    for lang, word, (docs, counts) in found:
-        rows.append((lang, word.decode(), docs, list(counts), list(counts.values())))
-        if len(rows) == ROWS:
-            yield batch()
-            rows = []
-    if rows:
-        yield batch()
+def _grown(trie: Trie, told: bytes) -> None:
+    if told[:1] == b"n":
+        trie.merge(marshal.loads(told[1:]))
+    else:
+        for word, leaf in marshal.loads(told[1:]):
+            trie.merge([word, {}, leaf])
+
+
+@contextmanager
+def _without_gc() -> Iterator[None]:
+    """Tries have no cycles, but millions of small objects, which the collector would walk through again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves of the tries of a task's documents (lang, source, text); that of the empty term counts documents."""
-    tries: dict[str, Trie] = {}
-    known: dict[str, dict[bytes, list]] = {}  # leaves that a word was followed to before
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                trie, seen = tries.setdefault(lang, Trie()), known.setdefault(lang, {})
-                found = Counter(terms_of(text))
-                found[b""] = 1
-                for word, n in found.items():
-                    leaf = seen.get(word)
-                    if leaf is None:
-                        leaf = seen[word] = trie.leaf(word)
-                    leaf[0] += 1
-                    leaf[1][source] = leaf[1].get(source, 0) + n
-            if sum(t.leaves for t in tries.values()) >= LEAVES:
-                yield from _written((lang, *x) for lang in sorted(tries) for x in tries[lang].walk())
-                tries, known = {}, {}
-    yield from _written((lang, *x) for lang in sorted(tries) for x in tries[lang].walk())
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves in the order of their language and term: those of one prefix become one trie."""
-
-    def walks() -> Iterator[tuple[str, bytes, list]]:
-        at, trie = None, Trie()
+    """Branches of the tries of a task's documents (lang, source, text); the leaf of the empty term counts documents.
+    Terms are counted by hash first, so that each is followed in its trie but once."""
+    counts: dict[tuple, Counter] = defaultdict(Counter)
+    docs: dict[str, Counter] = defaultdict(Counter)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, known in docs.items():
+            trie = Trie()
+            for word, n in known.items():
+                leaf = known[word] = trie.leaf(word)  # in place of the number
+                leaf[0] = n
+            for (other, source), held in counts.items():
+                if other == lang:
+                    for word, n in held.items():
+                        known[word][1][source] = n
+            rows = [(lang, prefix, _told(branch)) for prefix, branch in trie.branches(PREFIX)]
+            for at in range(0, len(rows), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + ROWS], strict=True), (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "prefix", "branch"])
+        counts.clear()
+        docs.clear()
+
+    with _without_gc():
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                for lang, term, docs, sources, counts in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-                    word = term.encode()
-                    if at != (lang, word[:PREFIX]):
-                        if at:
-                            yield from ((at[0], *x) for x in trie.walk())
-                        at, trie = (lang, word[:PREFIX]), Trie()
-                    trie.add(word, docs, sources, counts)
-        if at:
-            yield from ((at[0], *x) for x in trie.walk())
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    words = terms_of(text)
+                    words.append(b"")
+                    counts[lang, source].update(words)
+                    docs[lang].update(set(words))
+                if sum(map(len, counts.values())) >= COUNTS:
+                    yield from out()
+        yield from out()
+
+
+def _merged(least_docs: int):
+    """Branches in the order of their language and prefix: those of one prefix become one trie, whose terms of enough
+    documents are told."""
+    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+
+    def written(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["lang", "term", "docs", "sources", "counts"])
 
-    yield from _written(walks())
+    def terms(lang: str, prefix: bytes, trie: Trie) -> list[tuple]:
+        found = ((prefix + word, leaf) for word, leaf in trie.walk() if leaf[0] >= least_docs or not prefix)
+        return [(lang, word.decode(), docs, list(counts), list(counts.values())) for word, (docs, counts) in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, trie, rows = None, Trie(), []
+        with _without_gc():
+            for batch in batches:
+                for lang, prefix, branch in zip(*(batch.column(i) for i in range(3)), strict=True):
+                    key = lang.as_py(), prefix.as_py()
+                    if at != key:
+                        rows += terms(*at, trie) if at else []
+                        if len(rows) >= ROWS:
+                            yield written(rows)
+                            rows = []
+                        at, trie = key, Trie()
+                    _grown(trie, branch.as_py())
+            rows += terms(*at, trie) if at else []
+            if rows:
+                yield written(rows)
+
+    return run
 
 
 def shares(counts: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
@@ -210,13 +291,12 @@ _SUMS_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part"
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, docs, sources, counts, range): every term of at least that many documents of its language, with its
-    counts by source, and for each language the empty term, whose counts are documents. range: the prefix range, in
-    which lower numbers hold smaller (lang, term)."""
+    counts by source, and for each language the empty term, whose counts are documents. range: the task, whose terms are
+    those of some prefixes."""
     plain = lambda c: F.coalesce(column(docs, c).cast("string"), F.lit(""))
-    leaves = materialize(docs.select(plain(lang).alias("lang"), plain(source).alias("source"), plain(text).alias("text")).mapInArrow(_counted, _LEAF), "leaves")
-    dealt = leaves.repartitionByRange(parts_of(docs), "lang", "term").sortWithinPartitions("lang", "term")
-    kept = dealt.mapInArrow(_merged, _LEAF).where((F.col("docs") >= least_docs) | (F.col("term") == ""))
-    return materialize(kept.withColumn("range", F.spark_partition_id()), "terms")
+    grown = docs.select(plain(lang).alias("lang"), plain(source).alias("source"), plain(text).alias("text")).mapInArrow(_counted, _BRANCH)
+    dealt = grown.repartition(parts_of(docs), "lang", "prefix").sortWithinPartitions("lang", "prefix")
+    return materialize(dealt.mapInArrow(_merged(least_docs), _TERM).withColumn("range", F.spark_partition_id()), "terms")
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -229,7 +309,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
     Null text, lang and source count as ''. Documents without terms count as their source's; repeated rows count each
     time. Texts of any length cost their distinct terms; an empty table gives no rows. Columns may have any names, others are not read.
-    No term, source or language is gathered: a term's leaves are one a task and flush at most. Sums of pairs have a row for each
+    What meets in one task are the branches of one prefix, however often its terms occur; sums of pairs have a row for each
     pair of sources of a language, as the result has.
     """
     kept = term_counts(docs, text, lang, source, least_docs)
