@@ -44,18 +44,19 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], descending
     there are added. What is added has a row for each partition at most. df must be a written table (it is read twice).
     """
     names = list(df.columns)
-    sort = [F.col(quoted(c)).desc_nulls_last() if descending else F.col(quoted(c)).asc_nulls_first() for c in order]
-    dealt = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts_of(df), F.xxhash64(*map(quoted, group)), *sort, "_place")
-    name = lambda c: '"' + c.replace('"', '""') + '"'
-    by, along = ", ".join(map(name, group)), ", ".join(f"{name(c)} {'DESC NULLS LAST' if descending else 'ASC NULLS FIRST'}" for c in order)
-    sql = f'SELECT {", ".join(map(name, names))}, "_part", row_number() OVER (PARTITION BY {by} ORDER BY {along}, "_place") AS {name(out)} FROM rows'
-    schema = ", ".join(f"{quoted(c)} {kind_of(df, c)}" for c in names) + f", _part int, {quoted(out)} long"
+    safe = {c: f"c{i}" for i, c in enumerate(names)}  # mapInArrow takes no names with dots
+    own, by, along = df.toDF(*safe.values()), [safe[c] for c in group], [safe[c] for c in order]
+    sort = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in along]
+    dealt = own.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts_of(df), F.xxhash64(*by), *sort, "_place")
+    along = ", ".join(f"{c} {'DESC NULLS LAST' if descending else 'ASC NULLS FIRST'}" for c in along)
+    sql = f"SELECT {', '.join(safe.values())}, _part, row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY {along}, _place) AS _in FROM rows"
+    schema = ", ".join(f"{n} {kind_of(df, c)}" for c, n in safe.items()) + ", _part int, _in long"
     placed = materialize(per_partition(dealt.withColumn("_part", F.spark_partition_id()), sql, schema), "placed")
-    held = placed.groupBy(*map(quoted, group), "_part").agg(F.max(quoted(out)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*map(quoted, group)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    later = materialize(held.withColumn("_before", before).where("_before > 0"), "earlier-rows").select(*(F.col(quoted(c)).alias(f"_g{i}") for i, c in enumerate(group)), F.col("_part").alias("_p"), "_before")
+    held = placed.groupBy(*by, "_part").agg(F.max("_in").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = materialize(held.withColumn("_before", before).where("_before > 0"), "earlier-rows").select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_p"), "_before")
     same = F.col("_part") == F.col("_p")
-    for i, c in enumerate(group):
-        same &= F.col(quoted(c)).eqNullSafe(F.col(f"_g{i}"))
-    joined = placed.join(later.hint("merge"), same, "left")
-    return joined.select(*map(quoted, names), (F.col(quoted(out)) + F.coalesce("_before", F.lit(0))).alias(out))
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = placed.join(earlier.hint("merge"), same, "left")
+    return joined.select(*(F.col(n).alias(c) for c, n in safe.items()), (F.col("_in") + F.coalesce("_before", F.lit(0))).alias(out))

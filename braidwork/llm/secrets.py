@@ -2,8 +2,8 @@
 
 Strong finds are reported by themselves. Weak parts (account identifiers, bare random strings, endpoints) are reported
 only where the complementary parts stand within one scope: an interval join of the parts of a document. As a document's
-parts are in one row, the join is made there: parts in order fall into runs, each ended by a gap wider than the scope, so
-that no pairs are made, nothing is shuffled and no row needs a number to be found by again.
+parts are in one row, the join is made there: in the sorted places of the parts, those that begin before a scope's end less
+those that end before its start are the parts in it, so that no pairs are made and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, packed, table
-from .spans import apart, fixed, joined, locate, merged, numbered, with_breaks
+from .spans import apart, fixed, joined, locate, merged, numbered, within
 
-#: Code points, at most, between the end of one part and the start of the next that may belong to one credential.
+#: Code points, at most, between a credential's central part and any other part of it.
 SCOPE = 200
 KINDS = ("assign", "access", "hex")
 MASK = "[SECRET]"
@@ -52,26 +52,30 @@ def _weak(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("weak", apart(F.col("_parts"), F.col("base"))).drop("_parts")
 
 
+#: What may stand for a credential's identifier, its secret, and the third part that bears it out.
+ROLES = (("access", "part_id"), ("assign", "hex", "part_secret"), (*KINDS, "part_endpoint"))
+
+
 def linked(df: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Adds `linked`: those of the weak parts (column weak) that complete a credential with each other or with strong finds
     (column base), by start.
 
-    Parts form runs in which each starts at most `scope` code points after the end of those before it. All weak parts of
-    a run are reported if it holds an identifier and a secret, and besides either a strong find or an endpoint.
+    Two parts are in one scope if at most `scope` code points lie between them. A part is a centre if an identifier, a
+    secret and either a strong find or an endpoint are in its scope, itself included. The weak parts in the scope of a
+    centre are reported, and no others: scopes don't chain.
     """
-    df = fixed(df, _parts=F.when(F.size("weak") > 0, F.array_sort(F.concat("base", "weak"))))
-    starts = F.filter(F.transform(with_breaks(F.col("_parts"), scope), lambda x, i: F.when(x["new"], i)), lambda i: i.isNotNull())
-    df = fixed(df, _starts=starts)
-    ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(F.size("_parts")))
-    runs = F.zip_with("_starts", ends, lambda a, b: F.slice("_parts", a + 1, b - a))
-
-    def told(run: Column) -> Column:
-        has = lambda *kinds: F.exists(run, lambda p: p["kind"].isin(*kinds))
-        complete = has("access", "part_id") & has("assign", "hex", "part_secret") & has(*KINDS, "part_endpoint")
-        return F.when(complete, F.filter(run, lambda p: p["nr"] >= len(KINDS))).otherwise(F.slice(run, 1, 0))
-
-    found = F.when(F.size("weak") > 0, F.flatten(F.transform(runs, told))).otherwise(F.slice("weak", 1, 0))
-    return df.withColumn("linked", found).drop("_parts", "_starts")
+    wide = F.transform(F.array_sort(F.concat("base", "weak")), lambda p: F.struct(*(p[c].alias(c) for c in ("start", "nr", "end", "kind")), (p["start"] - scope).alias("low"), (p["end"] + scope).alias("high")))
+    of = lambda kinds: lambda p: p["kind"].isin(*kinds)
+    every = [F.exists("_wide", of(kinds)) for kinds in ROLES]
+    df = fixed(df, _wide=F.when(F.size("weak") > 0, wide))
+    df = fixed(df, _parts=F.when(every[0] & every[1] & every[2], F.col("_wide"))).drop("_wide")
+    for i, kinds in enumerate(ROLES):
+        df = fixed(df, **{f"_r{i}": within(F.col("_parts"), F.filter("_parts", of(kinds)))})
+    marked = F.zip_with("_parts", F.arrays_zip("_r0", "_r1", "_r2"), lambda p, r: F.struct(p.alias("p"), (r["_r0"] & r["_r1"] & r["_r2"]).alias("whole")))
+    df = fixed(df, _centres=F.filter(marked, lambda x: x["whole"])["p"], _weak=F.filter("_parts", lambda p: p["nr"] >= len(KINDS)))
+    near = F.zip_with("_weak", within(F.col("_weak"), F.col("_centres")), lambda p, r: F.struct(p.alias("p"), r.alias("near")))
+    plain = F.transform(F.filter(near, lambda x: x["near"]), lambda x: F.struct(*(x["p"][c].alias(c) for c in ("start", "nr", "end", "kind"))))
+    return df.withColumn("linked", F.coalesce(F.when(F.size("_centres") > 0, plain), F.slice("weak", 1, 0))).drop("_parts", "_r0", "_r1", "_r2", "_centres", "_weak")
 
 
 def found_in(own: DataFrame, text: str, scope: int) -> DataFrame:

@@ -82,6 +82,13 @@ def apart(spans: Column, others: Column) -> Column:
     return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(F.filter(marked, lambda x: x["f"])["s"])
 
 
+def within(spans: Column, others: Column) -> Column:
+    """For each of `spans`, whether any of `others` reaches into the stretch from its `low` to its `high`, ends included: those
+    that begin by its high less those that end before its low, in time that grows with both together."""
+    begun, ended = _before(spans, "high", others, "start", False), _before(spans, "low", others, "end", True)
+    return F.zip_with(begun, ended, lambda b, e: b > e)
+
+
 def with_breaks(spans: Column, gap: int) -> Column:
     """Spans by start as struct<s, e, new>: e is the furthest end before the span (the end of that rank, wherever it
     matters), new tells whether the span starts more than `gap` after it."""

@@ -88,27 +88,42 @@ def test_scope_is_the_gap_between_parts(docs_of):
 
 
 def brute_linked(text):
-    """Weak parts of complete groups by a join of all pairs of parts: two are linked if at most SCOPE lies between them."""
+    """Weak parts by joins of all pairs of parts: in the scope of a part whose own scope holds an identifier, a secret and a third part."""
     strong = brute(text)
     weak = []
     for nr, (part, pattern) in enumerate(secrets.WEAK.items()):
-        for m in regex.finditer(pattern.replace("(?i:", "(?i:").replace(r"\x20", " "), text):
+        for m in regex.finditer(pattern.replace(r"\x20", " "), text):
             if not any(b[0] < m.end() and m.start() < b[2] for b in strong):
                 weak.append((m.start(), nr + len(secrets.KINDS), m.end(), f"part_{part}"))
     parts = strong + weak
-    group = list(range(len(parts)))
-    for i, a in enumerate(parts):
-        for j, b in enumerate(parts):
-            if max(a[0], b[0]) - min(a[2], b[2]) <= secrets.SCOPE:
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
-    out = []
-    for g in set(group):
-        own = [p for p, x in zip(parts, group, strict=True) if x == g]
-        kinds = {p[3] for p in own}
+    met = lambda a, b: max(a[0], b[0]) - min(a[2], b[2]) <= secrets.SCOPE
+    centres = []
+    for a in parts:
+        kinds = {b[3] for b in parts if met(a, b)}
         if kinds & {"access", "part_id"} and kinds & {"assign", "hex", "part_secret"} and kinds & {*secrets.KINDS, "part_endpoint"}:
-            out += [p for p in own if p[1] >= len(secrets.KINDS)]
-    return sorted(strong + out)
+            centres.append(a)
+    return sorted(strong + [w for w in weak if any(met(w, c) for c in centres)])
+
+
+def test_scopes_do_not_chain(docs_of):
+    """Sixty ordinary addresses between an identifier and a secret 10,000 code points away link nothing."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("aeioulmnrst", k=rng.randint(2, 8)))
+    link = lambda: f"https://{word()}.example.com/{word()} " + " ".join(word() for _ in range(20)) + " "
+    chain = "".join(link() for _ in range(60))
+    texts = [f"username: alice {chain}Zk9Qm2Lx8Vb4Tn6Rw1Yp", f"username: alice Zk9Qm2Lx8Vb4Tn6Rw1Yp {chain}", chain + "login: bob_1 " + chain]
+    rows = {r.doc_id: told(r.spans) for r in secrets.scan(docs_of(texts)).collect()}
+    assert len(texts[0]) > 6000 and rows[0] == rows[2] == []
+    assert rows[1] == brute_linked(texts[1]) and 3 <= len(rows[1]) <= 6 and max(s[2] for s in rows[1]) < 600
+    assert {r.doc_id: r.text for r in secrets.redact(docs_of(texts)).collect()}[0] == texts[0]
+    many = []
+    for _ in range(60):
+        parts = [link, lambda: f"login: {word()} ", lambda: "Zk9Qm2Lx8Vb4Tn6Rw1Yp ", lambda: "token=abcdef1 ", lambda: word() + " " * rng.randint(1, 150)]
+        many.append("".join(rng.choices(parts, [6, 1, 1, 0.3, 3], k=1)[0]() for _ in range(rng.randint(5, 60))))
+    rows = {r.doc_id: told(r.spans) for r in secrets.scan(docs_of(many)).collect()}
+    for i, text in enumerate(many):
+        assert rows[i] == brute_linked(text), text
+    assert 0 < sum(len(r) > len(brute(t)) for r, t in zip(rows.values(), many, strict=True)) < 60
 
 
 def planted(rng):

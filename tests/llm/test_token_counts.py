@@ -48,3 +48,19 @@ def test_empty_table(docs_of):
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
 def test_digest_tells_files_apart(name):
     assert len(token_counts.tokenizer_digest(public_tokenizers.path(name))) == 64
+
+
+def test_query_finds_what_it_stored(spark, tmp_path, monkeypatch):
+    """The second delivery's anti-join leaves only digests that the first one had not stored."""
+    docs = spark.createDataFrame([(i, f"text {i % 40}", "en", "s", 1) for i in range(90)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    seen, plain = [], token_counts.store
+    monkeypatch.setattr(token_counts, "store", lambda own, cache, tokenizer=None: (plain(own, cache, tokenizer), seen.append(spark.read.parquet(cache).count())))
+    rows = token_counts.op4_tokens(spark, str(tmp_path)).collect()
+    assert len(rows) == 90 and 0 < seen[0] < seen[1] == 40
+
+
+def test_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, None, None, None)], "`a.b` int, text string, content int, _text string")
+    rows = token_counts.count_tokens(docs, ("a.b", "content", "_text")).collect()
+    assert sorted((r["a.b"] or 0, r.n_bytes, r._text or "") for r in rows) == [(0, 0, ""), (1, 3, "x"), (1, 3, "x")]
