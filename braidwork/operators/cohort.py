@@ -5,17 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 SHARES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
+def positions(df: DataFrame, cohort: list[str], value: str) -> DataFrame:
+    """(cohort, value, n, before, total): each distinct value of a cohort with its rows, the rows of smaller values, and all
+    rows. Nulls are values, and the smallest.
+
+    Equal values are counted before any shuffle. What is left is dealt by ranges of cohort and value, summed up within
+    each partition, and told the sums of the partitions before: no cohort is sorted in one task, however large. Sums of
+    partitions have at most one row a cohort and partition.
+    """
+    counts = df.groupBy(*cohort, value).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(counts.repartitionByRange(parts, *cohort, F.col(value).asc_nulls_first()).withColumn("_part", F.spark_partition_id()))
+    inside = placed.withColumn("_in", F.sum("n").over(Window.partitionBy("_part", *cohort).orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)))
+    shares = placed.groupBy(*cohort, "_part").agg(F.sum("n").alias("_s"))
+    upto = Window.partitionBy(*cohort).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.select(*(F.col(c).alias(f"_{c}") for c in cohort), F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy(*cohort)).alias("total"))
+    same = F.col("_part") == F.col("_p")
+    for c in cohort:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return inside.join(shares, same).select(*cohort, value, "n", (F.coalesce("_in", F.lit(0)) + F.col("_before")).alias("before"), "total")
+
+
 def percentiles(df: DataFrame, cohort: list[str], value: str) -> DataFrame:
-    p = F.percentile(value, list(SHARES))
-    return df.groupBy(*cohort).agg(*(p[i].alias(f"p{round(s * 100)}") for i, s in enumerate(SHARES)), F.count(value).alias("n"))
+    """(cohort, p10 to p90, n): exact, interpolated between neighbours; nulls left out, cohorts of nulls kept."""
+    own = positions(df.where(F.col(value).isNotNull()), cohort, value)
+    told = []
+    for s in SHARES:
+        place = F.lit(s) * (F.col("total") - 1)
+        at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col(value)))
+        low, high, place = at(F.floor(place)), at(F.ceil(place)), F.max(place)
+        told.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(f"p{round(s * 100)}"))
+    found = own.groupBy(*cohort).agg(*told, F.max("total").alias("n"))
+    names = [f"p{round(s * 100)}" for s in SHARES]
+    every = df.select(*(F.col(c).alias(f"_{c}") for c in cohort)).distinct()
+    same = F.lit(True)
+    for c in cohort:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return every.join(found, same, "left").select(*(F.col(f"_{c}").alias(c) for c in cohort), *(F.col(n).cast("double").alias(n) for n in names), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def percentile_of(df: DataFrame, cohort: list[str], value: str, out: str = "percentile") -> DataFrame:
     """The share of the cohort at or below each row's value."""
-    return df.withColumn(out, F.cume_dist().over(Window.partitionBy(*cohort).orderBy(value)))
+    own = positions(df, cohort, value).select(*(F.col(c).alias(f"_{c}") for c in (*cohort, value)), ((F.col("before") + F.col("n")) / F.col("total")).alias(out))
+    same = F.lit(True)
+    for c in (*cohort, value):
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(own, same).drop(*(f"_{c}" for c in (*cohort, value)))
 
 
 def squared_up(exit_speed: Column, bat_speed: Column, pitch_speed: Column) -> Column:
@@ -35,9 +75,10 @@ def rates(df: DataFrame, part: list[str], bat: str, exit_: str, pitch: str, angl
 
 def mean_of_top(df: DataFrame, part: list[str], value: str, share: float, out: str) -> DataFrame:
     """Mean of the highest `share` of values, at least one: 0.5 for the hardest half, 0.9 for competitive swings."""
-    w = Window.partitionBy(*part)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(F.desc(value)))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share) + 1e-9))).groupBy(*part).agg(F.avg(value).alias(out))
+    own = positions(df.where(F.col(value).isNotNull()), part, value)
+    wanted = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(share) + 1e-9))
+    taken = F.greatest(F.lit(0), F.least("n", wanted - (F.col("total") - F.col("before") - F.col("n"))))
+    return own.groupBy(*part).agg((F.sum(F.col(value) * taken) / F.sum(taken)).alias(out))
 
 
 def stratified_sample(df: DataFrame, stratum: Column, key: str, n: int, seed: int = 0) -> DataFrame:

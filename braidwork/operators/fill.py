@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from bisect import insort
+from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_ends
+from .grouped import in_order
 
 # The filter's start, process and measurement variances, and a body's proportions.
 START_VARIANCE, PROCESS_VARIANCE, MEASURE_VARIANCE = (200.0, 200.0, 500.0, 500.0), (2.0, 2.0, 80.0, 80.0), (20.0, 20.0)
@@ -30,36 +30,49 @@ def band_join(rows: DataFrame, bands: DataFrame, on: list[str], value: str, low:
 
 
 class Filter:
-    """A constant-velocity filter in the plane: state x, y and their steps a row."""
+    """A constant-velocity filter in the plane: x, y and their steps a row.
+
+    Both axes have equal variances and nothing in common, so that one covariance of place and step (a, b, c) serves both.
+    """
 
     def __init__(self, x: float, y: float):
-        self.state, self.cov = np.array([x, y, 0.0, 0.0]), np.diag(START_VARIANCE)
-        self.move = np.eye(4) + np.eye(4, k=2)
+        self.x, self.y, self.dx, self.dy = x, y, 0.0, 0.0
+        self.a, self.b, self.c = START_VARIANCE[0], 0.0, START_VARIANCE[2]
 
     def predict(self) -> tuple[float, float]:
-        self.state = self.move @ self.state
-        self.cov = self.move @ self.cov @ self.move.T + np.diag(PROCESS_VARIANCE)
-        return float(self.state[0]), float(self.state[1])
+        self.x, self.y = self.x + self.dx, self.y + self.dy
+        self.a, self.b, self.c = self.a + 2 * self.b + self.c + PROCESS_VARIANCE[0], self.b + self.c, self.c + PROCESS_VARIANCE[2]
+        return self.x, self.y
 
     def update(self, x: float, y: float) -> None:
-        gain = self.cov[:, :2] @ np.linalg.inv(self.cov[:2, :2] + np.diag(MEASURE_VARIANCE))
-        self.state = self.state + gain @ (np.array([x, y]) - self.state[:2])
-        self.cov = self.cov - gain @ self.cov[:2]
+        place, step = self.a / (self.a + MEASURE_VARIANCE[0]), self.b / (self.a + MEASURE_VARIANCE[0])
+        off = x - self.x, y - self.y
+        self.x, self.y, self.dx, self.dy = self.x + place * off[0], self.y + place * off[1], self.dx + step * off[0], self.dy + step * off[1]
+        self.a, self.b, self.c = self.a - place * self.a, self.b - place * self.b, self.c - step * self.b
+
+    def held(self) -> list[float]:
+        return [self.x, self.y, self.dx, self.dy, self.a, self.b, self.c]
+
+    @classmethod
+    def of(cls, held: list[float]) -> Filter:
+        out = cls(0.0, 0.0)
+        out.x, out.y, out.dx, out.dy, out.a, out.b, out.c = held
+        return out
 
 
 def kalman(frames: DataFrame, part: list[str], order: str = "frame", cx: str = "cx", cy: str = "cy", w: str = "w", h: str = "h", max_gap: int | None = None) -> DataFrame:
     """Predictions (part, order, k_cx, k_cy, k_w, k_h) for rows without a measurement, after the first one.
 
     Forward only, and without end unless max_gap bounds the rows since the last measurement. Sizes are medians of the
-    measured sizes so far, which are kept in order.
+    measured sizes so far, which are kept in order: all that is held of a group.
     """
     fields = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*part, order]) + ", k_cx double, k_cy double, k_w double, k_h double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kf, sizes, since, out = pdf.sort_values(order), None, ([], []), 0, []
-        for row in pdf[[*part, order, cx, cy, w, h]].itertuples(index=False, name=None):
-            *key, x, y, bw, bh = row
+    def run(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
+        kf, sizes, since = None, ([], []), 0
+        for row in rows:
+            at, x, y, bw, bh = row[len(part) :]
             if x is not None and x == x:
                 if kf is None:
                     kf = Filter(x, y)
@@ -73,10 +86,9 @@ def kalman(frames: DataFrame, part: list[str], order: str = "frame", cx: str = "
                 px, py = kf.predict()
                 since += 1
                 if max_gap is None or since <= max_gap:
-                    out.append((*key, px, py, *((s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2 for s in sizes)))
-        return pd.DataFrame(out, columns=[*part, order, "k_cx", "k_cy", "k_w", "k_h"])
+                    yield *key, at, px, py, *((s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2 for s in sizes)
 
-    return frames.groupBy(*part).applyInPandas(run, schema)
+    return in_order(frames.select(*part, order, cx, cy, w, h), part, order, schema, run)
 
 
 def shoulder_lengths(keypoints: DataFrame, part: list[str]) -> DataFrame:

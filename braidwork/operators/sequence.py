@@ -40,14 +40,26 @@ def debounced(values: list) -> list:
 
 
 def debounce(df: DataFrame, part: list[str], order: str, identity: str, out: str = "stable_id") -> DataFrame:
-    """Adds the debounced identity. A fold over each group in order, in a grouped pandas function: a group fits one task."""
-    schema = df.withColumn(out, F.col(identity)).schema
+    """Adds the debounced identity, as debounced() gives it, by windows alone, for groups of any length.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**{out: pd.Series(debounced(pdf[identity].tolist()), index=pdf.index, dtype=pdf[identity].dtype)})
-
-    return df.groupBy(*part).applyInPandas(run, schema)
+    A row is a blip of one where it differs from the row before, which the row after equals. Of blips that follow each
+    other directly, taking one over heals the next, so every other one is taken, from the first. Blips of two follow
+    each other two rows apart, and again every other one is taken.
+    """
+    w, same = _w(part, order), lambda a, b: a.eqNullSafe(b)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    near = lambda c, n: F.lag(c, -n).over(w)
+    df = df.withColumn("_i", F.row_number().over(w))
+    blip = (F.col("_i") > 1) & near("_i", 1).isNotNull() & ~same(F.col(identity), near(identity, -1)) & same(near(identity, 1), near(identity, -1))
+    df = df.withColumn("_c", blip)
+    since = F.col("_i") - F.max(F.when(~F.col("_c"), F.col("_i"))).over(upto)
+    df = df.withColumn("_y", F.when(since % 2 == 1, near(identity, -1)).otherwise(F.col(identity)))
+    pair = (F.col("_i") > 1) & near("_i", 2).isNotNull() & ~same(F.col("_y"), near("_y", -1)) & same(near("_y", 1), F.col("_y")) & same(near("_y", 2), near("_y", -1))
+    df = df.withColumn("_c", pair).withColumns({"_odd": F.col("_i") % 2, "_j": F.floor(F.col("_i") / 2)})
+    every = Window.partitionBy(*part, "_odd").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_r", F.col("_c") & ((F.col("_j") - F.coalesce(F.max(F.when(~F.col("_c"), F.col("_j"))).over(every), F.lit(0))) % 2 == 1))
+    stable = F.when(F.col("_r"), near("_y", -1)).when(F.coalesce(near("_r", -1), F.lit(False)), near("_y", -2)).otherwise(F.col("_y"))
+    return df.withColumn(out, stable).drop("_i", "_c", "_y", "_odd", "_j", "_r")
 
 
 def segments(df: DataFrame, part: list[str], order: str, identity: str, max_gap: float | None = 15, out: str = "segment_id") -> DataFrame:
@@ -198,9 +210,11 @@ def overlapping(df: DataFrame, part: list[str], order: str, length: int, stride:
 
 
 def overlap_mean(windows: DataFrame, part: list[str], value: str, length: int, stride: int) -> DataFrame:
-    """Each position's mean over all windows that hold it, padding left out: (part, idx, value)."""
-    n = windows.groupBy(*part).agg((F.max("idx") + 1).alias("_n"))
-    placed = windows.join(n, part)
+    """Each position's mean over all windows that hold it, padding left out: (part, idx, value).
+
+    The rows of a position know their group's length by a window over the group, so that nothing is joined again.
+    """
+    placed = windows.withColumn("_n", F.max("idx").over(Window.partitionBy(*part)) + 1)
     start = F.when(F.col("_n") <= length, -F.floor((length - F.col("_n")) / 2)).otherwise(F.col("window") * stride)
     return placed.where(start + F.col("offset") == F.col("idx")).groupBy(*part, "idx").agg(F.avg(value).alias(value))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,14 @@ def newest(games: DataFrame, n: int | None = None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
-def recorded(game: dict, games: DataFrame, teams: DataFrame, now: int) -> tuple[int, dict]:
-    """(201, the game) or (400, the error) for one posted game; the caller appends a good one to the table."""
+def recorded(game: dict, games: DataFrame, teams: DataFrame, now: int, game_id: int | None = None) -> tuple[int, dict]:
+    """(201, the game) or (400, the error) for one posted game; the caller appends a good one to the table.
+
+    The number is the caller's, or drawn at random from 63 bits, so that no two posts share one and no table is counted.
+    """
     spark = games.sparkSession
-    n = games.count()
-    row = spark.createDataFrame([(n + 1, *(None if game.get(k) is None else str(game[k]) for k in ("home_team", "away_team", "home_score", "away_score")), now)], "game_id long, home_team string, away_team string, home_score string, away_score string, played_at long")
+    number = uuid.uuid4().int >> 65 if game_id is None else game_id
+    row = spark.createDataFrame([(number, *(None if game.get(k) is None else str(game[k]) for k in ("home_team", "away_team", "home_score", "away_score")), now)], "game_id long, home_team string, away_team string, home_score string, away_score string, played_at long")
     found = checked(row, teams).first()
     if found.error:
         return 400, {"error": found.error}

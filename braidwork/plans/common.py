@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,12 +18,3 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
-def shared(spark: SparkSession) -> str:
-    """A new folder's path where driver and executors both see it: under spark.checkpoint.dir; where that is unset, a temporary
-    one in local mode, and an error on a cluster."""
-    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(found or tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}"

@@ -65,9 +65,7 @@ def filter_stream(rows: DataFrame, key: str, order: str, x: str = "cx", y: str =
     def run(_, pdfs: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         kf = None
         if held.exists:
-            state, cov = held.get
-            kf = Filter(0.0, 0.0)
-            kf.state, kf.cov = kf.state * 0 + state, (kf.cov.ravel() * 0 + cov).reshape(4, 4)
+            kf = Filter.of(held.get[0])
         for pdf in pdfs:
             made = []
             for k, o, px, py in pdf.sort_values(order, kind="stable")[[key, order, x, y]].itertuples(index=False, name=None):
@@ -80,12 +78,12 @@ def filter_stream(rows: DataFrame, key: str, order: str, x: str = "cx", y: str =
                     kf.predict()
                     if measured:
                         kf.update(px, py)
-                made.append((k, o, float(kf.state[0]), float(kf.state[1])))
+                made.append((k, o, kf.x, kf.y))
             yield pd.DataFrame(made, columns=[key, order, "k_cx", "k_cy"])
         if kf is not None:
-            held.update((kf.state.tolist(), kf.cov.ravel().tolist()))
+            held.update((kf.held(),))
 
-    return rows.select(key, order, x, y).groupBy(key).applyInPandasWithState(run, out, "state array<double>, cov array<double>", "append", "NoTimeout")
+    return rows.select(key, order, x, y).groupBy(key).applyInPandasWithState(run, out, "state array<double>", "append", "NoTimeout")
 
 
 def write_by_key(rows: DataFrame, path: str, checkpoint: str, key: str):
