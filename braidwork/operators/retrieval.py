@@ -35,27 +35,23 @@ def bm25_index(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFra
     return postings, lengths, bm25_terms(postings, lengths)
 
 
-def counted(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, dl, terms): each document's number of words, and its distinct words with their counts (struct<term, tf>).
+def word_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(term, doc, tf), with a row of the empty term and no occurrences for a document without words.
 
-    Counted in the row: in the sorted words, a word's count is the way from its first place to the next word's.
+    Documents are dealt by number first: a text moves once, all its words are counted where they are split, and a table in
+    one file is split by all tasks.
     """
-    df = docs.select(doc, F.array_sort(tokens(F.col(text))).alias("_s")).withColumn("dl", F.size("_s").cast("long"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))))
-    marked = F.zip_with("_s", F.slice(before, 1, F.size("_s")), lambda x, y: F.struct(x.alias("term"), F.coalesce(x != y, F.lit(True)).alias("new")))
-    first = F.filter(F.transform(marked, lambda z, i: F.struct(z["term"].alias("term"), F.when(z["new"], i).alias("i"))), lambda z: z["i"].isNotNull())
-    df = df.withColumn("_f", first)
-    ends = F.concat(F.slice(F.col("_f")["i"], 2, F.greatest(F.size("_f") - 1, F.lit(0))), F.array(F.size("_s")))
-    return df.select(doc, "dl", F.zip_with("_f", F.slice(ends, 1, F.size("_f")), lambda z, e: F.struct(z["term"].alias("term"), (e - z["i"]).cast("long").alias("tf"))).alias("terms"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = docs.select(doc, text).repartition(parts, doc).select(doc, F.explode_outer(tokens(F.col(text))).alias("term"))
+    return words.groupBy(doc, F.coalesce("term", F.lit("")).alias("term")).agg(F.count("term").alias("tf")).select("term", doc, "tf")
 
 
 def bm25_postings(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
-    return postings_of(counted(docs, doc, text), doc)
+    return _parted(word_counts(docs, doc, text), doc)
 
 
-def postings_of(rows: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
-    postings = rows.select(doc, F.explode("terms").alias("x")).select("x.term", doc, "x.tf")
-    return postings, rows.select(doc, "dl")
+def _parted(every: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
+    return every.where("term <> ''"), every.groupBy(doc).agg(F.sum("tf").alias("dl"))
 
 
 def bm25_terms(postings: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -98,12 +94,8 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def vector_topk(table: DataFrame, queries: DataFrame, query: str, q_vec: str, doc: str, vec: str, k: int, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
-    """The k nearest rows of unit vectors by cosine, exactly: (query, doc, score, rank).
-
-    A block of queries, its size checked, goes to every task; the table is scanned whole and is never shuffled but for the
-    k best of each task.
-    """
+def vector_topk_pairs(table: DataFrame, queries: DataFrame, query: str, q_vec: str, doc: str, vec: str, k: int, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """As vector_topk, by expressions over pairs; for few queries, without Python workers."""
 
     def one(asked: DataFrame) -> DataFrame:
         pairs = table.select(doc, vec).crossJoin(F.broadcast(asked.select(query, F.col(q_vec).alias("_q"))))
@@ -113,9 +105,14 @@ def vector_topk(table: DataFrame, queries: DataFrame, query: str, q_vec: str, do
     return _all([one(b) for b in _blocks(queries, query, block)])
 
 
-def vector_topk_blas(table: DataFrame, queries: DataFrame, query: str, q_vec: str, doc: str, vec: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """As vector_topk, each batch of rows against a block of queries in one matrix product; for many dimensions or queries."""
+def vector_topk(table: DataFrame, queries: DataFrame, query: str, q_vec: str, doc: str, vec: str, k: int, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """The k nearest rows of unit vectors by cosine, exactly: (query, doc, score, rank).
+
+    A block of queries, its size checked, goes to every task, and each batch of rows is held against it in one matrix
+    product; the table is scanned whole and is never shuffled but for the k best of each batch.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *table.schema.fields]}
+    more = k + exclude_self
 
     def one(part: DataFrame) -> DataFrame:
         asked = part.select(query, q_vec).toPandas()
@@ -128,15 +125,19 @@ def vector_topk_blas(table: DataFrame, queries: DataFrame, query: str, q_vec: st
                 if len(pdf) and len(ids):
                     scores = np.stack(pdf[vec].to_numpy()).astype(np.float64) @ matrix.T
                     names = pdf[doc].to_numpy()
-                    order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -scores), axis=0)[: min(k, len(names))]
+                    order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -scores), axis=0)[: min(more, len(names))]
                     yield pd.DataFrame({query: np.tile(ids, len(order)), doc: names[order].ravel(), "score": np.take_along_axis(scores, order, 0).ravel()})
 
         best = table.select(doc, vec).mapInPandas(run, f"`{query}` {kinds[query]}, `{doc}` {kinds[doc]}, score double")
-        return ranked(best, query, "score", k, doc)
+        return ranked(best.where(F.col(query) != F.col(doc)) if exclude_self else best, query, "score", k, doc)
 
     return _all([one(b) for b in _blocks(queries, query, block)])
 
 
+#: The matrix form was once apart from the main one.
+vector_topk_blas = vector_topk
+
+
 def fused(vector: DataFrame, keyword: DataFrame, query: str, doc: str, k: int, keyword_weight: float = KEYWORD_WEIGHT, floor: float = KEYWORD_FLOOR) -> DataFrame:
     """Weighted reciprocal rank fusion of two rankings: (query, doc, score, rank).
 
@@ -151,7 +152,7 @@ def fused(vector: DataFrame, keyword: DataFrame, query: str, doc: str, k: int, k
 
 def hybrid(table: DataFrame, queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], query: str, text: str, q_vec: str, doc: str, vec: str, k: int, use_keywords: bool = True) -> DataFrame:
     pool = pool_size(k)
-    near = vector_topk(table, queries, query, q_vec, doc, vec, pool)
+    near = vector_topk(table, queries.where(F.col(q_vec).isNotNull()), query, q_vec, doc, vec, pool)
     if not use_keywords:
         return near.where(F.col("rank") <= k)
     return fused(near, bm25_topk(index, queries, query, text, doc, pool), query, doc, k)
@@ -185,13 +186,17 @@ def best_score(hits: DataFrame, queries: DataFrame, query: str, score: str = "sc
 
 
 def build_index(docs: DataFrame, doc: str, text: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The index as tables under `path`, read back: texts are split once, weights come from the written postings."""
+    """The index as tables under `path`, read back: one copy of the postings, from which lengths and weights come.
+
+    Documents without words are kept by the empty term, which no query has.
+    """
     spark = docs.sparkSession
-    counted(docs, doc, text).write.mode("overwrite").parquet(f"{path}/counted")
-    for df, name in zip(postings_of(spark.read.parquet(f"{path}/counted"), doc), ("postings", "lengths"), strict=True):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    bm25_terms(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/terms")
-    return read_index(spark, path)
+    word_counts(docs, doc, text).write.mode("overwrite").parquet(f"{path}/all")
+    postings, lengths = _parted(spark.read.parquet(f"{path}/all"), doc)
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = spark.read.parquet(f"{path}/lengths")
+    bm25_terms(postings, lengths).write.mode("overwrite").parquet(f"{path}/terms")
+    return postings, lengths, spark.read.parquet(f"{path}/terms")
 
 
 def write_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:

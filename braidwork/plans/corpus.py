@@ -86,11 +86,11 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk_blas(spark: SparkSession, d: str) -> DataFrame:
-    return R.vector_topk_blas(_vectors(spark, d), _asked(spark, d), "q_id", "q_vec", "vec_id", "embedding", 5).select("q_id", "vec_id", r6("score").alias("score"), "rank")
+    return R.vector_topk_pairs(_vectors(spark, d), _asked(spark, d), "q_id", "q_vec", "vec_id", "embedding", 5).select("q_id", "vec_id", r6("score").alias("score"), "rank")
 
 
 def _paired(spark: SparkSession, d: str) -> DataFrame:
-    return _queries(spark, d).join(_vectors(spark, d).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), "q_id")
+    return _queries(spark, d).join(_vectors(spark, d).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), "q_id", "left")
 
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
