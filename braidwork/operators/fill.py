@@ -50,6 +50,10 @@ class Filter:
         self.x, self.y, self.dx, self.dy = self.x + place * off[0], self.y + place * off[1], self.dx + step * off[0], self.dy + step * off[1]
         self.a, self.b, self.c = self.a - place * self.a, self.b - place * self.b, self.c - step * self.b
 
+    @property
+    def state(self) -> tuple[float, float, float, float]:
+        return self.x, self.y, self.dx, self.dy
+
     def held(self) -> list[float]:
         return [self.x, self.y, self.dx, self.dy, self.a, self.b, self.c]
 
@@ -60,6 +64,31 @@ class Filter:
         return out
 
 
+class Gaps:
+    """What filling a series holds: the filter, the measured sizes in order, and the rows since the last measurement."""
+
+    def __init__(self, max_gap: int | None = None):
+        self.kf, self.widths, self.heights, self.since, self.max_gap = None, [], [], 0, max_gap
+
+    def row(self, x: float | None, y: float | None, w: float | None, h: float | None) -> tuple[float, float, float, float] | None:
+        """Takes a row in; for one without a measurement, what is predicted in its place."""
+        if x is not None and x == x:
+            if self.kf is None:
+                self.kf = Filter(x, y)
+            else:
+                self.kf.predict()
+                self.kf.update(x, y)
+            insort(self.widths, w)
+            insort(self.heights, h)
+            self.since = 0
+        elif self.kf is not None:
+            place = self.kf.predict()
+            self.since += 1
+            if self.max_gap is None or self.since <= self.max_gap:
+                return *place, *((s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2 for s in (self.widths, self.heights))
+        return None
+
+
 def kalman(frames: DataFrame, part: list[str], order: str = "frame", cx: str = "cx", cy: str = "cy", w: str = "w", h: str = "h", max_gap: int | None = None) -> DataFrame:
     """Predictions (part, order, k_cx, k_cy, k_w, k_h) for rows without a measurement, after the first one.
 
@@ -70,23 +99,10 @@ def kalman(frames: DataFrame, part: list[str], order: str = "frame", cx: str = "
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*part, order]) + ", k_cx double, k_cy double, k_w double, k_h double"
 
     def run(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
-        kf, sizes, since = None, ([], []), 0
+        gaps = Gaps(max_gap)
         for row in rows:
-            at, x, y, bw, bh = row[len(part) :]
-            if x is not None and x == x:
-                if kf is None:
-                    kf = Filter(x, y)
-                else:
-                    kf.predict()
-                    kf.update(x, y)
-                insort(sizes[0], bw)
-                insort(sizes[1], bh)
-                since = 0
-            elif kf is not None:
-                px, py = kf.predict()
-                since += 1
-                if max_gap is None or since <= max_gap:
-                    yield *key, at, px, py, *((s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2 for s in sizes)
+            if (made := gaps.row(*row[len(part) + 1 :])) is not None:
+                yield *key, row[len(part)], *made
 
     return in_order(frames.select(*part, order, cx, cy, w, h), part, order, schema, run)
 

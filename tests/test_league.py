@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from braidwork import schemas
 from braidwork.operators import standings as S
@@ -46,9 +47,11 @@ def test_sums_balance_and_order(spark, teams):
 
 def test_posting(spark, teams):
     held = games(spark, [("Ants", "Bees", "1", "2")])
-    code, made = S.recorded({"home_team": "Cats", "away_team": "Dogs", "home_score": 2, "away_score": 9}, held, teams, 99)
+    code, made = S.recorded({"home_team": "Cats", "away_team": "Dogs", "home_score": 2, "away_score": 9}, held, teams, 99, 2)
     assert code == 201 and made["id"] == 2 and made["winner"] == "Dogs"
     assert S.recorded({"home_team": "Cats", "away_team": "Cats", "home_score": 2, "away_score": 9}, held, teams, 99) == (400, {"error": S.SELF})
+    ids = {S.recorded({"home_team": "Cats", "away_team": "Dogs", "home_score": 2, "away_score": 9}, held, teams, 99)[1]["id"] for _ in range(2)}
+    assert len(ids) == 2 and min(ids) >= 0
     assert [r.game_id for r in S.newest(games(spark, [("a", "b", "1", "2")] * 3), 2).collect()] == [3, 2]
 
 
@@ -86,3 +89,41 @@ def test_filter_stream_equals_filter(spark, tmp_path):
             kf.update(x, x)
         want[f] = float(kf.state[0])
     assert got == pytest.approx(want)
+
+
+def test_a_repeated_batch_is_read_once(spark, tmp_path):
+    rows, stopped = tmp_path / "rows", []
+
+    def stop_once(n):
+        if n == 1 and not stopped:
+            stopped.append(n)
+            raise RuntimeError("between write and commit")
+
+    for part in ([(1, "a"), (2, "b")], [(3, "a")], [(4, "b")]):
+        spark.createDataFrame(part, "id int, kind string").coalesce(1).write.mode("append").parquet(str(rows))
+        start = lambda: L.write_by_key(spark.readStream.schema("id int, kind string").parquet(str(rows)), str(tmp_path / "o"), str(tmp_path / "c"), "kind", stop_once).awaitTermination()
+        try:
+            start()
+        except Exception:
+            assert stopped == [1]
+            start()
+    assert stopped == [1]
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [1, 2, 3, 4]
+
+
+def test_segments_are_closed_by_rows_and_by_timers(spark, tmp_path):
+    at = lambda s: f"2024-01-01 00:{s // 60:02}:{s % 60:02}"
+    parts = [[("v", at(0), 1, "a"), ("v", at(10), 2, "a"), ("w", at(5), 3, "x")], [("v", at(20), 4, "b"), ("v", at(200), 5, "b")], [("z", "2200-01-01 00:00:00", 6, "z")], [("w", at(6), 7, "x")]]
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in parts:
+            df = spark.createDataFrame(part, "k string, t string, i int, who string").withColumn("t", F.col("t").cast("timestamp"))
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / "i"))
+            out = L.closed_segments(spark.readStream.schema(df.schema).parquet(str(tmp_path / "i")), "k", "t", "i", "who", 60_000, "0 seconds")
+            out.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, was)
+    got = sorted((r.k, r.identity, r.n) for r in spark.read.parquet(str(tmp_path / "o")).where("k <> 'z'").collect())
+    assert got == [("v", "a", 2), ("v", "b", 1), ("v", "b", 1), ("w", "x", 1)]

@@ -207,3 +207,41 @@ def test_samples_and_splits(spark):
     train, held = cohort.split_by_key(df, "id", 0.15)
     assert train.count() + held.count() == 1000 and 100 < held.count() < 200 and train.join(held, "id").count() == 0
     assert math.isclose(cohort.percentiles(df, ["kind"], "id").where("kind = 0").first().p50, 499)
+
+
+def test_debounce_by_windows_equals_the_fold(spark):
+    rng = np.random.default_rng(3)
+    groups = {g: [[None, "a", "b", "c"][x] for x in rng.integers(0, 4 if g % 2 else 3, rng.integers(0, 40))] for g in range(120)}
+    rows = [(g, i, x) for g, ids in groups.items() for i, x in enumerate(ids)]
+    got = S.debounce(spark.createDataFrame(rows, "g int, i int, who string"), ["g"], "i", "who").collect()
+    by = {(r.g, r.i): r.stable_id for r in got}
+    assert len(got) == len(rows)
+    for g, ids in groups.items():
+        assert [by[g, i] for i in range(len(ids))] == S.debounced(ids), ids
+
+
+def test_order_statistics_of_hot_values_and_nulls(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", 5.0)] * 400 + [("hot", float(x)) for x in rng.integers(0, 9, 300)] + [("small", 1.5), ("nulls", None), (None, 2.0), (None, None), ("hot", None)]
+    df = spark.createDataFrame(rows, "c string, v double")
+    p = {r.c: r for r in cohort.percentiles(df, ["c"], "v").collect()}
+    own = np.array([v for c, v in rows if c == "hot" and v is not None])
+    assert [p["hot"][f"p{q}"] for q in (10, 25, 50, 75, 90)] == pytest.approx(list(np.percentile(own, [10, 25, 50, 75, 90])))
+    assert (p["hot"].n, p["small"].p50, p["nulls"].n, p["nulls"].p50, p[None].p90) == (700, 1.5, 0, None, 2.0)
+    of = cohort.percentile_of(df, ["c"], "v").collect()
+    plain = df.createOrReplaceTempView("rows_") or spark.sql("SELECT c, v, cume_dist() OVER (PARTITION BY c ORDER BY v NULLS FIRST) AS percentile FROM rows_").collect()
+    assert sorted(map(str, of)) == sorted(map(str, plain))
+    top = {r.c: r.m for r in cohort.mean_of_top(df, ["c"], "v", 0.5, "m").collect()}
+    assert top["hot"] == pytest.approx(np.sort(own)[-350:].mean()) and top["small"] == 1.5
+
+
+def test_groups_in_order_over_batches(spark):
+    from braidwork.operators import grouped
+
+    rows = [(g, i) for g in range(50) for i in range(g * 7 % 400)]
+    df = spark.createDataFrame(rows, "g int, i int").repartition(3)
+    work = lambda key, found: [(key[0], *((len(x), x == sorted(x)) for x in [[r[1] for r in found]]).__next__())]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    got = {r.g: (r.n, r.sorted) for r in grouped.in_order(df, ["g"], "i", "g int, n int, sorted boolean", work).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {g: (g * 7 % 400, True) for g in range(1, 50) if g * 7 % 400}

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,41 @@ def test_chunk_sweep(spark):
 def test_token_counts(spark):
     row = spark.createDataFrame([("a b-c!",)], "t string").select(T.token_count(F.col("t")), T.token_count(F.col("t"), len)).first()
     assert tuple(row) == (5, 6)
+
+
+def test_inverted_lists_against_all_pairs(spark, tmp_path, monkeypatch):
+    from braidwork.operators import nearest as N
+
+    rng = np.random.default_rng(1)
+    x = N.unit(rng.normal(size=(600, 8)) + 3 * rng.normal(size=(12, 8))[rng.integers(0, 12, 600)])
+    x[:200] = x[0]  # a list that holds a third of all
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "id long, v array<double>")
+    asked = rows.where("id % 50 = 0 AND id < 9999").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    monkeypatch.setattr(N, "BLOCK", 37)
+    index = N.build(rows, "id", "v", str(tmp_path / "ix"), lists=20)
+    assert index.rows.count() == 600 and index.sizes.agg(F.max("blocks")).first()[0] > 1
+    take = lambda df: sorted((r.q, r.rank, r.id) for r in df.collect())
+    exact = R.vector_topk(rows.where("v IS NOT NULL"), asked, "q", "qv", "id", "v", 5)
+    assert take(N.search_exact(index, asked, "q", "qv", 5, 1)) == take(exact)
+    found = N.recall(N.search(index, asked, "q", "qv", 5), exact, "q", "id").agg(F.avg("recall")).first()[0]
+    assert found >= 0.9
+    assert N.search_exact(N.build(rows.limit(0), "id", "v", str(tmp_path / "none")), asked, "q", "qv", 5).count() == 0
+
+
+def test_blocks_give_the_same_and_read_less(spark, tmp_path, monkeypatch):
+    from braidwork.operators import blocks as K
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    weight = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40), p=weight / weight.sum())) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    asked = spark.createDataFrame([(1, "w0 w1 w59 w58"), (2, "w50 w50 w3"), (3, "none"), (4, "w0")], "q int, text string")
+    index = R.build_index(docs, "id", "t", str(tmp_path / "ix"))
+    monkeypatch.setattr(K, "BLOCK", 16)
+    packed = K.pack(index, "id", str(tmp_path / "blocks"))
+    take = lambda df: sorted((r.q, r.rank, r.id, r.score) for r in df.collect())
+    for k in (1, 3, 10):
+        assert take(K.topk(packed, asked, "q", "text", "id", k)) == take(R.bm25_topk(index, asked, "q", "text", "id", k))
+    share = {r.q: (r.postings, r.read) for r in K.read_share(packed, asked, "q", "text", "id", 3).collect()}
+    assert all(read <= n for n, read in share.values()) and share[1][1] < share[1][0]
