@@ -48,12 +48,6 @@ def stream_standings(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/standings")
 
 
-def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of users by a gap of an hour, by the stream's operator over the whole table."""
-    out = L.gap_sessions(events(spark, d), "user_id", "ts", "60 minutes", "365 days")
-    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
-
-
 def keyed_tables(spark: SparkSession, d: str) -> DataFrame:
     """Orders written by year and read back but for what one key's rewriting replaced."""
     at = shared(spark)
@@ -84,7 +78,7 @@ def media_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", name.alias("name")).where(X.is_media(F.col("name")))
 
 
-QUERIES = {f.__name__: f for f in (standings, checked_games, recent_games, stream_standings, stream_sessions, keyed_tables, json_round_trip, csv_round_trip, media_names)}
+QUERIES = {f.__name__: f for f in (standings, checked_games, recent_games, stream_standings, keyed_tables, json_round_trip, csv_round_trip, media_names)}
 
 _T = ", ".join(f"'{t}'" for t in TEAMS[:6])
 _G = f"""(SELECT o_orderkey AS game_id, [{_T}, 'nobody'][o_custkey % 7 + 1] AS h, [{_T}, 'nobody'][(o_custkey // 7 + o_orderkey) % 7 + 1] AS a, o_orderkey % 11 - CASE WHEN o_orderkey % 97 = 0 THEN 20 ELSE 0 END AS hs, o_custkey % 9 AS "as", CAST(o_orderkey % 1000 AS BIGINT) AS played_at FROM orders)"""
