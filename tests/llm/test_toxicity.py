@@ -134,6 +134,28 @@ def test_chunks_do_not_change_scores(scored, monkeypatch):
     assert again.keys() == got.keys() and max(abs(again[k] - got[k]) for k in got) < 1e-9
 
 
+def test_long_texts_are_dealt_to_chunks(spark, docs_of, scored, monkeypatch):
+    """A text of many chunks scores as one of a single chunk does; no chunk's words grow with it, none is in two."""
+    rows, _, labels, _ = scored
+    texts = [t for _, t, _ in rows] + [" ".join(t for _, t, _ in rows[:200]) + " grxavlo plomfan", " \u2003" * 300, "y" * 700 + " İx ΑΣ"]
+    whole = [r.score for r in T.score(docs_of(texts), labels).orderBy("doc_id").collect()]
+    monkeypatch.setattr(T, "CHUNK_CHARS", 400)
+    made = T.chunks(docs_of(texts).where(f"doc_id >= {len(rows)}")).collect()
+    first = [w for r in made if len(r.docs) == 1 and r["keys"] == [len(rows)] for w in T._words(r)]
+    assert len(first) == len(set(first)) and set(first) == set(texts[len(rows)].lower().split())
+    assert all(sum(map(len, T._words(r))) <= 400 or len(T._words(r)) == 1 for r in made) and len(made) > 10
+    parted = [r.score for r in T.score(docs_of(texts), labels).orderBy("doc_id").collect()]
+    assert np.abs(np.array(whole) - parted).max() < 1e-9
+
+
+def test_cross_validation_tells_noise_from_signal():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(400, 3)), np.arange(400) // 20 % 2
+    told = x + y[:, None] * 3
+    assert T.cross_validated(told, y) < 0.1 and 0.68 < T.cross_validated(x, y) < 0.8
+    assert T.cross_validated(x, y * 0) < 0.01
+
+
 def test_odd_rows(spark, scored):
     """Nulls in any column, empty and very long texts, repeated rows and clashing names."""
     rows, _, labels, _ = scored
@@ -164,6 +186,6 @@ def test_rows_beyond_the_fit_are_counted(spark, docs_of):
     chosen = {r.key for r in sample.collect()}
     assert len(chosen) == 5 and chosen <= set(third)
     assert {r.key for r in trained.collect()} == {i for i, _, _ in rows if part(i) != 2} - chosen
-    docs = docs_of([t + " wzqwzqw" * (i in third) for i, t, _ in rows])
-    counted = T.asked(T.chunks(docs), trained).where("gram = 'wzqwz'").agg(F.sum(F.col("n0") + F.col("n1"))).first()[0]
+    docs = docs_of([t + " wzqxkvj" * (i in third) for i, t, _ in rows])
+    counted = T.asked(T.chunks(docs), trained).where(F.col("gram") == "wzqxkvj"[: T.ORDER]).agg(F.sum(F.col("n0") + F.col("n1"))).first()[0]
     assert counted == len(third) - 5 > 0
