@@ -57,7 +57,7 @@ def hand_points(spark: SparkSession, d: str) -> DataFrame:
     return M.hands(_pair(spark, d, "wrist"), ["user_id", "frame"]).select("user_id", "frame", r6("x").alias("x"), r6("y").alias("y"))
 
 
-def pose_points(spark: SparkSession, d: str) -> DataFrame:
+def pose_frames(spark: SparkSession, d: str) -> DataFrame:
     e, value = F.col("event_id"), F.col("value")
     point = lambda i: F.struct((value + i).alias("x"), (e % 7 + i + 0.5).alias("y"), (e % 10 / 10.0).alias("confidence"))
 
@@ -65,8 +65,11 @@ def pose_points(spark: SparkSession, d: str) -> DataFrame:
         box = (F.lit(float(i)).alias("x1"), F.lit(0.0).alias("y1"), (value + i).alias("x2"), F.lit(9.0).alias("y2"))
         return F.struct(track.cast("int").alias("track_id"), *box, F.array(point(i), point(i + 1)).alias("points"))
 
-    frames = events(spark, d).select(F.col("user_id").cast("string").alias("video"), e.cast("int").alias("frame"), F.array(person(F.lit(40), 0), person(F.lit(None), 1)).alias("people"))
-    return X.pose_rows(frames).select("video", "frame", "track_id", "keypoint", r6("bbox_x2").alias("bbox_x2"), r6("x").alias("x"), r6("y").alias("y"), "confidence")
+    return events(spark, d).select(F.col("user_id").cast("string").alias("video"), e.cast("int").alias("frame"), F.array(person(F.lit(40), 0), person(F.lit(None), 1)).alias("people"))
+
+
+def pose_points(spark: SparkSession, d: str) -> DataFrame:
+    return X.pose_rows(pose_frames(spark, d)).select("video", "frame", "track_id", "keypoint", r6("bbox_x2").alias("bbox_x2"), r6("x").alias("x"), r6("y").alias("y"), "confidence")
 
 
 def heat_peaks(spark: SparkSession, d: str) -> DataFrame:
