@@ -86,23 +86,21 @@ def behaviour(rows: DataFrame, answered: str = "answered", expected: str = "expe
 
 
 def chunk_sweep(sentences: DataFrame, questions: DataFrame, combinations: DataFrame, part: list[str], order: str, k: int = 5, title: str = "title") -> DataFrame:
-    """Recall of keyword search over chunks of every combination (size, overlap) in one job, not one a combination.
+    """Recall of keyword search over chunks of every combination (size, overlap), all in one pass over the sentences.
 
     sentences: part, order, ts, sentence, title; questions: id, q, expect_sources; the combinations are few. Chunks,
     postings and weights all carry their combination as a key.
     """
     from ..functions.text import tokens
+    from ..shared import written
     from . import retrieval as R
     from . import transcripts as T
 
     combo = ["size", "overlap"]
-    made = []
-    for size, overlap in map(tuple, combinations.select(*combo).collect()):
-        own = T.chunks(sentences.select(*part, title, order, "ts", "sentence"), [*part, title], order, words=size, overlap=overlap)
-        made.append(own.select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), title, F.concat_ws("::", *(F.col(p).cast("string") for p in part), "chunk_index").alias("id"), tokens(F.col("text")).alias("_t")))
-    chunks = made[0]
-    for df in made[1:]:
-        chunks = chunks.unionByName(df)
+    sizes = [tuple(r) for r in combinations.select(*combo).distinct().collect()]
+    made = T.swept_chunks(sentences.select(*part, title, order, "ts", "sentence"), [*part, title], order, sizes)
+    chunks = made.select(*combo, title, F.concat_ws("::", *(F.col(p).cast("string") for p in part), "chunk_index").alias("id"), tokens(F.col("text")).alias("_t"))
+    chunks = written(chunks)
     posted = chunks.select(*combo, "id", F.explode("_t").alias("term")).groupBy(*combo, "id", "term").agg(F.count(F.lit(1)).alias("tf"))
     sizes = chunks.select(*combo, "id", title, F.size("_t").alias("dl"))
     totals = sizes.groupBy(*combo).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))

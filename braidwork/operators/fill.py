@@ -147,6 +147,13 @@ def by_priority(spine: DataFrame, on: list[str], sources: list[tuple[str, DataFr
     return out.withColumn("_c", chosen).select(*spine.columns, *(F.col("_c")[c].alias(c) for c in columns), source.alias("source"))
 
 
+def looked_up(rows: DataFrame, lookup: DataFrame, on: list[str], columns: list[str], found: str = "found") -> DataFrame:
+    """Every row once, with the columns of its key's lookup row and whether there is one. Of a key's repeated lookup rows the
+    least by `columns`, nulls first; null keys find nothing."""
+    single = lookup.groupBy(*on).agg(F.min(F.struct(*columns)).alias("_l"))
+    return rows.join(single, on, "left").select(*(rows[c] if c not in on else c for c in rows.columns), *(F.col(f"_l.{c}").alias(c) for c in columns), F.col("_l").isNotNull().alias(found))
+
+
 def coverage_pivot(filled: DataFrame, part: list[str], names: list[str], missing: str = "missing") -> DataFrame:
     """Per group, rows of each source, total and per cent not missing."""
     wide = filled.groupBy(*part).pivot("source", names).count().na.fill(0, names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +78,21 @@ def recorded(game: dict, games: DataFrame, teams: DataFrame, now: int, game_id:
     if found.error:
         return 400, {"error": found.error}
     return 201, {"id": found.game_id, "home_team": found.home_team, "away_team": found.away_team, "home_score": found.home, "away_score": found.away, "winner": found.winner, "played_at": now}
+
+
+def posted(games: DataFrame, teams: DataFrame, path: str) -> DataFrame:
+    """(game_id, status, error, winner) for each game of a batch; good ones are appended to the table at `path`.
+
+    A game whose number the table already has is answered as before and not appended again, so that a post can be repeated;
+    of one number repeated within a batch, all rows are answered and the first by home team, away team and scores is appended.
+    """
+    spark, told = games.sparkSession, checked(games, teams)
+    good = told.where("error IS NULL")
+    row = F.struct("home_team", "away_team", "home_score", "away_score", "played_at")
+    new = good.groupBy("game_id").agg(F.min(row).alias("g")).select("game_id", "g.*")
+    try:
+        new = new.join(spark.read.parquet(path).select("game_id"), "game_id", "left_anti")
+    except AnalysisException:
+        pass  # no game was posted yet
+    new.write.mode("append").parquet(path)
+    return told.select("game_id", F.when(F.col("error").isNull(), 201).otherwise(400).alias("status"), "error", "winner")

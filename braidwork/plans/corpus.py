@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answer as A
 from ..operators import cohort as C
+from ..operators import fill as L
 from ..operators import evaluate as V
 from ..operators import markdown as M
 from ..operators import retrieval as R
@@ -17,6 +18,10 @@ from .common import r6, shared, table
 RULES = S.Rules(terms=("the", "und", "les"), phrases=("of the", "in the"), fillers=("and", "the", "of"), verbs=("is", "in"))
 
 
+#: Words and overlaps of the sweep's chunks.
+SIZES = ((60, 0), (60, 15), (150, 45))
+
+
 def text_tokens_df(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -54,6 +59,29 @@ def chunk_words(spark: SparkSession, d: str) -> DataFrame:
     return S.chunks(_rejoined(spark, d), ["conv_id"], "n", words=60, overlap=15)
 
 
+def sweep_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of keyword search over the conversations' chunks, by size and overlap; a talk's title is its number's last digit."""
+    said = _rejoined(spark, d).withColumn("title", F.concat(F.lit("talk "), (F.col("conv_id") % 10).cast("string")))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("q"), F.array(F.concat(F.lit("Talk "), (F.col("item_id") % 10).cast("string"))).alias("expect_sources"))
+    sizes = spark.createDataFrame(list(SIZES), "size int, overlap int")
+    told = V.chunk_sweep(said, asked, sizes, ["conv_id"], "n")
+    return told.select("size", "overlap", *(r6(c).alias(c) for c in ("recall_1", "recall_3", "recall_k", "mrr")), "n")
+
+
+def chunk_lint(spark: SparkSession, d: str) -> DataFrame:
+    """The lint's counts, documents standing for chunks of their source; some are given a mark, a rule or front matter."""
+    n, text = F.coalesce("n_chars", F.lit(0)), F.col("text")
+    spoilt = F.when(n % 3 == 0, F.concat(F.lit("## Part\n\n: "), text)).when(n % 5 == 0, F.concat(F.lit("---\ntags: x\n"), text)).otherwise(text)
+    return M.lint(table(spark, d, "documents").select(spoilt.alias("text"), F.col("source").alias("source_title"), F.col("lang").alias("parent_id"), F.col("n_chars").alias("token_count")))
+
+
+def looked_up_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the best label told of it, where there is one; labels come twice, the second time the worst."""
+    labels = table(spark, d, "labels").select("doc_id", "toxic", "quality")
+    twice = labels.unionByName(labels.withColumn("toxic", F.lit(1).cast(labels.schema["toxic"].dataType)))
+    return L.looked_up(table(spark, d, "documents").select("doc_id", "lang"), twice, ["doc_id"], ["toxic", "quality"])
+
+
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     lines = F.split("text", "\n")
@@ -231,7 +259,7 @@ def edge_zone(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", "turn", r6(place).alias("place"), ((place <= 0.12) | (place >= 0.88) | (F.col("ts") <= 25)).alias("edge"))
 
 
-QUERIES = {f.__name__: f for f in (
+QUERIES = {f.__name__: f for f in (sweep_recall, chunk_lint, looked_up_rows, 
     text_tokens_df, sentence_extract, sentence_rejoin_ts, classify_reasons, removal_report, chunk_words, markdown_chunks, bm25_topk, vector_topk, vector_topk_blas, hybrid_rrf, vector_only, reranked, best_scores, parent_expand, recall_mrr, recall_by_label, metric_delta,
     coverage_separation, overlap_rows, boundary_rows, threshold_sweep, best_threshold, grid_rank, history_blend, history_lines, answer_policy, stripped_markup, stratified_sample, union_distinct_resume, set_tests, clocks, preview_lines, edge_zone,
 )}
@@ -275,16 +303,37 @@ _REASON = f"""CASE WHEN length(s) < 3 THEN 'empty/too short' WHEN {_sql(S.MUSIC)
   WHEN NOT {_TOPIC} AND len({_W}) BETWEEN 1 AND 4 AND NOT {_VERB} AND list_has_all(['and', 'the', 'of'], {_W}) THEN 'filler' WHEN NOT {_TOPIC} AND len({_W}) <= 2 AND NOT {_VERB} THEN 'name/fragment' END"""
 _CLASS = f"cls AS (SELECT *, {_REASON} AS reason FROM (SELECT *, sentence AS s, ts / CAST(greatest(max(ts) OVER (PARTITION BY conv_id), 1) AS DOUBLE) AS place FROM sent))"
 
+def _chunks_sql(words: int, overlap: int) -> str:
+    return f"""WITH RECURSIVE {_JOINED}, s AS (SELECT conv_id, ts, sentence, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k, len(regexp_extract_all(sentence, '\\S+')) AS w FROM sent),
+      c AS (SELECT *, sum(w) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM s), l AS (SELECT conv_id, list(upto ORDER BY k) AS t FROM c GROUP BY conv_id),
+      r(conv_id, idx, b, new, e) AS (SELECT conv_id, 0, 0, 0, greatest(1, len(list_filter(t, lambda x: x <= {words}))) FROM l UNION ALL
+        SELECT conv_id, idx + 1, b, e, greatest(e + 1, len(list_filter(t, lambda x: x <= start + {words})))
+        FROM (SELECT *, CASE WHEN b = 0 THEN 0 ELSE t[b] END AS start FROM (SELECT r.conv_id, r.idx, r.e, l.t, greatest(r.b, len(list_filter(l.t, lambda x: x <= l.t[r.e] - {overlap}))) AS b FROM r JOIN l ON l.conv_id = r.conv_id WHERE r.e < len(l.t))))
+      SELECT r.conv_id, CAST(r.idx AS INTEGER) AS chunk_index, CAST(any_value(c.ts) FILTER (c.k = r.new + 1) AS INTEGER) AS timestamp_s, string_agg(c.sentence, ' ' ORDER BY c.k) AS text, CAST(sum(c.w) AS INTEGER) AS word_count
+      FROM r JOIN c ON c.conv_id = r.conv_id AND c.k > r.b AND c.k <= r.e GROUP BY r.conv_id, r.idx, r.new"""
+
+
+def _sweep_sql(words: int, overlap: int) -> str:
+    """One combination's measures, from its own chunks and index."""
+    return f"""SELECT {words} AS size, {overlap} AS overlap, {_MEAS} FROM (WITH docs AS MATERIALIZED (SELECT 'talk ' || conv_id % 10 AS title, conv_id || '::' || chunk_index AS id, {_TOK.format("text")} AS t FROM ({_chunks_sql(words, overlap)})),
+      post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM docs) GROUP BY 1, 2), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM docs),
+      raw AS (SELECT term, ln(n.n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, n GROUP BY term, n.n), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+      asked AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_TOK.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+      bm AS (SELECT item_id, docs.id, title, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))), 9) AS score FROM asked JOIN idf USING (term) JOIN post USING (term) JOIN docs ON docs.id = post.id, n GROUP BY 1, 2, 3),
+      best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM bm)
+      SELECT b.item_id, min(rank) FILTER (rank <= 5 AND title = 'talk ' || b.item_id % 10) AS rank FROM benchmark b LEFT JOIN best USING (item_id) GROUP BY 1)"""
+
+
 ORACLE = {
     "text_tokens_df": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1",
     "sentence_extract": f"SELECT conv_id, CAST(turn AS INTEGER) AS turn, CAST(i - 1 AS INTEGER) AS n, regexp_replace(p[i], '^\\s+|\\s+$', '', 'g') AS sentence FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '{_SENT}') AS p FROM conversations))",
-    "chunk_words": f"""WITH RECURSIVE {_JOINED}, s AS (SELECT conv_id, ts, sentence, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k, len(regexp_extract_all(sentence, '\\S+')) AS w FROM sent),
-      c AS (SELECT *, sum(w) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM s), l AS (SELECT conv_id, list(upto ORDER BY k) AS t FROM c GROUP BY conv_id),
-      r(conv_id, idx, b, new, e) AS (SELECT conv_id, 0, 0, 0, greatest(1, len(list_filter(t, lambda x: x <= 60))) FROM l UNION ALL
-        SELECT conv_id, idx + 1, b, e, greatest(e + 1, len(list_filter(t, lambda x: x <= start + 60)))
-        FROM (SELECT *, CASE WHEN b = 0 THEN 0 ELSE t[b] END AS start FROM (SELECT r.conv_id, r.idx, r.e, l.t, greatest(r.b, len(list_filter(l.t, lambda x: x <= l.t[r.e] - 15))) AS b FROM r JOIN l ON l.conv_id = r.conv_id WHERE r.e < len(l.t))))
-      SELECT r.conv_id, CAST(r.idx AS INTEGER) AS chunk_index, CAST(any_value(c.ts) FILTER (c.k = r.new + 1) AS INTEGER) AS timestamp_s, string_agg(c.sentence, ' ' ORDER BY c.k) AS text, CAST(sum(c.w) AS INTEGER) AS word_count
-      FROM r JOIN c ON c.conv_id = r.conv_id AND c.k > r.b AND c.k <= r.e GROUP BY r.conv_id, r.idx, r.new""",
+    "chunk_words": _chunks_sql(60, 15),
+    "sweep_recall": " UNION ALL ".join(_sweep_sql(*s) for s in SIZES),
+    "chunk_lint": r"""WITH c AS (SELECT source, lang, n_chars, CASE WHEN coalesce(n_chars, 0) % 3 = 0 THEN '## Part' || chr(10) || chr(10) || ': ' || text WHEN coalesce(n_chars, 0) % 5 = 0 THEN '---' || chr(10) || 'tags: x' || chr(10) || text ELSE text END AS t FROM documents),
+      k AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM c WHERE n_chars IS NOT NULL)
+      SELECT source AS source_title, count(*) AS n, count(DISTINCT lang) AS parents, (SELECT n_chars FROM k WHERE k.source IS NOT DISTINCT FROM c.source AND i = n // 2) AS tokens, count(*) FILTER (regexp_matches(regexp_replace(t, '^(?:#{1,6}\s+[^\n]*\n|\s*\n)*', ''), '^[\s.:,;!?)\]]')) AS lead,
+      count(*) FILTER (regexp_matches(t, '(?m)^(?:-{3,}|\*{3,}|_{3,})$')) AS rules, count(*) FILTER (regexp_matches(t, '^---\n[\w-]+\s*:')) AS leaks FROM c GROUP BY source""",
+    "looked_up_rows": "SELECT d.doc_id, lang, toxic, quality, toxic IS NOT NULL OR quality IS NOT NULL AS found FROM documents d LEFT JOIN (SELECT doc_id, min(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)",
     "sentence_rejoin_ts": f"WITH {_JOINED} SELECT conv_id, n, ts, sentence FROM sent",
     "classify_reasons": f"WITH {_JOINED}, {_CLASS} SELECT reason, count(*) AS n FROM cls GROUP BY 1",
     "removal_report": f"WITH {_JOINED}, {_CLASS} SELECT reason, count(*) AS n, (SELECT count(*) FROM cls) AS total, (SELECT count(*) FROM cls WHERE reason IS NULL) AS kept, round(100.0::DOUBLE * (SELECT count(*) FROM cls WHERE reason IS NULL) / (SELECT count(*) FROM cls), 6) AS kept_pct FROM cls WHERE reason IS NOT NULL GROUP BY 1",

@@ -39,6 +39,18 @@ def recent_games(spark: SparkSession, d: str) -> DataFrame:
     return S.newest(_games(spark, d).select("game_id", "home_team", "away_team", "played_at"), 20)
 
 
+def posted_games(spark: SparkSession, d: str) -> DataFrame:
+    """The answers to all games, posted in two batches of which the second comes twice, with how many games of each the table
+    holds afterwards."""
+    at, own = shared(spark), _games(spark, d)
+    late = F.col("played_at") >= 500
+    answers = S.posted(own.where(~late), _teams(spark), at)
+    for _ in range(2):
+        second = S.posted(own.where(late), _teams(spark), at)
+    held = spark.read.parquet(at).groupBy("game_id").agg(F.count(F.lit(1)).alias("held"))
+    return answers.unionByName(second).join(held, "game_id", "left").na.fill(0, ["held"])
+
+
 def stream_standings(spark: SparkSession, d: str) -> DataFrame:
     """The ranking that the stream over the same games ends with."""
     at = shared(spark)
@@ -78,7 +90,7 @@ def media_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", name.alias("name")).where(X.is_media(F.col("name")))
 
 
-QUERIES = {f.__name__: f for f in (standings, checked_games, recent_games, stream_standings, keyed_tables, json_round_trip, csv_round_trip, media_names)}
+QUERIES = {f.__name__: f for f in (standings, checked_games, recent_games, posted_games, stream_standings, keyed_tables, json_round_trip, csv_round_trip, media_names)}
 
 _T = ", ".join(f"'{t}'" for t in TEAMS[:6])
 _G = f"""(SELECT o_orderkey AS game_id, [{_T}, 'nobody'][o_custkey % 7 + 1] AS h, [{_T}, 'nobody'][(o_custkey // 7 + o_orderkey) % 7 + 1] AS a, o_orderkey % 11 - CASE WHEN o_orderkey % 97 = 0 THEN 20 ELSE 0 END AS hs, o_custkey % 9 AS "as", CAST(o_orderkey % 1000 AS BIGINT) AS played_at FROM orders)"""
@@ -92,6 +104,7 @@ ORACLE = {
     "standings": _STAND,
     "stream_standings": _STAND,
     "checked_games": f"SELECT {_ERR} AS error, count(*) AS n FROM {_G} GROUP BY 1",
+    "posted_games": f"SELECT game_id, CASE WHEN err IS NULL THEN 201 ELSE 400 END AS status, err AS error, CASE WHEN err IS NULL THEN CASE WHEN hs > \"as\" THEN h ELSE a END END AS winner, CAST(CASE WHEN err IS NULL THEN 1 ELSE 0 END AS BIGINT) AS held FROM (SELECT *, {_ERR} AS err FROM {_G})",
     "recent_games": f"SELECT game_id, h AS home_team, a AS away_team, played_at FROM {_G} ORDER BY played_at DESC, game_id DESC LIMIT 20",
     "stream_sessions": """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 60 MINUTE AS "end", count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
       FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators import cohort as C
 from ..operators import fill as L
 from ..operators import motion as M
@@ -17,6 +18,7 @@ JOINTS = ("LHip", "RHip", "LShoulder", "RShoulder", "LElbow", "RElbow", "LWrist"
 #: Detections to a frame.
 TRACKS = 97
 JOINT_METRICS = ("hip_shoulder_sep", "lead_elbow_ext", "attack_angle_3d", "speed", "shoulder_tilt")
+FPS = 120.0
 ARMS = ("left_wrist", "right_wrist", "left_elbow", "right_elbow")
 
 
@@ -88,7 +90,17 @@ def wrist_proxy(spark: SparkSession, d: str) -> DataFrame:
     return told.select("user_id", "event_id", *(r6(f"p_{c}").alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2", "cx", "cy", "knob_x", "knob_y", "tip_x", "tip_y")))
 
 
-QUERIES = {f.__name__: f for f in (track_select, frame_metrics, handedness_cascade, percentile_of, path_metrics, joint_metrics, joint_summary, wrist_proxy)}
+def implement_path(spark: SparkSession, d: str) -> DataFrame:
+    """A tracked implement's contact by user: its knob, tip and sweet spot, of which every ninth row has none."""
+    e, value = F.col("event_id"), F.coalesce("value", F.lit(0.0))
+    place = {"knob_x": value, "knob_y": (e % 7).cast("double"), "tip_x": value + 30 + e % 13, "tip_y": 40.5 - e % 17}
+    seen = events(spark, d).select(F.col("user_id").alias("video"), e.alias("frame"), *(F.when(e % 9 != 0, c).alias(n) for n, c in place.items()))
+    track = seen.withColumns({f"sweet_{a}": G.lerp(F.col(f"knob_{a}"), F.col(f"tip_{a}"), 0.7) for a in "xy"})
+    told = M.bat_path(track, FPS)
+    return told.select(F.col("video").alias("user_id"), "contact_frame", "in_ideal_band", *(r6(c).alias(c) for c in ("attack_angle_deg", "swing_path_tilt_deg", "attack_direction", "coverage_pct")))
+
+
+QUERIES = {f.__name__: f for f in (track_select, frame_metrics, handedness_cascade, percentile_of, path_metrics, joint_metrics, joint_summary, wrist_proxy, implement_path)}
 
 
 def _metrics_sql() -> str:
@@ -147,6 +159,15 @@ ORACLE = {
   SELECT user_id, event_id AS contact_frame, n AS n_frames, round(turn_max, 6) AS hip_shoulder_sep_max, round(elbow_max, 6) AS lead_elbow_ext_max, {", ".join(f"round({c}, 6) + 0 AS {c}_at_contact" for c in _CONTACT)}
   FROM b WHERE CASE WHEN n >= 20 THEN place = 1 AND speed IS NOT NULL ELSE i = n // 2 END""",
     "wrist_proxy": _proxy_sql(),
+    "implement_path": f"""WITH t AS (SELECT user_id, event_id AS frame, CASE WHEN event_id % 9 <> 0 THEN coalesce(value, 0) END AS kx, CASE WHEN event_id % 9 <> 0 THEN CAST(event_id % 7 AS DOUBLE) END AS ky, CASE WHEN event_id % 9 <> 0 THEN coalesce(value, 0) + 30 + event_id % 13 END AS tx, CASE WHEN event_id % 9 <> 0 THEN 40.5::DOUBLE - event_id % 17 END AS ty FROM events),
+p AS (SELECT *, kx + 0.7::DOUBLE * (tx - kx) AS x, ky + 0.7::DOUBLE * (ty - ky) AS y FROM t),
+s AS (SELECT *, avg(x) OVER c AS sx, avg(y) OVER c AS sy FROM p WINDOW c AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+g AS (SELECT *, CASE WHEN count(*) OVER u < 2 THEN NULL WHEN lag(frame) OVER w IS NULL THEN lead(sx) OVER w - sx WHEN lead(frame) OVER w IS NULL THEN sx - lag(sx) OVER w ELSE (lead(sx) OVER w - lag(sx) OVER w) / 2 END AS gx,
+  CASE WHEN count(*) OVER u < 2 THEN NULL WHEN lag(frame) OVER w IS NULL THEN lead(sy) OVER w - sy WHEN lead(frame) OVER w IS NULL THEN sy - lag(sy) OVER w ELSE (lead(sy) OVER w - lag(sy) OVER w) / 2 END AS gy,
+  CASE WHEN row_number() OVER w > 5 THEN lag(sx, 5) OVER w ELSE first_value(sx) OVER w END AS bx, CASE WHEN row_number() OVER w > 5 THEN lag(sy, 5) OVER w ELSE first_value(sy) OVER w END AS by_,
+  100.0::DOUBLE * count(x) OVER u / count(*) OVER u AS cover FROM s WINDOW w AS (PARTITION BY user_id ORDER BY frame), u AS (PARTITION BY user_id)),
+b AS (SELECT *, degrees(atan2(-gy, gx)) AS angle, row_number() OVER (PARTITION BY user_id ORDER BY sqrt(gx * gx + gy * gy) DESC NULLS LAST, frame) AS place FROM g)
+SELECT user_id, frame AS contact_frame, coalesce(angle BETWEEN {M.ANGLE_BAND[0]} AND {M.ANGLE_BAND[1]}, false) AS in_ideal_band, round(angle, 6) + 0 AS attack_angle_deg, round(degrees(atan2(ty - ky, tx - kx)), 6) + 0 AS swing_path_tilt_deg, round(degrees(atan2(-(sy - by_), sx - bx)), 6) + 0 AS attack_direction, round(cover, 6) AS coverage_pct FROM b WHERE place = 1 AND gx IS NOT NULL""",
     "track_select": f"""WITH b AS (SELECT CAST(user_id AS VARCHAR) AS video, CAST(event_id // {TRACKS} AS INTEGER) AS frame, CAST(event_id % {TRACKS} AS INTEGER) AS track_id, (10 + event_id % 7) * (5 + event_id % 5) AS area, value FROM events WHERE value IS NOT NULL),
 t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY video, frame ORDER BY (value + 10 + (frame * {TRACKS} + track_id) % 7 - value) * (5.0::DOUBLE + (frame * {TRACKS} + track_id) % 5) DESC, track_id) = 1),
 c AS (SELECT *, CASE WHEN track_id <> lag(track_id) OVER (PARTITION BY video ORDER BY frame) THEN 1 ELSE 0 END AS new FROM t)

@@ -2,6 +2,9 @@ import json
 
 import pytest
 
+from braidwork import schemas
+from braidwork.operators import fill, markdown, motion, transcripts
+from braidwork.operators import standings as S
 from braidwork.sources import frames as P
 from braidwork.sources.manifest import DONE, FAILED, REMOVED, REPEATED, Manifest, attempted
 
@@ -113,3 +116,48 @@ def test_frame_stream_reads_each_file_once(spark, tmp_path):
         source = spark.readStream.format(P.FORMAT).load(str(tmp_path / "in"))
         source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start().awaitTermination()
         assert sorted(r.frame for r in spark.read.parquet(str(tmp_path / "out")).where("keypoint = 'nose'").collect()) == list(range(i + 1))
+
+
+def test_posts_can_be_repeated(spark, tmp_path):
+    at, teams = str(tmp_path / "games"), spark.createDataFrame([("Ants",), ("Bees",)], schemas.TEAMS)
+    games = lambda *rows: spark.createDataFrame(list(rows), schemas.GAMES)
+    held = lambda: sorted((r.game_id, r.home_score) for r in spark.read.parquet(at).collect())
+    first = games((1, "Ants", "Bees", "3", "1", 5), (2, "Ants", "Ants", "3", "1", 5), (3, "Bees", "Ants", "4", "2", 5), (3, "Bees", "Ants", "5", "2", 5))
+    got = sorted((r.game_id, r.status, r.error, r.winner) for r in S.posted(first, teams, at).collect())
+    assert got == [(1, 201, None, "Ants"), (2, 400, S.SELF, None), (3, 201, None, "Bees"), (3, 201, None, "Bees")]
+    assert held() == [(1, "3"), (3, "4")]
+    S.posted(first.union(games((4, "Ants", "Bees", "0", "9", 6))), teams, at)
+    assert held() == [(1, "3"), (3, "4"), (4, "0")]
+    assert S.posted(first.limit(0), teams, at).count() == 0 and len(held()) == 3
+
+
+def test_lookup_keeps_every_row_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "k int, x string")
+    lookup = spark.createDataFrame([(1, 5), (1, 4), (3, 1), (None, 9)], "k int, v int")
+    got = sorted((r.x, r.v, r.found) for r in fill.looked_up(rows, lookup, ["k"], ["v"]).collect())
+    assert got == [("a", 4, True), ("a", 4, True), ("b", None, False), ("c", None, False)]
+
+
+def test_lint_takes_the_upper_median(spark):
+    rows = [("a", "p", "x", n) for n in (4, 1, 3, 2)] + [("b", "p", "---", 7), ("b", "q", ". x", None), (None, "p", "## H\n\n: x", 5), (None, "p", "---\nkey: v\n", 5)]
+    got = {r.source_title: tuple(r)[1:] for r in markdown.lint(spark.createDataFrame(rows, "source_title string, parent_id string, text string, token_count int")).collect()}
+    assert got == {"a": (4, 1, 3, 0, 0, 0), "b": (2, 2, 7, 1, 1, 0), None: (2, 1, 5, 1, 1, 1)}
+
+
+def test_swept_chunks_equal_those_of_each_size(spark):
+    rows = [(d, i, i * 3, " ".join(["w"] * (1 + (i * 7 + d) % 9)) + ".") for d in range(4) for i in range(30 * (d > 0) + 1)]
+    said, sizes = spark.createDataFrame(rows, "doc int, n int, ts int, sentence string"), [(5, 0), (20, 6), (500, 10)]
+    swept = sorted(tuple(r) for r in transcripts.swept_chunks(said, ["doc"], "n", sizes).collect())
+    assert swept == sorted((w, o, *r) for w, o in sizes for r in transcripts.chunks(said, ["doc"], "n", words=w, overlap=o).collect())
+
+
+def test_implement_path_on_a_straight_line(spark):
+    """A tip that moves right and up at an angle of 45 degrees, fastest at its eighth row."""
+    at = [float(x) for x in (0, 1, 2, 3, 4, 5, 7, 12, 17, 19, 20, 21)]
+    rows = [("v", i, 0.0, 0.0, x, -x, x, -x) for i, x in enumerate(at)] + [("one", 0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0), ("none", 0, *[None] * 6)]
+    track = spark.createDataFrame(rows, "video string, frame int, knob_x double, knob_y double, tip_x double, tip_y double, sweet_x double, sweet_y double")
+    got = {r.video: r for r in motion.bat_path(track, 120.0).collect()}
+    assert set(got) == {"v"}
+    v = got["v"]
+    assert v.contact_frame in (6, 7, 8) and abs(v.attack_angle_deg - 45) < 1e-9 and abs(v.attack_direction - 45) < 1e-9
+    assert abs(v.swing_path_tilt_deg + 45) < 1e-9 and v.coverage_pct == 100 and not v.in_ideal_band
