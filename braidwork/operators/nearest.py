@@ -146,7 +146,8 @@ def _searched(index: Lists, probes: DataFrame, query: str, k: int) -> DataFrame:
         order = np.argsort(np.argsort(names.to_numpy(zero_copy_only=False), kind="stable"))
         for at in range(0, asked.num_rows if rows.num_rows else 0, QUERIES):
             part = asked.slice(at, QUERIES)
-            scores = unit(_matrix(part.column("_q"))) @ vectors.T
+            # Products of equal vectors can differ in the last places by where they lie in a matrix; rounded, they tie.
+            scores = np.round(unit(_matrix(part.column("_q"))) @ vectors.T, 12)
             best = np.lexsort((np.broadcast_to(order, scores.shape), -scores), axis=1)[:, :k]
             found.append(pa.table([part.column(query).combine_chunks().take(pa.array(np.repeat(np.arange(len(best)), best.shape[1]))), names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], [query, doc, "score"]))
         return pa.concat_tables(found) if found else pa.table([asked.column(query).slice(0, 0), names.slice(0, 0), pa.array([], pa.float64())], [query, doc, "score"])

@@ -123,7 +123,7 @@ def vector_topk(table: DataFrame, queries: DataFrame, query: str, q_vec: str, do
             ids, matrix = held.value
             for pdf in pdfs:
                 if len(pdf) and len(ids):
-                    scores = np.stack(pdf[vec].to_numpy()).astype(np.float64) @ matrix.T
+                    scores = np.round(np.stack(pdf[vec].to_numpy()).astype(np.float64) @ matrix.T, 12)
                     names = pdf[doc].to_numpy()
                     order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -scores), axis=0)[: min(more, len(names))]
                     yield pd.DataFrame({query: np.tile(ids, len(order)), doc: names[order].ravel(), "score": np.take_along_axis(scores, order, 0).ravel()})
