@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("series", "swings", "corpus", "league", "records", "search", "flows", "ledger")
+MODULES: tuple[str, ...] = ("series", "swings", "corpus", "league", "records", "search", "flows", "ledger", "notes")
 
 
 def queries() -> dict:

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -191,37 +192,88 @@ Do this:
 """ + " ".join(f"Sentence number {i} goes on for some words here." for i in range(60))
 
 
-def test_markdown_parts():
-    meta, body = M.front_matter(MARKDOWN)
-    assert meta == {"tags": ["Drill work", "hips"]} and body.startswith("# Title")
-    kinds = [p.kind for p in M.blocks(body)]
-    assert kinds == ["heading", "para", "heading", "para", "heading", "para", "list", "para", "table", "quote", "heading", "heading", "para"]
-    paths = [s.path for s in M.sections(M.blocks(body))]
-    assert paths == [("Title",), ("Title", "What is load"), ("Title", "Steps"), ("Title", "Last")]
-    one = M.glued(M.sections(M.blocks(body))[2].blocks)  # none of the section's pieces is finished before the next begins
+def _note(spark, *texts):
+    return M.noted(spark.createDataFrame([(f"n{i}.md", t) for i, t in enumerate(texts)], "name string, text string"))
+
+
+def test_front_matter(spark):
+    got = {r.of.name: (r.of.tags, r.body) for r in _note(spark, MARKDOWN, "---\n# x\n---\n", "---\na: 1\n---\nx\n---\ny", "---\ntags: a\n- b\ntags: c\n---\n", "").collect()}
+    assert got["n0.md"][0] == ["Drill work", "hips"] and got["n0.md"][1].startswith("# Title")
+    assert got["n1.md"] == ([], "---\n# x\n---\n")
+    assert got["n2.md"] == ([], "y")  # it reaches to the last line of dashes
+    assert got["n3.md"] == ([], "")  # the last entry of a key counts, and has no items
+    assert got["n4.md"] == ([], "")
+
+
+def test_blocks_and_sections(spark):
+    blocks = M.blocks(_note(spark, MARKDOWN))
+    rows = blocks.orderBy("block").collect()
+    assert [r.kind for r in rows] == ["heading", "para", "heading", "para", "heading", "para", "list", "para", "table", "quote", "heading", "heading", "para"]
+    assert [r.text for r in rows if r.kind == "list"] == ["- first\n- second"]
+    parts = M.sections(blocks)
+    assert [tuple(p.title for p in r.path) for r in parts.orderBy("section").collect()] == [("Title",), ("Title", "What is load"), ("Title", "Steps"), ("Title", "Last")]
+    one = M.glued(parts.where("section = 3"), ["_key", "section"]).orderBy("n").collect()  # no piece is finished before the next begins
     assert one[0].text.startswith("Do this:\n\n- first\n- second more of second\n\n| a | b |") and one[0].kind == "table"
-    assert M.front_matter("---\n# x\n---\n")[0] == {}
-    assert M.front_matter("---\na: 1\n---\nx\n---\ny")[1] == "y"  # it reaches to the last line of dashes
-    assert M.sections(M.blocks("# Clip [abcdefgh12]\n\ntext."))[0].path == ()
+    assert M.sections(M.blocks(_note(spark, "# Clip [abcdefgh12]\n\ntext."))).first().path == []
+    up = M.sections(M.blocks(_note(spark, "# A\n\n### C\n\nx.\n\n## B\n\ny.\n\n# D\n\n- a\n\n  more\n\n\n- b"))).orderBy("section").collect()
+    assert [[p.title for p in r.path] for r in up] == [["A", "C"], ["A", "B"], ["D"]]
+    assert [(b.kind, b.text) for b in up[2].blocks] == [("list", "- a"), ("para", "more"), ("list", "- b")]
+
+
+def test_short_neighbours_become_one(spark):
+    text = "# T\n\n## A\n\n### x\n\none two.\n\n### y\n\nthree.\n\n## B\n\nfour.\n\n## What is C\n\na definition by itself, long enough to stand.\n\n## D\n\nfive."
+    sizes = M.Sizes(child=(20, 30), atom=(5, 30))
+    rows = M.coalesced(M.sections(M.blocks(_note(spark, text))), sizes).orderBy("i").collect()
+    assert [[p.title for p in r.path] for r in rows] == [["T"], ["T", "What is C"], ["T", "D"]]
+    assert rows[0].body == "## A\n\n### x\n\none two.\n\n### y\n\nthree.\n\n## B\n\nfour."
+    for r in rows:
+        assert r.tokens == M.words_and_marks(r.body) and r.heads == [M.words_and_marks(p.line) for p in r.path]
+
+
+def test_spread_goes_after_and_before_in_turn():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(1, 40, (int(rng.integers(1, 12)), 2)))]
+        sizes = M.Sizes(parent=(60, 110))
+        size = lambda lo, hi: sum(r[1] for r in rows[lo : hi + 1]) + rows[lo][2]  # noqa: B023, E731
+        # What a run begins with shrinks no more than the run grows, as with headings.
+        rows = [(i, t, min(b, rows[i - 1][1] if i else b)) for i, t, b in rows]
+        for _, at, lo, hi, n in M.spread(sizes)(("k",), [("k", *r) for r in rows]):
+            a = b = at
+            while size(a, b) < 60 and (a > 0 or b < len(rows) - 1):
+                after = b < len(rows) - 1 and ((b - at) <= (at - a) or a == 0)
+                wide = (a, b + 1) if after else (a - 1, b)
+                if size(*wide) > 110:
+                    break
+                a, b = wide
+            assert (lo, hi, n) == (a, b, size(a, b))
 
 
 def test_markdown_chunks(spark):
     sizes = M.Sizes(child=(20, 60), hard=70, atom=(5, 30), parent=(80, 160), overlap=(5, 15))
-    rows = M.chunk_notes(spark.createDataFrame([("note.md", MARKDOWN), ("none.md", None), ("short.md", "Just one line.")], "name string, text string"), sizes=sizes).orderBy("id").collect()
+    notes = spark.createDataFrame([("note.md", MARKDOWN), ("note.md", MARKDOWN), ("none.md", None), ("empty.md", ""), ("short.md", "Just one line."), (None, "# H\n\nBody.")], "name string, text string")
+    rows = M.chunk_notes(notes, sizes=sizes).orderBy("id").collect()
     notes = [r for r in rows if r.source_title == "note"]
-    assert [r.id for r in notes] == [f"note::{i:03d}" for i in range(len(notes))] and len(notes) > 5
-    assert all(not M.LEAD.match(M.below_headings(r.text)) and "---" not in r.text.replace("|---|---|", "") for r in rows)
+    assert [r.id for r in notes] == [f"note::{i:03d}" for i in range(len(notes))] and len(notes) > 5  # the repeated note counts once
+    assert all(not re.match(M.LEAD, r.embedding_text.split("\n\n", 1)[1]) and "---" not in r.text.replace("|---|---|", "") for r in rows)
     assert {r.content_type for r in notes} == {"hitting drill"} and notes[0].tags == ["Drill work", "hips"]
     assert all(r.parent_tokens <= 160 + 20 for r in notes)
+    assert all(r.token_count == M.words_and_marks(r.text) and r.parent_tokens == M.words_and_marks(r.parent_text) for r in rows)
+    assert len({(r.parent_id, r.parent_text) for r in notes}) == len({r.parent_id for r in notes}) == len({r.parent_text for r in notes})
     short = [r for r in rows if r.source_title == "short"]
     assert len(short) == 1 and short[0].parent_text == "Just one line." and short[0].timestamp == "note"
+    assert [r.text for r in rows if r.source_title == ""] == ["# H\n\nBody."]
     lint = {r.source_title: r for r in M.lint(spark.createDataFrame(rows, schemas.CHUNKS)).collect()}
     assert lint["note"].lead == lint["note"].rules == lint["note"].leaks == 0
+    asked = M.chunk_notes(spark.createDataFrame([("note.md", MARKDOWN)], "name string, text string"), sizes=sizes, count=M.words_and_marks).orderBy("id").collect()
+    assert [tuple(r) for r in asked] == [tuple(r) for r in notes]
 
 
-def test_small_note_has_one_parent():
-    rows = M.Chunker().children("n.md", "## A\n\n" + "Words of a section go here. " * 12 + "\n\n## B\n\n" + "Other words are there now. " * 12)
-    assert len({r["parent_id"] for r in rows}) == 1 and len(rows) >= 1
+def test_small_note_has_one_parent(spark):
+    text = "## A\n\n" + "Words of a section go here. " * 12 + "\n\n## B\n\n" + "Other words are there now. " * 12
+    rows = M.chunk_notes(spark.createDataFrame([("n.md", text)], "name string, text string")).collect()
+    assert len({r.parent_id for r in rows}) == 1 and len(rows) >= 1
+    assert M.chunk_notes(spark.createDataFrame([], "name string, text string")).count() == 0
 
 
 def test_sources(spark, tmp_path):
