@@ -223,7 +223,7 @@ def test_blocks_and_sections(spark):
 def test_short_neighbours_become_one(spark):
     text = "# T\n\n## A\n\n### x\n\none two.\n\n### y\n\nthree.\n\n## B\n\nfour.\n\n## What is C\n\na definition by itself, long enough to stand.\n\n## D\n\nfive."
     sizes = M.Sizes(child=(20, 30), atom=(5, 30))
-    rows = M.coalesced(M.sections(M.blocks(_note(spark, text))), sizes).orderBy("i").collect()
+    rows = M.coalesced(M.sections(M.blocks(_note(spark, text))), sizes).withColumn("body", M.body_of(F.col("blocks"))).orderBy("i").collect()
     assert [[p.title for p in r.path] for r in rows] == [["T"], ["T", "What is C"], ["T", "D"]]
     assert rows[0].body == "## A\n\n### x\n\none two.\n\n### y\n\nthree.\n\n## B\n\nfour."
     for r in rows:
