@@ -35,8 +35,11 @@ def tilt_from_vertical(dx: Column, dy: Column) -> Column:
 
 
 def inclination(dx: Column, dy: Column, signed: bool = False) -> Column:
-    """Angle of a path to the horizontal, rising (y falling) positive; folded to -90..90 unless signed."""
-    return F.degrees(F.atan2(-dy, dx if signed else F.abs(dx)))
+    """Angle of a path to the horizontal, rising (y falling) positive; folded to -90..90 unless signed.
+
+    A level path to the left is at -180: the angle is negated and not dy, as Spark's atan2 knows no negative zero.
+    """
+    return 0.0 - F.degrees(F.atan2(dy, dx if signed else F.abs(dx)))
 
 
 def _norm3(x: Column, y: Column, z: Column) -> Column:

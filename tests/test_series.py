@@ -245,3 +245,11 @@ def test_groups_in_order_over_batches(spark):
     got = {r.g: (r.n, r.sorted) for r in grouped.in_order(df, ["g"], "i", "g int, n int, sorted boolean", work).collect()}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {g: (g * 7 % 400, True) for g in range(1, 50) if g * 7 % 400}
+
+
+def test_level_path_to_the_left(spark):
+    """A negative zero counts: -0.0 over a negative length is -180 degrees, as numpy and SQL have it."""
+    rows = spark.createDataFrame([(0, -2.0, 0.0), (1, 2.0, 0.0), (2, -2.0, 1.0), (3, -2.0, -1.0)], "n int, x double, y double")
+    got = [r.a for r in rows.select("n", G.inclination(F.col("x"), F.col("y"), True).alias("a")).orderBy("n").collect()]
+    assert got == pytest.approx([float(np.degrees(np.arctan2(-y, x))) for x, y in [(-2.0, 0.0), (2.0, 0.0), (-2.0, 1.0), (-2.0, -1.0)]])
+    assert got[0] == -180 and math.copysign(1, got[1]) == 1
