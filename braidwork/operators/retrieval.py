@@ -6,16 +6,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.geometry import cosine
 from ..functions.text import tokens
+from .nearest import matrix_of as vectors
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, KEYWORD_WEIGHT, KEYWORD_FLOOR = 60, 0.35, 2.0
 #: Queries that are sent to every task at once; more are asked in blocks of about so many, a scan of the table each.
 QUERY_BLOCK = 20_000
+#: Queries and rows that meet in one matrix product.
+TILE, ROWS = 256, 4096
 
 
 def pool_size(k: int) -> int:
@@ -105,35 +110,68 @@ def vector_topk_pairs(table: DataFrame, queries: DataFrame, query: str, q_vec: s
     return _all([one(b) for b in _blocks(queries, query, block)])
 
 
+def _leading(row: np.ndarray, score: np.ndarray, name: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, by score and then by name, rows in order."""
+    order = np.lexsort((np.unique(name, return_inverse=True)[1].ravel(), -score, row))
+    row = row[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], score[order[kept]], name[order[kept]]
+
+
 def vector_topk(table: DataFrame, queries: DataFrame, query: str, q_vec: str, doc: str, vec: str, k: int, exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest rows of unit vectors by cosine, exactly: (query, doc, score, rank).
 
-    A block of queries, its size checked, goes to every task, and each batch of rows is held against it in one matrix
-    product; the table is scanned whole and is never shuffled but for the k best of each batch.
+    A block of queries, its size checked, goes to every task. Batches of rows are held against TILE queries at a time in a
+    matrix product, and of each query a task keeps the k best so far: what it holds doesn't grow with the table, nor, but for
+    the block and those, with the queries. Rows are dealt over all cores first, whatever files they lie in.
     """
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *table.schema.fields]}
-    more = k + exclude_self
+    more, context = k + exclude_self, table.sparkSession.sparkContext
+    dealt = table.select(doc, F.col(vec).cast("array<double>").alias(vec)).repartition(max(2, context.defaultParallelism), doc)
 
     def one(part: DataFrame) -> DataFrame:
-        asked = part.select(query, q_vec).toPandas()
-        matrix = np.stack(asked[q_vec].to_numpy()).astype(np.float64) if len(asked) else np.zeros((0, 0))
-        held = table.sparkSession.sparkContext.broadcast((asked[query].to_numpy(), matrix))
+        asked = part.select(query, F.col(q_vec).cast("array<double>").alias(q_vec)).toArrow()
+        held = context.broadcast((asked.column(0).combine_chunks(), vectors(asked.column(1))))
 
-        def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = held.value
-            for pdf in pdfs:
-                if len(pdf) and len(ids):
-                    scores = np.round(np.stack(pdf[vec].to_numpy()).astype(np.float64) @ matrix.T, 12)
-                    names = pdf[doc].to_numpy()
-                    order = np.lexsort((np.broadcast_to(names[:, None], scores.shape), -scores), axis=0)[: min(more, len(names))]
-                    yield pd.DataFrame({query: np.tile(ids, len(order)), doc: names[order].ravel(), "score": np.take_along_axis(scores, order, 0).ravel()})
-
-        best = table.select(doc, vec).mapInPandas(run, f"`{query}` {kinds[query]}, `{doc}` {kinds[doc]}, score double")
+            tiles = range(0, len(ids), TILE)
+            best = {at: None for at in tiles}
+            for batch in batches:
+                for cut in range(0, batch.num_rows if len(ids) else 0, ROWS):
+                    piece = batch.slice(cut, ROWS)
+                    names, own = piece.column(0).to_numpy(zero_copy_only=False), vectors(piece.column(1))
+                    for at in tiles:
+                        best[at] = _nearer(best[at], matrix[at : at + TILE] @ own.T, names, more)
+            for at, found in best.items():
+                if found is not None:
+                    row, score, name = found
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + at)), pa.array(name, kind), pa.array(score)], [query, doc, "score"])
+
+        kind = to_arrow_type(table.schema[doc].dataType)
+        best = dealt.mapInArrow(run, f"`{query}` {kinds[query]}, `{doc}` {kinds[doc]}, score double")
         return ranked(best.where(F.col(query) != F.col(doc)) if exclude_self else best, query, "score", k, doc)
 
     return _all([one(b) for b in _blocks(queries, query, block)])
 
 
+def _nearer(best: tuple[np.ndarray, np.ndarray, np.ndarray] | None, scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (row, score, name) of each row of scores, those found before included.
+
+    Only what may be among the k best is rounded and sorted: scores of the k-th best known or more, less what rounding moves.
+    """
+    if best is not None and len(best[0]) == k * len(scores):
+        floor = best[1].reshape(-1, k)[:, -1]
+    elif scores.shape[1] >= k:
+        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    else:
+        floor = np.full(len(scores), -np.inf)
+    row, at = np.nonzero(~(scores < floor[:, None] - 1e-11))
+    # Products of equal vectors can differ in the last places by where they lie in a matrix; rounded, they tie.
+    new = (row, np.round(scores[row, at], 12), names[at])
+    return _leading(*(new if best is None else (np.concatenate(x) for x in zip(best, new, strict=True))), k)
+
+
 #: The matrix form was once apart from the main one.
 vector_topk_blas = vector_topk
 

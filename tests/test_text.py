@@ -387,3 +387,26 @@ def test_reasons_next_to_accented_letters(spark):
     report = S.removal_report(told).collect()
     assert [(r.reason, r.n, r.total, r.kept) for r in report] == [("music/lyrics", 1, 2, 1)]
     assert spark.range(1).select(A.verdict(F.lit("this long enough \xe9which of them"), F.lit("q"), A.Policy(banned=(r"\bwhich\b",))).alias("v")).first().v == "banned claim: 'which'"
+
+
+def test_vectors_in_tiles(spark, monkeypatch):
+    """Whatever the tiles, the k best and their ties are those of all pairs, and a task gives k rows a query and not more."""
+    rng = np.random.default_rng(5)
+    some = rng.normal(size=(40, 8))
+    own = np.concatenate([some, some[:20], some[:20]])
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "id long, v array<double>").repartition(3)
+    asked = rows.select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    monkeypatch.setattr(R, "TILE", 7)
+    monkeypatch.setattr(R, "ROWS", 5)
+    scores = np.round(own @ own.T, 12)
+    for self_ in (False, True):
+        got = {}
+        for r in R.vector_topk(rows, asked, "q", "qv", "id", "v", 4, exclude_self=self_).orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append(r.id)
+        assert got == {q: [i for i in sorted(range(len(own)), key=lambda i: (-scores[q, i], i)) if not (self_ and i == q)][:4] for q in range(len(own))}
+    best = None
+    for cut in range(0, len(own), 5):
+        best = R._nearer(best, own[:7] @ own[cut : cut + 5].T, np.arange(cut, min(cut + 5, len(own))), 4)
+        assert len(best[0]) <= 28
+    assert len(best[0]) == 28
