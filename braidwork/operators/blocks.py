@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..shared import written
+from ..shared import sent, written
 from .retrieval import K1, B, ranked
 
 #: Steps of impact; postings of a block, about; terms of a query that the first look takes.
@@ -44,7 +44,7 @@ def pack(index: tuple[DataFrame, DataFrame, DataFrame], doc: str, path: str) ->
     mean = lengths.agg(F.avg("dl").alias("_avg"))
     tf = F.col("tf")
     impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
-    own = postings.join(lengths, doc).crossJoin(F.broadcast(mean)).select("term", doc, impact.alias("impact"))
+    own = (postings if "dl" in postings.columns else postings.join(lengths, doc)).crossJoin(F.broadcast(mean)).select("term", doc, impact.alias("impact"))
     impacts, own = own, own.withColumn("level", F.least(F.floor(F.col("impact") / (K1 + 1) * LEVELS), F.lit(LEVELS - 1)).cast("int"))
     sizes = written(own.groupBy("term", "level").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK).select("term", "level", F.ceil(F.col("_n") / BLOCK).alias("_cuts")))
     cut = own.join(sizes, ["term", "level"], "left").withColumn("_cut", F.pmod(F.xxhash64(doc), F.coalesce("_cuts", F.lit(1))))
@@ -56,14 +56,14 @@ def pack(index: tuple[DataFrame, DataFrame, DataFrame], doc: str, path: str) ->
 
 def _whole(index: Blocks, pairs: DataFrame, asked: DataFrame, query: str, doc: str) -> DataFrame:
     """(query, doc, score) of the pairs by all terms of the query."""
-    wanted = pairs.join(asked.select(query, "term", "weight"), query)
-    held = index.impacts.join(pairs.select(doc).distinct(), doc, "left_semi")
+    wanted = pairs.join(sent(asked.select(query, "term", "weight")), query)
+    held = index.impacts.join(sent(asked.select("term").distinct()), "term", "left_semi").join(sent(pairs.select(doc).distinct()), doc, "left_semi")
     return wanted.join(held, [doc, "term"]).groupBy(query, doc).agg(F.round(F.sum(F.col("weight") * F.col("impact")), 9).alias("score"))
 
 
 def _partial(index: Blocks, read: DataFrame, query: str, doc: str) -> DataFrame:
     """(query, doc, score): what the blocks (query, term, weight, block) bring to each document in them."""
-    parts = read.join(index.blocks.select("term", "block", "postings"), ["term", "block"]).select(query, "weight", F.explode("postings").alias("p"))
+    parts = sent(written(read.select(query, "term", "weight", "block"))).join(index.blocks.select("term", "block", "postings"), ["term", "block"]).select(query, "weight", F.explode("postings").alias("p"))
     return parts.groupBy(query, F.col(f"p.{doc}").alias(doc)).agg(F.sum(F.col("weight") * F.col("p.impact")).alias("score"))
 
 

@@ -13,12 +13,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.geometry import cosine
 from ..functions.text import tokens
+from ..shared import sent, written
 from .nearest import matrix_of as vectors
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, KEYWORD_WEIGHT, KEYWORD_FLOOR = 60, 0.35, 2.0
 #: Queries that are sent to every task at once; more are asked in blocks of about so many, a scan of the table each.
 QUERY_BLOCK = 20_000
+#: Pairs of a query and a document that a task scores, about.
+TASK_PAIRS = 2_000_000
 #: Queries and rows that meet in one matrix product.
 TILE, ROWS = 256, 4096
 
@@ -41,14 +44,15 @@ def bm25_index(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFra
 
 
 def word_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(term, doc, tf), with a row of the empty term and no occurrences for a document without words.
+    """(term, doc, tf, dl), with a row of the empty term and no occurrences for a document without words; dl: all its words.
 
     Documents are dealt by number first: a text moves once, all its words are counted where they are split, and a table in
-    one file is split by all tasks.
+    one file is split by all tasks. Rows of one number are one document.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = docs.select(doc, text).repartition(parts, doc).select(doc, F.explode_outer(tokens(F.col(text))).alias("term"))
-    return words.groupBy(doc, F.coalesce("term", F.lit("")).alias("term")).agg(F.count("term").alias("tf")).select("term", doc, "tf")
+    whole = docs.select(doc, text).repartition(parts, doc).groupBy(doc).agg(tokens(F.array_join(F.collect_list(text), " ")).alias("_t"))
+    words = whole.select(doc, F.size("_t").cast("long").alias("dl"), F.explode_outer("_t").alias("term"))
+    return words.groupBy(doc, "dl", F.coalesce("term", F.lit("")).alias("term")).agg(F.count("term").alias("tf")).select("term", doc, "tf", "dl")
 
 
 def bm25_postings(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +60,7 @@ def bm25_postings(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, Data
 
 
 def _parted(every: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
-    return every.where("term <> ''"), every.groupBy(doc).agg(F.sum("tf").alias("dl"))
+    return every.where("term <> ''").select("term", doc, "tf"), every.groupBy(doc).agg(F.sum("tf").alias("dl"))
 
 
 def bm25_terms(postings: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -73,11 +77,17 @@ def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFram
     """
     postings, lengths, terms = index
     asked = queries.select(query, F.explode(tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qf"))
+    asked = written(asked.join(terms, "term").select(query, "term", (F.col("qf") * F.col("idf")).alias("weight")))
     mean = lengths.agg(F.avg("dl").alias("avgdl"))
-    hit = asked.join(terms, "term").join(postings, "term").join(lengths, doc).crossJoin(F.broadcast(mean))
+    # Only postings of the terms asked for move, once, to their document's task, where all its terms and queries meet.
+    spark = postings.sparkSession
+    pairs = lengths.count() * asked.select(query).distinct().count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
+    held = postings.select("term", doc, "tf").join(sent(asked.select("term").distinct()), "term", "left_semi").repartition(parts, doc).join(lengths, doc)
     tf = F.col("tf")
-    part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy(query, doc).agg(F.round(F.sum(part), 9).alias("score"))
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hit = held.crossJoin(F.broadcast(mean)).select("term", doc, part.alias("_part")).join(sent(asked), "term")
+    return hit.groupBy(query, doc).agg(F.round(F.sum(F.col("weight") * F.col("_part")), 9).alias("score"))
 
 
 def bm25_topk(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, query: str, text: str, doc: str, k: int) -> DataFrame:
@@ -230,7 +240,8 @@ def build_index(docs: DataFrame, doc: str, text: str, path: str) -> tuple[DataFr
     """
     spark = docs.sparkSession
     word_counts(docs, doc, text).write.mode("overwrite").parquet(f"{path}/all")
-    postings, lengths = _parted(spark.read.parquet(f"{path}/all"), doc)
+    every = spark.read.parquet(f"{path}/all")
+    postings, lengths = every.where("term <> ''"), every.groupBy(doc).agg(F.first("dl").alias("dl"))
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     lengths = spark.read.parquet(f"{path}/lengths")
     bm25_terms(postings, lengths).write.mode("overwrite").parquet(f"{path}/terms")

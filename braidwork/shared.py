@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a written table up to which it is sent to every executor.
+SENT = 500_000
 
 
 def shared(spark: SparkSession) -> str:
@@ -22,3 +26,8 @@ def written(df: DataFrame) -> DataFrame:
     path = shared(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, most: int = SENT) -> DataFrame:
+    """A small written table, marked to be sent whole to every executor if it has `most` rows or fewer; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

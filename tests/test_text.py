@@ -410,3 +410,13 @@ def test_vectors_in_tiles(spark, monkeypatch):
         best = R._nearer(best, own[:7] @ own[cut : cut + 5].T, np.arange(cut, min(cut + 5, len(own))), 4)
         assert len(best[0]) <= 28
     assert len(best[0]) == 28
+
+
+def test_postings_meet_at_their_document(spark, tmp_path):
+    """An index knows its documents' lengths without a join, null and repeated rows too; scores don't depend on how documents are dealt."""
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, None), (4, "c c d"), (1, "d e")], "id long, text string")
+    assert {(r.term, r.id, r.tf, r.dl) for r in R.word_counts(docs, "id", "text").where("id IN (1, 3)").collect()} == {("a", 1, 1, 5), ("b", 1, 2, 5), ("d", 1, 1, 5), ("e", 1, 1, 5), ("", 3, 0, 0)}
+    asked = spark.createDataFrame([(7, "b d d")], "q long, t string")
+    plain = {r.id: r.score for r in R.bm25_scores(R.bm25_index(docs, "id", "text"), asked, "q", "t", "id").collect()}
+    built = {r.id: r.score for r in R.bm25_scores(R.build_index(docs, "id", "text", str(tmp_path)), asked, "q", "t", "id").collect()}
+    assert plain == built and set(plain) == {1, 2, 4}
