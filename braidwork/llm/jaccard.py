@@ -1,11 +1,11 @@
-"""Near-duplicates of operator 2 at a similarity of 0.8: MinHash bands propose sets, whole sets decide.
-
-At a similarity of 0.8, two SimHash fingerprints of 64 bits differ in some 10 bits. Anchors within covering radius plus 10
-are far too many to replicate to, and the 2 bits of simhash.py find few such pairs; so the pipeline proposes them by bands.
-
-Equal shingle sets are one node. Two sets of similarity s share a band with chance 1 - (1 - s^ROWS)^BANDS, which is 0.9999 at
-0.8. Sets that share a band with another are candidates; those are joined exactly, by their rarest shingles, and each pair
-so proposed is checked on its whole sets, so that no pair below the similarity is linked.
+"""Near-duplicates of operator 2 at a similarity of 0.8: SimHash fingerprints and MinHash bands propose sets, whole sets decide.
+
+Equal shingle sets are one node. The fingerprints of all nodes are linked by the covering code of simhash.py, and the links that
+whole sets bear out are the first components. At a similarity of 0.8, two fingerprints differ in some 10 bits, though; anchors
+within covering radius plus 10 are far too many to replicate to, and 2 bits find few such pairs. So bands complete what the
+fingerprints find: two sets of similarity s share a band with chance 1 - (1 - s^ROWS)^BANDS, which is 0.9999 at 0.8. Sets that
+share a band or are near in fingerprint are candidates; those are joined exactly, by their rarest shingles, and each pair so
+proposed is checked on its whole sets, so that no pair below the similarity is linked.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from xxhash import xxh64_intdigest
 
 from .common import column, kind_of, materialize, quoted, whole_text
 from .graph import components
+from .simhash import THRESHOLD, links, of_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -34,13 +35,18 @@ _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1),
 _XOR, _ODD = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's shingles in order: of all words together if they are fewer, 0 without words."""
+def every_shingle(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included: of all words together if they are fewer, 0 without words."""
     words = text.encode().lower().split()
     if not words:
         return np.zeros(1, np.uint64)
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in parts), np.uint64))
+    return np.fromiter((xxh64_intdigest(s, SEED) for s in parts), np.uint64)
+
+
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order."""
+    return np.unique(every_shingle(text, shingle))
 
 
 def bands(own: np.ndarray) -> list[int]:
@@ -71,7 +77,7 @@ def _rare(sets: DataFrame, similarity: float) -> DataFrame:
     """
     every = sets.select("node", F.size("own").alias("n"), F.explode("own").alias("at"))
     often = materialize(every.groupBy("at").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
-    known = every.join(often, "at").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "at"))).alias("own"))
+    known = every.join(often.hint("merge"), "at").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "at"))).alias("own"))
     u = F.col("n") - F.size("own")
     room = F.greatest(F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - u, F.lit(0)).cast("int")
     return materialize(known.select("node", "n", u.alias("u"), F.posexplode(F.slice("own", 1, room)).alias("i", "x")).select(F.col("x.at").alias("at"), "node", "n", "u", (F.col("i") + F.col("u")).alias("i")), "rare")
@@ -80,24 +86,37 @@ def _rare(sets: DataFrame, similarity: float) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the distinct pairs (a, b) whose whole shingle sets are at least that similar."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = materialize(sets.select("node", "own").join(asked, "node", "left_semi"), "asked")
+    both = pairs.join(asked.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(asked.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
 
 
-def _linked(at: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) for every node of the table of _rare() that proves linked.
+def _near_prints(nodes: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): nodes whose fingerprints lie within threshold bits by the covering code, the least node standing for those of
+    equal fingerprints, and each of these with it."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    of = lambda side: prints.select(F.col("fp").alias(side), F.col("least").alias(f"node_{side}"))
+    apart = materialize(links(prints.repartition(parts, "fp"), threshold), "apart").join(of("a"), "a").join(of("b"), "b").select("node_a", "node_b")
+    equal = nodes.select("node", "fp").join(prints, "fp").where("node <> least").select("least", "node")
+    return materialize(apart.union(equal).toDF("a", "b"), "near")
+
 
-    The nodes that share a rare shingle are first held against one of them, a leader, and those linked are one component: in
+def _linked(at: DataFrame, sets: DataFrame, similarity: float, near: DataFrame) -> DataFrame:
+    """(node, root) for every node of the table of _rare() or of the pairs `near` that proves linked.
+
+    Those pairs of near fingerprints whose whole sets are similar enough are the components to begin with. The nodes that share a rare shingle are first held against one of them, a leader, and those linked are one component: in
     the first round the node with the fewest shingles of its own, as the text that copies were made from has hardly any and is
     closer to each copy than copies are to each other; then others by chance. STARS rounds leave few links unfound. At last, all nodes of a shingle that are in
     different components are held against each other, unless places by rarity or bitmaps leave too few shingles to share
     (both are bounds that no pair similar enough can miss).
     No link between components goes unchecked, and many copies of a text cost their number a round and not its square.
     """
-    roots = None
+    roots = materialize(components(_verified(near, sets, similarity)), "roots")
     for turn in range(STARS + 1):
-        own = at.withColumn("root", F.col("node")) if roots is None else at.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = at.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         own = materialize(own.select("at", "node", "n", "u", "i", "root"), "placed")
         chance = F.xxhash64(F.lit(turn), "node", "at") if turn == STARS - 1 else F.xxhash64(F.lit(turn), "node")
         order = F.struct("u", -F.col("n"), chance) if turn == 0 else chance
@@ -116,26 +135,28 @@ def _linked(at: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             both = c("x", "n") + c("y", "n")
             enough &= (both - unlike) * (1 + similarity) >= 2 * similarity * both - 1e-9
         pairs = x.join(y, (c("x", "at") == c("y", "at")) & apart & enough).select(c("x", "node").alias("a"), c("y", "node").alias("b"))
-        found = _verified(pairs, sets, similarity)
-        if roots is not None:
-            found = found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = _verified(pairs, sets, similarity).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = materialize(components(found), "roots")
     return roots
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), shingle: int = SHINGLE, similarity: float = SIMILARITY, threshold: int = THRESHOLD) -> DataFrame:
     """key, the columns in `keep` and component_id: the smallest key reachable over pairs of at least that similarity.
 
+    threshold: bits up to which the covering code links fingerprints; what lies further apart is found by bands.
+
     Keys must be unique, not null and the same at each reading of docs (a written table's). Null counts as the empty text;
-    texts without words are equal to each other. An empty table gives an empty one. `keep` must not name node or bands.
+    texts without words are equal to each other. An empty table gives an empty one. `keep` must not name node, fp or bands.
     """
     names = [key, *keep]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, shingle) for t in batch.column(len(names)).to_pylist()]
-            told = [pa.array([_signed(xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *told], [*names, "node", "bands"])
+            every = [every_shingle(t, shingle) for t in batch.column(len(names)).to_pylist()]
+            sets = [np.unique(x) for x in every]
+            prints = np.fromiter(map(of_hashes, every), np.uint64, len(every)).view(np.int64)
+            told = [pa.array(prints), pa.array([_signed(xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *told], [*names, "fp", "node", "bands"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,14 +167,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
                 yield pa.RecordBatch.from_arrays([part.column(0), *told], ["node", "own", "bits"])
 
     schema = ", ".join(f"{quoted(c)} {kind_of(docs, c)}" for c in names)
-    marked = materialize(docs.select(*(column(docs, c) for c in names), whole_text(text).alias("_text")).mapInArrow(mark, f"{schema}, node long, bands array<long>"), "marked")
-    nodes = materialize(marked.groupBy("node").agg(F.min(quoted(key)).alias("first"), F.first("bands").alias("bands")), "nodes")
+    marked = materialize(docs.select(*(column(docs, c) for c in names), whole_text(text).alias("_text")).mapInArrow(mark, f"{schema}, fp long, node long, bands array<long>"), "marked")
+    nodes = materialize(marked.groupBy("node").agg(F.min(quoted(key)).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     every = nodes.select("node", F.explode("bands").alias("band"))
     crowded = materialize(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "crowded")
-    wanted = materialize(every.join(crowded, "band").select("node").distinct().join(nodes.select("node", "first"), "node"), "wanted")
+    near = _near_prints(nodes, threshold)
+    candidates = every.join(crowded, "band").select("node").union(near.select("a")).union(near.select("b"))
+    wanted = materialize(candidates.distinct().join(nodes.select("node", "first"), "node"), "wanted")
     sets = docs.select(column(docs, key).alias("first"), whole_text(text).alias("_text")).join(wanted, "first").select("node", "_text").mapInArrow(whole, "node long, own array<long>, bits array<long>")
     sets = materialize(sets, "sets")
-    rooted = _linked(_rare(sets, similarity), sets, similarity).join(nodes.select("node", "first"), "node")
+    rooted = _linked(_rare(sets, similarity), sets, similarity, near).join(nodes.select("node", "first"), "node")
     least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     of = rooted.join(least, "root").select("node", "component_id")
     of = materialize(nodes.select("node", "first").join(of, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")), "components")

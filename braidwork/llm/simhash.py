@@ -35,9 +35,12 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    n = max(len(words) - shingle + 1, 1)
-    hashes = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return of_hashes(np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64, max(len(words) - shingle + 1, 1)))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of the shingles' hashes, repeats included."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         ones += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])

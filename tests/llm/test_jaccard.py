@@ -53,3 +53,24 @@ def test_components_against_brute_force(docs_of):
                 root = [low if r == high else r for r in root]
     assert len(set(root[:150])) > 3
     assert {r.doc_id: r.component_id for r in J.near_duplicates(docs).collect()} == dict(enumerate(root))
+
+
+def test_fingerprints_are_linked_by_the_covering_code(spark, docs_of, tmp_path, monkeypatch):
+    """Near fingerprints are found whatever the bands say, and the pipeline's stage asks for them."""
+    rng = random.Random(8)
+    prints = [rng.getrandbits(63) for _ in range(60)]
+    prints += [p ^ 1 << rng.randrange(63) ^ 1 << rng.randrange(63) for p in prints[:30]] + [p ^ 7 for p in prints[:10]] + prints[:5]
+    nodes = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "node long, fp long")
+    least = {p: min(i for i, q in enumerate(prints) if q == p) for p in prints}
+    wanted = {(least[p], i) for i, p in enumerate(prints) if least[p] != i}
+    wanted |= {tuple(sorted((least[p], least[q]))) for p in prints for q in prints if 0 < (p ^ q).bit_count() <= 2}
+    assert {tuple(sorted(r)) for r in J._near_prints(nodes, 2).collect()} == wanted
+    asked = []
+    monkeypatch.setattr(J, "links", lambda p, t: asked.append((p.count(), t)) or J_LINKS(p, t))
+    text = [rng.choice("abcdefghij") * rng.randint(2, 9) for _ in range(400)]
+    near = [*text[:-1], "zzz"]
+    corpus_pipeline.drop_near_duplicates(spark, docs_of([" ".join(text), " ".join(near), "a b c d e f"]), str(tmp_path)).collect()
+    assert asked == [(3, 2)]
+
+
+J_LINKS = getattr(J, "links", None)
