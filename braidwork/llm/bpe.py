@@ -25,8 +25,8 @@ from .common import column, kind_of, quoted, table, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of texts whose pre-tokens are held at once, and merged pre-tokens that a worker remembers.
-BATCH_CHARS = 1 << 20
-REMEMBERED = 1 << 18
+BATCH_CHARS = 1 << 22
+REMEMBERED = 1 << 20
 #: Keys to a bucket, on average, while the perfect hash is built.
 LOAD = 4
 
@@ -60,12 +60,12 @@ class PerfectHash:
         starts = np.cumsum(sizes) - sizes
         self.displacement = np.zeros(self.buckets, np.uint64)
         taken = np.zeros(n, bool)
-        tries = np.arange(1 << 10, dtype=np.uint64)
         for b in np.argsort(-sizes, kind="stable"):
             if not sizes[b]:
                 break
-            own, base = hashes[order[starts[b] : starts[b] + sizes[b]]], 0
+            own, base, many = hashes[order[starts[b] : starts[b] + sizes[b]]], 0, 16
             while True:
+                tries = np.arange(many, dtype=np.uint64)
                 at = (_mix(own[None, :], (tries + np.uint64(base))[:, None]) % np.uint64(n)).astype(np.int64)
                 good = ~taken[at].any(axis=1)
                 if len(own) > 1:
@@ -76,7 +76,7 @@ class PerfectHash:
                     self.displacement[b] = base + int(hit[0])
                     taken[at[hit[0]]] = True
                     break
-                base += len(tries)
+                base, many = base + many, min(4 * many, 1 << 10)
         self.keys: list[bytes] = [b""] * n
         self.value = np.zeros(n, np.int64)
         for i, p in enumerate(self._place(hashes)):
@@ -117,34 +117,44 @@ class Encoder:
         self.latin = pattern == public_tokenizers.PATTERN
         self.pattern = regex.compile(pattern)
         self.merged: dict[bytes, list[int]] = {}
+        self.earlier: dict[bytes, list[int]] = {}
 
     def pretokens(self, text: str) -> list[str]:
         return LATIN.findall(text) if self.latin and text and max(text) < "Ā" else self.pattern.findall(text)
 
     def merge(self, piece: bytes) -> list[int]:
         """Token numbers of one pre-token: the lowest-ranked pair of neighbours merges first, the leftmost of equals."""
-        pairs = self.pairs
-        ids = [self.bytes[b] for b in piece]
+        known, own = self.pairs.get, self.bytes
+        ids = [own[b] for b in piece]
         n = len(ids)
+        shift = n.bit_length()
+        places = (1 << shift) - 1
+        # want[i] is what the pair that begins at i merges to, so a heap entry that says otherwise is out of date
+        want = [known(a << 20 | b) for a, b in zip(ids, ids[1:], strict=False)]
+        heap = [m << shift | i for i, m in enumerate(want) if m is not None]
+        if not heap:
+            return ids
+        want.append(None)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [m << 40 | i for i in range(n - 1) if (m := pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            m, i = top >> 40, top & 0xFFFFFFFFFF
-            left = ids[i]
-            j = after[i]
-            if left < 0 or j >= n or pairs.get(left << 20 | ids[j]) != m:
+            m, i = top >> shift, top & places
+            if want[i] != m:
                 continue
-            ids[i], ids[j] = m, -1
+            j = after[i]
+            ids[i], ids[j], want[i], want[j] = m, -1, None, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := pairs.get(m << 20 | ids[k])) is not None:
-                    heappush(heap, r << 40 | i)
+                r = want[i] = known(m << 20 | ids[k])
+                if r is not None:
+                    heappush(heap, r << shift | i)
             p = before[i]
-            if p >= 0 and (r := pairs.get(ids[p] << 20 | m)) is not None:
-                heappush(heap, r << 40 | p)
+            if p >= 0:
+                r = want[p] = known(ids[p] << 20 | m)
+                if r is not None:
+                    heappush(heap, r << shift | p)
         return [x for x in ids if x >= 0]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -161,14 +171,14 @@ class Encoder:
         counts = np.ones(len(distinct), np.int64)
         flat: list = []
         missed = np.flatnonzero(whole < 0)
-        if len(self.merged) + len(missed) > REMEMBERED:
-            self.merged.clear()
-        memory = self.merged
+        if len(self.merged) + len(missed) > REMEMBERED // 2:
+            self.earlier, self.merged = self.merged, {}
+        memory, earlier = self.merged, self.earlier
         for i in missed.tolist():
             piece = distinct[i]
             ids = memory.get(piece)
             if ids is None:
-                ids = memory[piece] = self.merge(piece)
+                ids = memory[piece] = earlier.get(piece) or self.merge(piece)
             counts[i] = len(ids)
             flat.extend(ids)
         starts = np.cumsum(counts) - counts

@@ -66,3 +66,19 @@ def test_query_rows(docs_of, library):
 
 def test_empty_table(docs_of):
     assert bpe.encode_texts(docs_of([])).count() == 0
+
+
+def test_merged_pieces_in_use_are_kept(monkeypatch):
+    """A piece that each block asks for is merged once, however many others come and go."""
+    import public_tokenizers
+
+    from braidwork.llm import bpe
+
+    code, merged = bpe.encoder(public_tokenizers.path(bpe.VOCABULARY)), []
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    monkeypatch.setattr(code, "merged", {})
+    monkeypatch.setattr(code, "merge", lambda piece: merged.append(piece) or bpe.Encoder.merge(code, piece))
+    for block in range(12):
+        texts = [f"qzxvkjqzx{'qzxw'[i % 4]}{'vkjz'[i // 4]}{chr(97 + block)}" for i in range(15)]
+        assert [code.decode(x).decode() for x in code.encode([*texts, "zzqxjkvzz"])] == [*texts, "zzqxjkvzz"]
+    assert merged.count(b"zzqxjkvzz") == 1 and len(merged) == 12 * 15 + 1
