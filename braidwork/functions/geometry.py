@@ -100,9 +100,14 @@ def blob(height: int, width: int, cx: Column, cy: Column, sigma: float) -> Colum
 
 def peak(heat: Column, width: int, threshold: float = 0.3) -> Column:
     """struct<x, y, value> of a heat map's first largest cell; null below the threshold."""
-    top = F.array_max(heat)
-    at = F.array_position(heat, top) - 1
-    return F.when(top >= threshold, F.struct((at % width).alias("x"), F.floor(at / width).alias("y"), top.alias("value")))
+
+    def found(own: Column) -> Column:
+        top = F.array_max(own)
+        at = F.array_position(own, top) - 1
+        return F.when(top >= threshold, F.struct((at % width).alias("x"), F.floor(at / width).alias("y"), top.alias("value")))
+
+    # As the one element of an array, the map is made once and not each time that it is named
+    return F.transform(F.array(heat), found)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -74,7 +74,8 @@ def pose_points(spark: SparkSession, d: str) -> DataFrame:
 
 def heat_peaks(spark: SparkSession, d: str) -> DataFrame:
     heat = G.blob(6, 9, F.col("p_partkey") % 9, F.col("p_partkey") % 6, 1.5)
-    return table(spark, d, "part").select("p_partkey", G.peak(heat, 9).alias("top")).select("p_partkey", F.col("top.x").cast("long").alias("x"), F.col("top.y").cast("long").alias("y"), r6("top.value").alias("value"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the keys are few bytes, but long work: a file is one task
+    return table(spark, d, "part").select("p_partkey").repartition(parts, "p_partkey").select("p_partkey", G.peak(heat, 9).alias("top")).select("p_partkey", F.col("top.x").cast("long").alias("x"), F.col("top.y").cast("long").alias("y"), r6("top.value").alias("value"))
 
 
 def value_coverage(spark: SparkSession, d: str) -> DataFrame:

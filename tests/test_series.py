@@ -253,3 +253,8 @@ def test_level_path_to_the_left(spark):
     got = [r.a for r in rows.select("n", G.inclination(F.col("x"), F.col("y"), True).alias("a")).orderBy("n").collect()]
     assert got == pytest.approx([float(np.degrees(np.arctan2(-y, x))) for x, y in [(-2.0, 0.0), (2.0, 0.0), (-2.0, 1.0), (-2.0, -1.0)]])
     assert got[0] == -180 and math.copysign(1, got[1]) == 1
+
+
+def test_heat_map_is_made_once_for_its_peak(spark):
+    made = spark.range(1).select(G.peak(G.blob(5, 7, F.col("id"), F.lit(2.0), 1.0), 7).alias("p"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") == 1
