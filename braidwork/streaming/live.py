@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,13 @@ def gap_sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) -> D
 
 def _ordered(pdfs: Iterator[pd.DataFrame], order: str | list[str]) -> pd.DataFrame:
     """All rows of a key in a micro-batch, which may come in several batches, by `order`."""
-    every = list(pdfs)
-    return pd.concat(every).sort_values(order, kind="stable") if every else pd.DataFrame()
+    every = [pdf for pdf in pdfs if len(pdf)]
+    if not every:
+        return pd.DataFrame()
+    rows = every[0] if len(every) == 1 else pd.concat(every)
+    if len(rows) == 1 or isinstance(order, str) and rows[order].is_monotonic_increasing:
+        return rows
+    return rows.sort_values(order, kind="stable")
 
 
 def segment_stream(rows: DataFrame, key: str, order: str, identity: str, max_gap: int = 15) -> DataFrame:
@@ -56,7 +62,7 @@ def segment_stream(rows: DataFrame, key: str, order: str, identity: str, max_gap
                     segment += 1
                 last, id_ = at, who
                 found.append(segment)
-            yield pd.DataFrame({key: pdf[key], order: pdf[order], identity: pdf[identity], "segment_id": pd.Series(found, index=pdf.index, dtype="int32")})
+            yield pd.DataFrame({key: pdf[key], order: pdf[order], identity: pdf[identity], "segment_id": np.array(found, np.int32)})
         if last is not None:
             held.update((last, id_, segment))
 
@@ -124,8 +130,11 @@ class Closer(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "identity string, start long, end long, n long")
 
+    def _timer(self, segment: tuple) -> int:
+        return segment[2] // 1000 + self.gap + 1
+
     def _told(self, key, rows: list[tuple]) -> pd.DataFrame:
-        at = lambda i: pd.to_datetime([r[i] for r in rows], unit="us")
+        at = lambda i: np.array([r[i] for r in rows], "datetime64[us]")
         return pd.DataFrame({self.key: [key] * len(rows), "identity": [r[0] for r in rows], "start": at(1), "end": at(2), "n": [r[3] for r in rows]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -133,16 +142,17 @@ class Closer(StatefulProcessor):
         pdf = _ordered(rows, [self.ts, self.order])
         if not len(pdf):
             return
-        for ts, who in zip((pdf[self.ts].astype("datetime64[us]").astype("int64")).tolist(), pdf[self.identity].tolist(), strict=True):
+        set_ = self._timer(now) if now else None
+        for ts, who in zip(pdf[self.ts].to_numpy().astype("datetime64[us]").astype("int64").tolist(), pdf[self.identity].tolist(), strict=True):
             if now and (who != now[0] or ts - now[2] > self.gap * 1000):
                 done.append(now)
                 now = None
             now = (who, now[1], ts, now[3] + 1) if now else (who, ts, ts, 1)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if now:
-            self.open.update(tuple(now))
-            self.handle.registerTimer(now[2] // 1000 + self.gap + 1)
+        # An open segment has one timer, told by its end: there is no need to list those of the key
+        if set_ is not None:
+            self.handle.deleteTimer(set_)
+        self.open.update(tuple(now))
+        self.handle.registerTimer(self._timer(now))
         if done:
             yield self._told(key[0], done)
 

@@ -127,3 +127,39 @@ def test_segments_are_closed_by_rows_and_by_timers(spark, tmp_path):
         spark.conf.set(name, was)
     got = sorted((r.k, r.identity, r.n) for r in spark.read.parquet(str(tmp_path / "o")).where("k <> 'z'").collect())
     assert got == [("v", "a", 2), ("v", "b", 1), ("v", "b", 1), ("w", "x", 1)]
+
+
+def test_closer_knows_its_timer():
+    """The timer of an open segment is told by its end, so a key's timers are never listed."""
+    import pandas as pd
+
+    from braidwork.streaming.live import Closer
+
+    class Held:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return Held()
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    closer, handle = Closer("k", "ts", "o", "who", 1000), Handle()
+    closer.init(handle)
+    rows = lambda *at: iter([pd.DataFrame({"ts": pd.to_datetime([a for a, _ in at], unit="ms"), "o": range(len(at)), "who": [w for _, w in at]})])
+    assert list(closer.handleInputRows(("x",), rows((10, "a"), (5, "a")), None)) == [] and handle.timers == {1011}
+    (told,) = closer.handleInputRows(("x",), rows((20, "a"), (30, "b")), None)
+    assert handle.timers == {1031} and closer.open.value == ("b", 30_000, 30_000, 1)
+    assert told.to_dict("records") == [{"k": "x", "identity": "a", "start": pd.Timestamp(5, unit="ms"), "end": pd.Timestamp(20, unit="ms"), "n": 3}]
