@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from ..shared import sent
 from .common import column, kind_of, materialize, quoted, whole_text
 from .graph import components
 from .simhash import THRESHOLD, links, of_hashes
@@ -86,8 +87,9 @@ def _rare(sets: DataFrame, similarity: float) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the distinct pairs (a, b) whose whole shingle sets are at least that similar."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = materialize(sets.select("node", "own").join(asked, "node", "left_semi"), "asked")
+    # The sets asked for are few and long: their numbers are sent to the sets, which are not shuffled to be looked through.
+    named = sent(materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "named"))
+    asked = materialize(sets.select("node", "own").join(named, "node", "left_semi"), "asked")
     both = pairs.join(asked.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(asked.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
@@ -170,10 +172,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     marked = materialize(docs.select(*(column(docs, c) for c in names), whole_text(text).alias("_text")).mapInArrow(mark, f"{schema}, fp long, node long, bands array<long>"), "marked")
     nodes = materialize(marked.groupBy("node").agg(F.min(quoted(key)).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     every = nodes.select("node", F.explode("bands").alias("band"))
-    crowded = materialize(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "crowded")
+    crowded = sent(materialize(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "crowded"))
     near = _near_prints(nodes, threshold)
     candidates = every.join(crowded, "band").select("node").union(near.select("a")).union(near.select("b"))
-    wanted = materialize(candidates.distinct().join(nodes.select("node", "first"), "node"), "wanted")
+    wanted = sent(materialize(candidates.distinct().join(nodes.select("node", "first"), "node"), "wanted"))
     sets = docs.select(column(docs, key).alias("first"), whole_text(text).alias("_text")).join(wanted, "first").select("node", "_text").mapInArrow(whole, "node long, own array<long>, bits array<long>")
     sets = materialize(sets, "sets")
     rooted = _linked(_rare(sets, similarity), sets, similarity, near).join(nodes.select("node", "first"), "node")

@@ -74,3 +74,19 @@ def test_fingerprints_are_linked_by_the_covering_code(spark, docs_of, tmp_path,
 
 
 J_LINKS = getattr(J, "links", None)
+
+
+def test_texts_and_sets_are_not_shuffled_to_be_looked_up(spark, docs_of, monkeypatch):
+    """Few documents are looked at whole: the others' texts and sets stay where they are, however large a small table is."""
+    rng = random.Random(11)
+    base = [" ".join("".join(rng.choices("etaoin", k=5)) for _ in range(60)) for _ in range(12)]
+    docs = docs_of([*base, *(t + " more" for t in base[:6])])
+    plans, write = {}, J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df, label: plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: r.component_id for r in J.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {i: i % 12 for i in range(18)}
+    assert not [p for label in ("sets", "asked") for p in plans[label] if "Exchange hashpartitioning" in p]
