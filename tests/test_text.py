@@ -420,3 +420,13 @@ def test_postings_meet_at_their_document(spark, tmp_path):
     plain = {r.id: r.score for r in R.bm25_scores(R.bm25_index(docs, "id", "text"), asked, "q", "t", "id").collect()}
     built = {r.id: r.score for r in R.bm25_scores(R.build_index(docs, "id", "text", str(tmp_path)), asked, "q", "t", "id").collect()}
     assert plain == built and set(plain) == {1, 2, 4}
+
+
+def test_notes_are_dealt_to_tasks_by_their_size(spark, monkeypatch):
+    """A task's share does not grow with the notes, and their lines are dealt once."""
+    monkeypatch.setattr(M, "TASK_BYTES", 1000)
+    notes = spark.createDataFrame([(f"n{i % 40}.md", f"# Head {i % 40}\n\n" + "A line of words.\n" * 20) for i in range(80)], "name string, text string")
+    own = M.noted(notes)
+    assert own.count() == 40 and own.rdd.getNumPartitions() == -(-notes.selectExpr("sum(octet_length(text))").first()[0] // 1000)
+    made = M.glued(M.sections(M.blocks(own)), ["_key", "section"])
+    assert made.count() == 40 and made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
