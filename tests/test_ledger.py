@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -118,6 +119,21 @@ def test_frame_stream_reads_each_file_once(spark, tmp_path):
         assert sorted(r.frame for r in spark.read.parquet(str(tmp_path / "out")).where("keypoint = 'nose'").collect()) == list(range(i + 1))
 
 
+def test_a_long_file_is_read_in_ranges(tmp_path, monkeypatch):
+    """Each line is in one range, wherever ranges and blocks end; a compressed file is one."""
+    write(tmp_path / "in" / "v.jsonl", *({"frame": i, "people": [person(1.0)], "pad": "é" * (i % 50)} for i in range(200)), "", {"frame": 200, "people": [person(2.0)]})
+    (tmp_path / "in" / "w.jsonl.gz").write_bytes(gzip.compress(json.dumps({"frame": 201, "people": [person(1.0)]}).encode()))
+    reader = P.FrameReader(str(tmp_path / "in"))
+    told = lambda: [(r["frame"], r["keypoint"]) for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    wanted = [(i, name) for i in range(202) for name in schemas.KEYPOINT_NAMES[:2]]
+    assert told() == wanted and len(reader.partitions()) == 2
+    monkeypatch.setattr(P, "BLOCK", 64)
+    for split in (1, 97, 250):
+        monkeypatch.setattr(P, "SPLIT", split)
+        assert told() == wanted
+    assert len(reader.partitions()) > 100
+
+
 def test_posts_can_be_repeated(spark, tmp_path):
     at, teams = str(tmp_path / "games"), spark.createDataFrame([("Ants",), ("Bees",)], schemas.TEAMS)
     games = lambda *rows: spark.createDataFrame(list(rows), schemas.GAMES)
