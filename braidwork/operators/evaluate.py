@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pairs of a question and a chunk that one task of a sweep scores at most.
+SCORED = 1_000_000
+
 
 def source_matches(title: Column, expected: Column) -> Column:
     """Whether any expected string is part of the title, whatever the case."""
@@ -92,7 +95,7 @@ def chunk_sweep(sentences: DataFrame, questions: DataFrame, combinations: DataFr
     postings and weights all carry their combination as a key.
     """
     from ..functions.text import tokens
-    from ..shared import written
+    from ..shared import sent, written
     from . import retrieval as R
     from . import transcripts as T
 
@@ -101,14 +104,16 @@ def chunk_sweep(sentences: DataFrame, questions: DataFrame, combinations: DataFr
     made = T.swept_chunks(sentences.select(*part, title, order, "ts", "sentence"), [*part, title], order, sizes)
     chunks = made.select(*combo, title, F.concat_ws("::", *(F.col(p).cast("string") for p in part), "chunk_index").alias("id"), tokens(F.col("text")).alias("_t"))
     chunks = written(chunks)
-    posted = chunks.select(*combo, "id", F.explode("_t").alias("term")).groupBy(*combo, "id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = chunks.select(*combo, "id", title, F.size("_t").alias("dl"))
-    totals = sizes.groupBy(*combo).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = posted.groupBy(*combo, "term").agg(F.count(F.lit(1)).alias("df")).join(totals, combo).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # Chunks are dealt once; their postings and all that is scored of them stay in their tasks, whose number grows with what is scored.
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(max(parts, -(-chunks.count() * questions.count() // SCORED)), *combo, "id")
+    posted = dealt.select(*combo, "id", title, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(*combo, "id", title, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    totals = chunks.groupBy(*combo).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+    raw = written(posted.groupBy(*combo, "term").agg(F.count(F.lit(1)).alias("df")).join(totals, combo).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.groupBy(*combo).agg((F.avg("raw") * R.EPSILON).alias("floor"))
     weights = raw.join(mean, combo).select(*combo, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     asked = questions.select(F.col("id").alias("q_id"), F.explode(tokens(F.col("q"))).alias("term")).groupBy("q_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    hits = asked.join(weights, "term").join(posted, [*combo, "term"]).join(sizes, [*combo, "id"])
+    hits = posted.join(sent(written(asked.join(weights, "term"))), [*combo, "term"])
     score = F.col("qf") * F.col("idf") * F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(*combo, "q_id", "id", title).agg(F.round(F.sum(score), 9).alias("score"))
     w = Window.partitionBy(*combo, "q_id").orderBy(F.desc("score"), "id")

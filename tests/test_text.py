@@ -430,3 +430,15 @@ def test_notes_are_dealt_to_tasks_by_their_size(spark, monkeypatch):
     assert own.count() == 40 and own.rdd.getNumPartitions() == -(-notes.selectExpr("sum(octet_length(text))").first()[0] // 1000)
     made = M.glued(M.sections(M.blocks(own)), ["_key", "section"])
     assert made.count() == 40 and made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_sweep_scores_chunks_where_their_postings_are(spark, monkeypatch):
+    """What questions and chunks share is summed in the chunk's task and not shuffled, in as many tasks as the pairs ask for."""
+    monkeypatch.setattr(V, "SCORED", 10)
+    sentences = spark.createDataFrame([(f"d{i % 9}", f"Title {i % 9}", i, i, f"the hips turn {i % 9} times.") for i in range(90)], "doc string, title string, n int, ts int, sentence string")
+    questions = spark.createDataFrame([(str(i), f"hips turn {i}", [f"title {i}"]) for i in range(9)], "id string, q string, expect_sources array<string>")
+    told = V.chunk_sweep(sentences, questions, V.grid([5, 20], [0], spark), ["doc"], "n")
+    assert {(r["size"], r.n, r.recall_1) for r in told.collect()} == {(5, 9, 1.0), (20, 9, 1.0)}
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(size#\d+L?, overlap#\d+L?, q_id#\d+L?, id#", plan)
+    assert re.search(r"Exchange hashpartitioning\(size#\d+L?, overlap#\d+L?, id#\d+, (1[0-9]|[2-9][0-9])\)", plan), plan
