@@ -441,4 +441,4 @@ def test_a_sweep_scores_chunks_where_their_postings_are(spark, monkeypatch):
     assert {(r["size"], r.n, r.recall_1) for r in told.collect()} == {(5, 9, 1.0), (20, 9, 1.0)}
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\(size#\d+L?, overlap#\d+L?, q_id#\d+L?, id#", plan)
-    assert re.search(r"Exchange hashpartitioning\(size#\d+L?, overlap#\d+L?, id#\d+, (1[0-9]|[2-9][0-9])\)", plan), plan
+    assert re.search(r"Exchange hashpartitioning\(size#\d+L?, overlap#\d+L?, id#\d+L?, \d{2,}\)", plan), plan
