@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -442,3 +443,30 @@ def test_a_sweep_scores_chunks_where_their_postings_are(spark, monkeypatch):
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\(size#\d+L?, overlap#\d+L?, q_id#\d+L?, id#", plan)
     assert re.search(r"Exchange hashpartitioning\(size#\d+L?, overlap#\d+L?, id#\d+L?, \d{2,}\)", plan), plan
+
+
+def test_notes_are_chunked_in_one_shuffle(spark):
+    """Texts move once, when notes are dealt to tasks, and no table is written on the way; a counter of the caller's changes no row."""
+    texts = [MARKDOWN, "# Clip [abcdefgh12]\n\n- **Source video:** `c.mp4`\n", *(f"# T{i}\n\n" + "\n\n".join(f"## S{j % 4}\n\n- one\n\n" + "Some words of it go here. " * (9 * j + i) for j in range(7)) for i in range(5))]
+    notes = spark.createDataFrame([(f"n{i}.md", t) for i, t in enumerate(texts)], "name string, text string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    there = set(shared.glob("*"))
+    made = M.chunk_notes(notes)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = sorted(made.collect())
+    assert set(shared.glob("*")) == there
+    by_note = {t: [r for r in rows if r.source_title == t] for t in {r.source_title for r in rows}}
+    assert set(by_note) == {f"n{i}" for i in (0, *range(2, 7))}  # facts alone make no child
+    for own in by_note.values():
+        assert sorted(r.chunk_index for r in own) == list(range(len(own)))
+        seen = list(dict.fromkeys(r.parent_text for r in sorted(own, key=lambda r: r.chunk_index)))
+        assert all(r.parent_id == f"{r.source_title}::p{seen.index(r.parent_text):03d}" for r in own)
+    assert sorted(M.chunk_notes(notes, count=M.words_and_marks).collect()) == rows
+
+
+def test_pieces_by_hand(spark):
+    told = [("para", "1."), ("para", "Do it:"), ("list", "- a"), ("para", "cut in"), ("para", " two. "), ("list", "- **Duration:** 1:05"), ("table", "| a |"), ("para", "no end")]
+    rows = spark.createDataFrame([(1, told), (2, [("list", "- **Duration:** 1:05")]), (3, [])], "k int, blocks array<struct<kind: string, text: string>>")
+    got = {r.k: [tuple(p) for p in r.pieces] for r in rows.select("k", M.pieces_of(F.col("blocks")).alias("pieces")).collect()}
+    assert got == {1: [("para", "1. Do it:\n\n- a cut in two. "), ("table", "| a |"), ("para", "no end")], 2: [], 3: []}
+    assert [(r.n, r.kind, r.text) for r in M.glued(rows, ["k"]).orderBy("k", "n").collect()] == [(i, *p) for i, p in enumerate(got[1], 1)]
