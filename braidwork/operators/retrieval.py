@@ -64,8 +64,12 @@ def _parted(every: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
 
 
 def bm25_terms(postings: DataFrame, lengths: DataFrame) -> DataFrame:
-    n = lengths.agg(F.count(F.lit(1)).alias("n"))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return term_weights(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), lengths.agg(F.count(F.lit(1)).alias("n")))
+
+
+def term_weights(found: DataFrame, n: DataFrame) -> DataFrame:
+    """(term, idf) of the terms found (term, df) in n documents, a table of one row."""
+    raw = found.crossJoin(F.broadcast(n)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     return raw.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 

@@ -32,9 +32,7 @@ def vector_probed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str) -> tuple[B.Blocks, DataFrame]:
-    at = shared(spark)
-    index = R.build_index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", at)
-    return B.pack(index, "doc_id", f"{at}/blocks"), table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("q"))
+    return B.build(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", shared(spark)), table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("q"))
 
 
 def bm25_blocks(spark: SparkSession, d: str) -> DataFrame:

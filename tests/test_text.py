@@ -370,6 +370,65 @@ def test_blocks_give_the_same_and_read_less(spark, tmp_path, monkeypatch):
     assert all(read <= n for n, read in share.values()) and share[1][1] < share[1][0]
 
 
+def test_blocks_of_shards_give_the_same(spark, tmp_path, monkeypatch):
+    """Whatever the shards and blocks: texts of null and of no words, repeated and null numbers, names, words that most documents have."""
+    from braidwork.operators import blocks as K
+
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30)]
+    weight = 1 / np.arange(1, 31)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30), p=weight / weight.sum()))) for i in range(200)]
+    rows += [(3, "w7 w7 w29"), (300, None), (301, ""), (None, "w1 w29 w29"), *((400 + i, "w1 w2 w2 w28") for i in range(20))]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    asked = spark.createDataFrame([(1, "w0 w1 w29 w28"), (2, "w20 w20 w3"), (3, "none"), (4, "w0"), (5, None), (6, "w1 w2 w28"), (None, "w1")], "q int, text string")
+    monkeypatch.setattr(K, "BLOCK", 4)
+    monkeypatch.setattr(K, "SHARD", 150)
+    take = lambda df: sorted((r.q, r.rank, r.id, r.score) for r in df.where("q IS NOT NULL").collect())
+    for kind in ("int", "string"):
+        own = docs.withColumn("id", F.col("id").cast(kind))
+        index = R.build_index(own, "id", "t", str(tmp_path / kind / "ix"))
+        built = K.build(own, "id", "t", str(tmp_path / kind / "blocks"))
+        assert built.blocks.select("shard").distinct().count() > 20 and built.blocks.agg(F.max(F.size("at"))).first()[0] == 4
+        weights = [sorted((r.term, round(r.idf, 9)) for r in terms.collect()) for terms in (built.terms, index[2])]
+        assert weights[0] == weights[1]
+        for k in (1, 4):
+            assert take(K.topk(built, asked, "q", "text", "id", k)) == take(R.bm25_topk(index, asked, "q", "text", "id", k))
+    share = {r.q: (r.postings, r.read) for r in K.read_share(built, asked, "q", "text", "id", 3).collect()}
+    assert set(share) == {1, 2, 4, 6} and all(read <= n for n, read in share.values()) and share[1][1] < share[1][0]
+    assert take(K.topk(K.build(docs.limit(0), "id", "t", str(tmp_path / "none")), asked, "q", "text", "id", 2)) == []
+    few = docs.where("id > 300")  # a word of nearly all documents: no weight is over 0, and every posting counts
+    assert take(K.topk(K.build(few, "id", "t", str(tmp_path / "few")), asked, "q", "text", "id", 30)) == take(R.bm25_topk(R.build_index(few, "id", "t", str(tmp_path / "plain")), asked, "q", "text", "id", 30))
+
+
+def _moved(spark, work):
+    """Rows that the stages of `work` have given to shuffles."""
+    gateway, context = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        told = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {told.apply(i).stageId(): told.apply(i).shuffleWriteRecords() for i in range(told.size())}
+
+    before = stages()
+    work()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_blocks_move_no_postings(spark, tmp_path):
+    """Less moves than there are postings of the terms asked for: neither they nor pairs of a query and a document are shuffled."""
+    from braidwork.plans import search
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(640)]
+    spark.createDataFrame(list(enumerate(texts[:600])), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(texts[600:])), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    postings = sum(len(set(t.split())) for t in texts[:600])
+    got = []
+    assert _moved(spark, lambda: got.extend(search.bm25_blocks(spark, str(tmp_path)).collect())) < postings
+    assert len(got) == 200
+
+
 def test_word_edges_are_of_ascii(spark):
     """As SQL has them: an accented letter ends a word, lines end at line feeds alone, cases of all scripts are one."""
     said = ["por la la la\xf1 del la la\xf1o.", "oh\u2028then oh", "yeah\rso yeah", "so that'ſ it for now", "ſtay tuned", "oh\nthen oh", "xoh ohx"]
